@@ -1 +1 @@
-"""See the package README section for what lives here."""
+"""Column functions: text, time and score helpers."""

@@ -1 +1 @@
-"""See the package README section for what lives here."""
+"""DataFrame-to-DataFrame operators."""

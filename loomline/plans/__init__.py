@@ -1 +1 @@
-"""See the package README section for what lives here."""
+"""Registered queries: each composes operators over the given tables and stands beside its DuckDB SQL."""

@@ -1 +1 @@
-"""See the package README section for what lives here."""
+"""Readers and writers: candle files, headline files, JSON lines, reports, and the roles of the given tables."""
