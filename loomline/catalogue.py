@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from .plans import news, series  # noqa: F401
+from .plans import evaluation, models, news, series  # noqa: F401
 from .plans.registry import ORACLE_SQL, QUERIES  # noqa: F401

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from ..functions.times import ceil_day, hour_of, month_start
 
-HOUR = F.expr("INTERVAL 1 HOUR")
 VALUES = ("open", "high", "low", "close", "volume", "trades")
 
 
@@ -122,7 +121,7 @@ class Period:
 
 def sample_period(candles: DataFrame, news: dict[str, DataFrame], ends: dict[str, datetime] | None = None, start: datetime | None = None, end: datetime | None = None) -> Period:
     """From the first midnight at which all series exist to the earliest end; start and end override both."""
-    first, last = candles.groupBy("symbol").agg(F.min("open_time").alias("a"), F.max("open_time").alias("b")).agg(F.max("a"), F.min("b") + HOUR).first()
+    first, last = candles.groupBy("symbol").agg(F.min("open_time").alias("a"), F.max("open_time").alias("b")).agg(F.max("a"), F.min("b") + F.expr("INTERVAL 1 HOUR")).first()
     starts = {"candles": first} | {name: frame.agg(F.min("published")).first()[0] for name, frame in news.items()}
     finish = {"candles": last} | (ends or {})
     opened = candles.sparkSession.createDataFrame([(max(starts.values()),)], "t timestamp").select(ceil_day(F.col("t"))).first()[0]

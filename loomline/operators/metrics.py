@@ -5,7 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-Y, P = F.col("y_true"), F.col("y_pred")
+
+def truth() -> Column:
+    return F.col("y_true")
+
+
+def guess() -> Column:
+    return F.col("y_pred")
+
+
+def squared_error() -> Column:
+    return (truth() - guess()) * (truth() - guess())
 
 
 def common_rows(predictions: DataFrame) -> DataFrame:
@@ -21,22 +31,22 @@ def seed_average(predictions: DataFrame) -> DataFrame:
     return predictions.groupBy("symbol", "model", "open_time").agg(F.first("y_true").alias("y_true"), F.avg("y_pred").alias("y_pred"))
 
 
-def rmse(y: Column = Y, p: Column = P) -> Column:
-    return F.sqrt(F.avg((y - p) * (y - p)))
+def rmse() -> Column:
+    return F.sqrt(F.avg(squared_error()))
 
 
-def mae(y: Column = Y, p: Column = P) -> Column:
-    return F.avg(F.abs(y - p))
+def mae() -> Column:
+    return F.avg(F.abs(truth() - guess()))
 
 
-def directed(y: Column = Y, p: Column = P) -> Column:
+def directed() -> Column:
     """Both signs exist."""
-    return (y != 0) & (p != 0)
+    return (truth() != 0) & (guess() != 0)
 
 
-def direction(y: Column = Y, p: Column = P) -> Column:
+def direction() -> Column:
     """Share of equal signs on directed rows; null without any."""
-    return F.avg(F.when(directed(y, p), (F.signum(y) == F.signum(p)).cast("double")))
+    return F.avg(F.when(directed(), (F.signum(truth()) == F.signum(guess())).cast("double")))
 
 
 def accuracy(predictions: DataFrame, keys: list[str] | None = None, zero: str = "zero", mean: str = "mean") -> DataFrame:
@@ -46,7 +56,7 @@ def accuracy(predictions: DataFrame, keys: list[str] | None = None, zero: str =
     """
     keys = keys or ["symbol"]
     sums = predictions.groupBy(*keys, "model").agg(
-        F.count(F.lit(1)).alias("n"), rmse().alias("rmse"), mae().alias("mae"), direction().alias("direction"), F.count_if(directed()).alias("direction_n"), F.sum((Y - P) * (Y - P)).alias("__sse")
+        F.count(F.lit(1)).alias("n"), rmse().alias("rmse"), mae().alias("mae"), direction().alias("direction"), F.count_if(directed()).alias("direction_n"), F.sum(squared_error()).alias("__sse")
     )
     base = sums.filter(F.col("model") == zero).select(*keys, F.col("rmse").alias("__zero"))
     bench = sums.filter(F.col("model") == mean).select(*keys, F.col("__sse").alias("__mean"))
@@ -57,7 +67,7 @@ def accuracy(predictions: DataFrame, keys: list[str] | None = None, zero: str =
 
 def pair_change(predictions: DataFrame, pairs: list[tuple[str, str, str]]) -> DataFrame:
     """(symbol, question, base, model, n, change_pct): the change of the squared error from base to model."""
-    mse = predictions.groupBy("symbol", "model").agg(F.avg((Y - P) * (Y - P)).alias("mse"), F.count(F.lit(1)).alias("n"))
+    mse = predictions.groupBy("symbol", "model").agg(F.avg(squared_error()).alias("mse"), F.count(F.lit(1)).alias("n"))
     asked = predictions.sparkSession.createDataFrame(pairs, "question string, base string, model string")
     base = mse.select("symbol", F.col("model").alias("base"), F.col("mse").alias("base_mse"))
     got = mse.join(F.broadcast(asked), "model").join(base, ["symbol", "base"])

@@ -8,11 +8,12 @@ from statistics import NormalDist
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
-from .metrics import P, Y
+from .metrics import directed, guess, squared_error, truth
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def normal_sf(z: pd.Series) -> pd.Series:
     """P(Z > z) of a standard normal."""
     return z.map(lambda x: None if x is None or x != x else 0.5 * math.erfc(x / math.sqrt(2)))
@@ -54,7 +55,7 @@ def long_run_variance(rows: DataFrame, keys: list[str], value: str, order: list[
 def loss_differences(predictions: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     """(symbol, base, model, open_time, y_true, base_loss, model_loss, d): d = squared error of base less that of model."""
     asked = predictions.sparkSession.createDataFrame(pairs, "base string, model string")
-    loss = predictions.select("symbol", "model", "open_time", "y_true", ((Y - P) * (Y - P)).alias("model_loss"))
+    loss = predictions.select("symbol", "model", "open_time", "y_true", squared_error().alias("model_loss"))
     own = loss.join(F.broadcast(asked), "model")
     base = loss.select("symbol", F.col("model").alias("base"), "open_time", F.col("model_loss").alias("base_loss"))
     return own.join(base, ["symbol", "base", "open_time"]).withColumn("d", F.col("base_loss") - F.col("model_loss"))
@@ -75,9 +76,9 @@ def with_p_value(table: DataFrame, stat: str, out: str = "p_value") -> DataFrame
 def pesaran_timmermann(predictions: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """(keys, n, hit_rate, pt): whether signs are foretold better than by chance; null if one sign only."""
     keys = keys or ["symbol", "model"]
-    rows = predictions.filter((Y != 0) & (P != 0))
+    rows = predictions.filter(directed())
     share = lambda c: F.avg(c.cast("double"))
-    got = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), share(Y > 0).alias("a"), share(P > 0).alias("b"), share((Y > 0) == (P > 0)).alias("hit_rate"))
+    got = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), share(truth() > 0).alias("a"), share(guess() > 0).alias("b"), share((truth() > 0) == (guess() > 0)).alias("hit_rate"))
     a, b, n = F.col("a"), F.col("b"), F.col("n")
     chance = a * b + (1 - a) * (1 - b)
     spread = chance * (1 - chance) / n
