@@ -60,7 +60,7 @@ def sharpe_interval(net: DataFrame, benchmark: str, reps: int = 2000, mean_block
                     yield pd.DataFrame({"symbol": row.symbol, "name": names, "point": point - point[b], "diff": got - got[b]})
 
     draws = tasks.mapInPandas(run, "symbol string, name string, point double, diff double")
-    draws = draws.filter(F.col("name") != benchmark).filter(~F.isnan("diff") & ~F.isnan("point"))
+    draws = draws.filter(F.col("name") != benchmark).filter("diff is not null and point is not null and not isnan(diff) and not isnan(point)")
     tail = (1 - level) / 2
     return draws.groupBy("symbol", "name").agg(
         F.first("point").alias("diff"), F.percentile("diff", F.lit(tail)).alias("ci_low"), F.percentile("diff", F.lit(1 - tail)).alias("ci_high"),

@@ -141,7 +141,7 @@ def pesaran_timmermann(spark, sf_dir):
 
 @query(
     sql(
-        "p AS (SELECT p_brand AS family, p_type AS item, CASE WHEN avg(p_size) > 27 THEN NULL ELSE avg(p_retailprice) / 100000.0 END AS p FROM part GROUP BY 1, 2), "
+        "p AS (SELECT p_brand AS family, p_type AS item, CASE WHEN avg(p_size) > 27 THEN NULL ELSE avg(p_retailprice) / 131071.0 END AS p FROM part GROUP BY 1, 2), "
         "r AS (SELECT *, count(*) OVER (PARTITION BY family) AS m, row_number() OVER (PARTITION BY family ORDER BY p, item) AS i FROM p WHERE p IS NOT NULL), "
         "a AS (SELECT family, item, least(1.0, max((m - i + 1) * p) OVER (PARTITION BY family ORDER BY i)) AS h FROM r)",
         f"SELECT p.family, p.item, {R('p.p', 'p')}, {R('a.h', 'p_holm')} FROM p LEFT JOIN a ON a.family = p.family AND a.item = p.item",
@@ -150,7 +150,7 @@ def pesaran_timmermann(spark, sf_dir):
 def holm_adjust(spark, sf_dir):
     """Step-down adjustment inside each brand; prices stand for p-values."""
     parts = roles.table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("family"), F.col("p_type").alias("item"))
-    rows = parts.agg(F.when(F.avg("p_size") > 27, None).otherwise(F.avg("p_retailprice") / 100000.0).alias("p"))
+    rows = parts.agg(F.when(F.avg("p_size") > 27, None).otherwise(F.avg("p_retailprice") / 131071.0).alias("p"))
     return rounded(stats.holm(rows, "p", ["family"], ["item"]), "p", "p_holm")
 
 
