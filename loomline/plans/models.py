@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import backtest, features, forecast, metrics, regression, resampling, stats
+from ..operators import backtest, features, forecast, metrics, regression, resampling, sequence, stats
 from ..sources import roles
 from .evaluation import FOLDS, KEYS, WINDOWS, predictions, traded
 from .registry import query, rounded, timed
@@ -111,3 +111,9 @@ def placebo(spark, sf_dir):
 def pesaran_timmermann_p(spark, sf_dir):
     got = stats.with_p_value(stats.pesaran_timmermann(predictions(spark, sf_dir)), "pt")
     return rounded(got, "hit_rate", "pt", "p_value")
+
+
+@query()
+def lstm_wf(spark, sf_dir):
+    table = learned(spark, sf_dir)
+    return timed(forecast.run(table, COLUMNS, FOLDS[:1], sequence.lstm, {"lookback": 6, "hidden": 8, "epochs": 5}, seeds=(1,)), "open_time")

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loomline.operators import annotate, backtest, forecast, metrics, regression, resampling, sampling, splits, stats
+from loomline.operators import annotate, backtest, forecast, metrics, regression, resampling, sampling, sequence, splits, stats
 
 T0 = datetime(2024, 1, 1)
 
@@ -239,3 +239,21 @@ def test_describe_returns(spark):
     g1 = (x**3).mean() / (x**2).mean() ** 1.5
     g2 = (x**4).mean() / (x**2).mean() ** 2 - 3
     assert got.skew == pytest.approx(g1 * math.sqrt(n * (n - 1)) / (n - 2)) and got.kurt == pytest.approx(((n + 1) * g2 + 6) * (n - 1) / ((n - 2) * (n - 3)))
+
+
+def test_lstm_gradients_and_fit(spark):
+    rng = np.random.default_rng(0)
+    weights, x, y = sequence.initial(3, 4, rng), rng.normal(size=(5, 6, 3)), rng.normal(size=5)
+    loss = lambda: float(((sequence.predict(weights, x) - y) ** 2).mean())
+    for w, g in zip(weights, sequence.gradients(weights, x, y)):
+        for at in [(0, 0), (w.shape[0] - 1, 0), (w.shape[0] // 2, w.shape[1] - 1)]:
+            old, eps = w[at], 1e-6
+            w[at] = old + eps
+            up = loss()
+            w[at] = old - eps
+            down = loss()
+            w[at] = old
+            assert g[at] == pytest.approx((up - down) / (2 * eps), rel=1e-4, abs=1e-8)
+    window = splits.Window("f", T0 + timedelta(hours=280), T0 + timedelta(hours=300), T0 + timedelta(hours=400))
+    got = sequence.lstm(panel(spark), ["x"], window, {"lookback": 3, "hidden": 8, "epochs": 25, "rate": 0.02}, 1)
+    assert got.count() == 100 and got.agg(F.corr("y_true", "y_pred")).first()[0] > 0.8

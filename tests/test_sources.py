@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loomline import config
 from loomline.operators import features
-from loomline.sources import files
+from loomline.sources import files, paged
 from loomline.streaming import hourly
 
 T0 = datetime(2024, 1, 1)
@@ -98,3 +98,17 @@ def test_stream_of_repeats(spark, tmp_path):
     query.awaitTermination(180)
     kept = sorted((r.published - T0).total_seconds() / 3600 for r in spark.table("repeats").collect() if not r.repeat)
     assert kept == [1, 26, 51]
+
+
+def test_paged_records(spark, tmp_path):
+    item = lambda i: {"id": i, "link": f"l{i}", "date_gmt": "2024-01-01T00:00:00", "title": {"rendered": f"T{i}"}, "categories": [i], "tags": []}
+    for page in (1, 2, 3):
+        (tmp_path / f"p{page}.json").write_text(json.dumps([item(10 * page + k) for k in range(4)] + [{"id": 5}]))
+    spark.dataSource.register(paged.PagedRecords)
+    load = lambda **o: spark.read.format("paged_records").options(url=f"file://{tmp_path}/p{{page}}.json", pages=5, pause=0, **o).load()
+    assert load().count() == 12 and {r.page for r in load(done="1,3").collect()} == {2}
+    assert load().filter("id = 21").first().title == "T21"
+    reader = paged.PageStream({"url": f"file://{tmp_path}/p{{page}}.json", "pause": "0"})
+    rows, end = reader.read(reader.initialOffset())
+    assert len(list(rows)) == 4 and end == {"page": 2} and reader.read({"page": 4})[1] == {"page": 4}
+    assert len(list(reader.readBetweenOffsets({"page": 1}, {"page": 4}))) == 12
