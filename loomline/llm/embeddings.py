@@ -166,7 +166,8 @@ def compare(cid: np.ndarray, size: np.ndarray, label: np.ndarray, home: np.ndarr
         return []
     rows, at = np.unique(np.concatenate((i, j)), return_inverse=True)
     homes, probes = cell_keys(unit[rows], label[rows])
-    here = np.concatenate([first_meeting(at[k : k + 65536], at[len(i) + k : len(i) + min(k + 65536, len(i))], homes, probes) == key for k in range(0, len(i), 65536)])
+    a, b, step = at[: len(i)], at[len(i) :], 65536
+    here = np.concatenate([first_meeting(a[k : k + step], b[k : k + step], homes, probes) == key for k in range(0, len(i), step)])
     i, j = i[here], j[here]
     links = np.bincount(i, size[j], len(cid)) + np.bincount(j, size[i], len(cid))
     out = [(int(cid[k]), None, int(links[k])) for k in np.flatnonzero(links)]
