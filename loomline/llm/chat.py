@@ -7,7 +7,7 @@ their first character, and backslashes are doubled, so that `unescape` gives the
 
     BOS  (TURN role SEP text END)*  EOS
 
-Rows of a conversation are taken by turn, then role and text. A conversation is streamed in rows of about ROW_IDS
+Rows of a conversation are taken by turn, then role and a hash of the text. A conversation is streamed in rows of about ROW_IDS
 ids, numbered by `part`, so that a very long one never is in memory at once.
 
 Defined results: null texts and roles are empty; repeated rows are turns of their own; null turns come first; rows
@@ -20,7 +20,9 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,24 +54,27 @@ def unescape(text: str) -> str:
 
 
 def segments(conversations: DataFrame) -> DataFrame:
-    """(conv_id, turn, role, text, role_ids, text_ids): each segment encoded on its own."""
-    rows = conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
+    """(conv_id, turn, role, tie, role_ids, text_ids): each segment encoded on its own, ids as 16-bit numbers.
+
+    Texts themselves stay behind: tie, a hash of the text, orders turns that are equal otherwise.
+    """
+    tie = F.xxhash64(F.coalesce("text", F.lit("")))
+    rows = conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.coalesce("role", F.lit("")).alias("role"), tie.alias("tie"), "text")
 
     def make():
         encode = encoder()
+        pack = lambda text: np.array(encode(escape(text)), "<u2").tobytes()
 
         def work(batch):
-            return [(c, t, r or "", x or "", encode(escape(r or "")), encode(escape(x or ""))) for c, t, r, x in batch]
+            return [(c, t, r, x, pack(r), pack(text or "")) for c, t, r, x, text in batch]
 
         return work
 
-    return map_rows(rows, make, "conv_id long, turn long, role string, text string, role_ids array<int>, text_ids array<int>", 512)
+    return map_rows(rows, make, "conv_id long, turn long, role string, tie long, role_ids binary, text_ids binary", 512)
 
 
-def loss_mask(length: int, spans: list[tuple[int, int]]):
+def loss_mask(length: int, spans: list[tuple[int, int]]) -> np.ndarray:
     """1 inside the spans [start, end), as prefix sums of their edges."""
-    import numpy as np
-
     edge = np.zeros(length + 1, np.int32)
     for start, end in spans:
         edge[start] += 1
@@ -79,38 +84,51 @@ def loss_mask(length: int, spans: list[tuple[int, int]]):
 
 def assemble(encoded: DataFrame, learn_from: str = "assistant", row_ids: int = ROW_IDS) -> DataFrame:
     """(conv_id, part, last, ids, mask) rows of segments(), a conversation's rows in order of part."""
-    names = ["conv_id", "turn", "role", "text"]
-    ordered = encoded.repartition("conv_id").sortWithinPartitions(*names).drop("text", "turn")
+    ordered = encoded.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "tie").select("conv_id", "role", "role_ids", "text_ids")
     schema = "conv_id long, part int, last boolean, ids array<int>, mask array<tinyint>"
     arrow = pa.schema([("conv_id", pa.int64()), ("part", pa.int32()), ("last", pa.bool_()), ("ids", pa.list_(pa.int32())), ("mask", pa.list_(pa.int8()))])
+    bos, eos, turn, sep, end = (np.array([i], "<u2").tobytes() for i in (BOS, EOS, TURN, SEP, END))
+
+    class Row:
+        def __init__(self, conv, part: int, first: bytes):
+            self.conv, self.part, self.ids, self.size, self.spans = conv, part, [first], len(first) // 2, []
+
+        def add(self, role: str, role_ids: bytes, text_ids: bytes) -> None:
+            start = self.size + 2 + len(role_ids) // 2
+            stop = start + len(text_ids) // 2
+            if role == learn_from:
+                self.spans.append((start, stop))
+            self.ids += [turn, role_ids, sep, text_ids, end]
+            self.size = stop + 1
+
+        def done(self, last: bytes = b"") -> tuple:
+            ids = np.frombuffer(b"".join([*self.ids, last]), "<u2").astype(np.int32)
+            return self.conv, self.part, bool(last), ids, loss_mask(len(ids), self.spans)
 
-    def row(conv, part, last, ids, spans):
-        return pa.RecordBatch.from_arrays(
-            [pa.array([conv], pa.int64()), pa.array([part], pa.int32()), pa.array([last]), pa.array([ids], pa.list_(pa.int32())), pa.array([loss_mask(len(ids), spans)], pa.list_(pa.int8()))],
-            schema=arrow,
-        )
+    def packed(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), arrow)], schema=arrow)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_, conv, part, ids, spans = False, None, 0, [], []
+        now: Row | None = None
+        out, held = [], 0
         for batch in batches:
-            get = lambda c: batch.column(batch.schema.get_field_index(c)).to_pylist()
-            for c, role, role_ids, text_ids in zip(get("conv_id"), get("role"), get("role_ids"), get("text_ids")):
-                if open_ and c != conv:
-                    yield row(conv, part, True, [*ids, EOS], spans)
-                    open_ = False
-                if not open_:
-                    open_, conv, part, ids, spans = True, c, 0, [BOS], []
-                elif len(ids) >= row_ids:
-                    yield row(conv, part, False, ids, spans)
-                    part, ids, spans = part + 1, [], []
-                ids += [TURN, *role_ids, SEP]
-                start = len(ids)
-                ids += text_ids
-                if role == learn_from:
-                    spans.append((start, len(ids)))
-                ids.append(END)
-        if open_:
-            yield row(conv, part, True, [*ids, EOS], spans)
+            for conv, role, role_ids, text_ids in zip(*(c.to_pylist() for c in batch.columns)):
+                if now is not None and conv != now.conv:
+                    out.append(now.done(eos))
+                    held, now = held + now.size, None
+                if now is None:
+                    now = Row(conv, 0, bos)
+                elif now.size >= row_ids:
+                    out.append(now.done())
+                    held, now = held + now.size, Row(conv, now.part + 1, b"")
+                now.add(role, role_ids, text_ids)
+                if held >= ROW_IDS:
+                    yield packed(out)
+                    out, held = [], 0
+        if now is not None:
+            out.append(now.done(eos))
+        if out:
+            yield packed(out)
 
     return ordered.mapInArrow(run, schema)
 
@@ -126,17 +144,11 @@ def decoder(path: str | None = None):
     return lambda ids: b"".join([token[i] for i in ids]).decode()
 
 
-def parse(ids: list[int], mask: list[int]) -> Iterator[tuple[list[int], list[int], list[int]]]:
+def parse(ids: np.ndarray, mask: np.ndarray) -> Iterator[tuple[list[int], list[int], list[int]]]:
     """(role ids, text ids, text ids under the mask) of each turn in a row of assemble()."""
-    at = 0
-    while True:
-        try:
-            start = ids.index(TURN, at)
-        except ValueError:
-            return
-        middle = ids.index(SEP, start)
-        at = ids.index(END, middle)
-        yield ids[start + 1 : middle], ids[middle + 1 : at], [i for i, m in zip(ids[middle + 1 : at], mask[middle + 1 : at]) if m]
+    for start, middle, stop in zip(*(np.flatnonzero(ids == mark).tolist() for mark in (TURN, SEP, END))):
+        text = ids[middle + 1 : stop]
+        yield ids[start + 1 : middle].tolist(), text.tolist(), text[mask[middle + 1 : stop] != 0].tolist()
 
 
 def read_back(rows: DataFrame) -> DataFrame:
@@ -146,23 +158,26 @@ def read_back(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decode, state = decoder(), None
         for batch in batches:
-            get = lambda c: batch.column(batch.schema.get_field_index(c))
+            conv, part, last = (batch.column(k).to_pylist() for k in range(3))
+            ids, mask = (batch.column(k).flatten().to_numpy() for k in (3, 4))
+            edges = np.concatenate(([0], np.cumsum(pa.compute.list_value_length(batch.column(3)).to_numpy())))
             out = []
             for k in range(batch.num_rows):
-                conv, ids, mask = get("conv_id")[k].as_py(), get("ids")[k].as_py(), get("mask")[k].as_py()
-                if get("part")[k].as_py() == 0:
+                own, learnt_here = ids[edges[k] : edges[k + 1]], mask[edges[k] : edges[k + 1]]
+                if part[k] == 0:
                     state = [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-                for role, text, learnt in parse(ids, mask):
+                for role, text, learnt in parse(own, learnt_here):
                     role_text, shown = decode(role), decode(text)
-                    loss = unescape(decode(learnt))
                     state[0] += 1
                     state[1].update(f"{unescape(role_text)}\n{unescape(shown)}\n".encode())
-                    state[2] += len(loss)
-                    state[3].update(loss.encode())
+                    if learnt:
+                        loss = unescape(decode(learnt))
+                        state[2] += len(loss)
+                        state[3].update(loss.encode())
                     state[4] += len(role_text) + len(shown)
-                state[4] += sum(len(SHOWN[i]) for i in ids if i in SHOWN)
-                if get("last")[k].as_py():
-                    out.append((conv, state[0], state[1].hexdigest(), state[2], state[3].hexdigest(), state[4]))
+                state[4] += sum(len(s) * int(np.count_nonzero(own == i)) for i, s in SHOWN.items())
+                if last[k]:
+                    out.append((conv[k], state[0], state[1].hexdigest(), state[2], state[3].hexdigest(), state[4]))
             if out:
                 names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
                 kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
