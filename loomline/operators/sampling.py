@@ -18,16 +18,20 @@ def allocate(strata: DataFrame, total: int, stratum: str = "stratum", size: str
     return got.withColumn("quota", quota.cast("long")).drop("__all", "__floor", "__rest", "__rank", "__left")
 
 
-def stratified(rows: DataFrame, quotas: DataFrame, key: str, seed: int, stratum: str = "stratum") -> DataFrame:
+def stratified(rows: DataFrame, quotas: DataFrame, key: str, seed: int, stratum: str = "stratum", buckets: int = 1024) -> DataFrame:
     """quota rows of each stratum, the first in an order by a seeded hash of key: input order doesn't matter.
 
-    A sampled row's hash is among the smallest of its stratum, so each stratum is cut near its quota by the hash
-    before rows are ranked; a margin keeps the cut safe and ranking then decides exactly.
+    The hash range is cut into buckets whose counts tell which of them a stratum's sample reaches into; only rows of
+    those are ranked, so a stratum that holds most rows is not ranked as a whole.
     """
-    own = rows.withColumn("__h", F.xxhash64(F.lit(seed), key))
-    ranked = own.join(F.broadcast(quotas.select(stratum, "quota")), stratum)
+    place = F.floor((F.col("__h") / F.lit(2.0**64) + 0.5) * buckets).cast("int")
+    own = rows.join(quotas.select(stratum, "quota"), stratum).withColumn("__h", F.xxhash64(F.lit(seed), key)).withColumn("__b", place)
+    counts = own.groupBy(stratum, "__b").agg(F.count(F.lit(1)).alias("__n"), F.first("quota").alias("__q"))
+    upto = F.sum("__n").over(Window.partitionBy(stratum).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1))
+    reached = counts.withColumn("__before", F.coalesce(upto, F.lit(0))).filter("__before < __q").select(stratum, "__b")
+    ranked = own.join(reached, [stratum, "__b"], "left_semi")
     w = Window.partitionBy(stratum).orderBy("__h", key)
-    return ranked.withColumn("__r", F.row_number().over(w)).filter("__r <= quota").drop("__h", "__r", "quota")
+    return ranked.withColumn("__r", F.row_number().over(w)).filter("__r <= quota").drop("__h", "__b", "__r", "quota")
 
 
 def numbered_sample(sample: DataFrame, prefix: str, key: str, seed: int, nested: int = 100) -> DataFrame:
