@@ -18,9 +18,11 @@ table gives an empty result; other columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,7 +30,8 @@ from .common import cut, tiles
 from .graph import components
 
 THRESHOLD, TABLES, PROBES, SCALE, SEED = 0.98, 6, 4, 1.5, 20240
-TILE = 2048
+#: Rows that are compared at once; a cell with more is split.
+TILE = 512
 
 
 def roots() -> np.ndarray:
@@ -79,13 +82,17 @@ def _mix(points: np.ndarray, salt: np.ndarray) -> np.ndarray:
     return (h ^ (h >> np.uint64(32))).view(np.int64)
 
 
+@cache
+def projection(seed: int, table: int, dims: int) -> np.ndarray:
+    return np.random.default_rng([seed, table, dims]).standard_normal((dims, 8))
+
+
 def cell_keys(unit: np.ndarray, label: np.ndarray, number: int = TABLES, probes: int = PROBES, scale: float = SCALE, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
     """home keys (n, tables) and probe keys (n, tables, probes) of unit vectors."""
     n, dims = unit.shape
     home, probe = np.empty((n, number), np.int64), np.empty((n, number, probes), np.int64)
     for t in range(number):
-        maps = np.random.default_rng([seed, t, dims]).standard_normal((dims, 8)) * scale
-        y = unit @ maps
+        y = unit @ projection(seed, t, dims) * scale
         x = nearest_e8(y)
         salt = (label.astype(np.int64) * 1_000_003 + dims * 8191 + t).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
         home[:, t] = _mix(x, salt)
@@ -105,7 +112,7 @@ def unit_rows(column: pa.ListArray | pa.ChunkedArray) -> np.ndarray:
 def _by_dims(batch: pa.RecordBatch, name: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(rows, unit vectors) for each vector length in batch."""
     column = batch.column(batch.schema.get_field_index(name))
-    size = np.array([len(v) for v in column])
+    size = pc.list_value_length(column).to_numpy(zero_copy_only=False)
     for n in np.unique(size):
         at = np.flatnonzero(size == n)
         yield at, unit_rows(column.take(pa.array(at)))
@@ -150,15 +157,18 @@ def first_meeting(i: np.ndarray, j: np.ndarray, home: np.ndarray, probe: np.ndar
     return key
 
 
-def compare(cid: np.ndarray, size: np.ndarray, label: np.ndarray, home: np.ndarray, chunk: np.ndarray, tile: tuple[int, int], key: int, unit: np.ndarray, threshold: float) -> list[tuple]:
-    """(a, b, links) of a tile: links that connect, and counts with b null."""
+def compare(cid: np.ndarray, size: np.ndarray, label: np.ndarray, home: np.ndarray, side: np.ndarray, group: np.ndarray, key: np.ndarray, unit: np.ndarray, threshold: float) -> list[tuple]:
+    """(a, b, links) inside equal groups: links that connect, and counts with b null.
+
+    side is the row's chunk in a tile of two chunks, where only rows of different sides are compared, else -1.
+    """
     order = np.argsort(cid, kind="stable")
-    cid, size, label, home, chunk, unit = (x[order] for x in (cid, size, label, home, chunk, unit))
+    cid, size, label, home, side, group, key, unit = (x[order] for x in (cid, size, label, home, side, group, key, unit))
     left, right = [], []
     for r in range(0, len(cid), 512):
         i, j = np.nonzero(unit[r : r + 512] @ unit.T >= threshold)
         i = i + r
-        keep = (cid[i] < cid[j]) & (home[i] | home[j]) & ((tile[0] == tile[1]) | (chunk[i] != chunk[j]))
+        keep = (cid[i] < cid[j]) & (group[i] == group[j]) & (home[i] | home[j]) & ((side[i] < 0) | (side[i] != side[j]))
         left.append(i[keep])
         right.append(j[keep])
     i, j = np.concatenate(left), np.concatenate(right)
@@ -167,7 +177,7 @@ def compare(cid: np.ndarray, size: np.ndarray, label: np.ndarray, home: np.ndarr
     rows, at = np.unique(np.concatenate((i, j)), return_inverse=True)
     homes, probes = cell_keys(unit[rows], label[rows])
     a, b, step = at[: len(i)], at[len(i) :], 65536
-    here = np.concatenate([first_meeting(a[k : k + step], b[k : k + step], homes, probes) == key for k in range(0, len(i), step)])
+    here = np.concatenate([first_meeting(a[k : k + step], b[k : k + step], homes, probes) for k in range(0, len(i), step)]) == key[i]
     i, j = i[here], j[here]
     links = np.bincount(i, size[j], len(cid)) + np.bincount(j, size[i], len(cid))
     out = [(int(cid[k]), None, int(links[k])) for k in np.flatnonzero(links)]
@@ -186,34 +196,42 @@ def found_links(classes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(a, b, links): a linked with b, or with b null the links of a found in one tile, copies counted."""
     dealt = tiles(cells(classes), "key", "cid", TILE, also=F.max("home"))
     full = dealt.join(classes.select("cid", "label", "n", "embedding"), "cid")
-    order = ["key", "tile_i", "tile_j"]
+    order, pack = ["key", "tile_i", "tile_j"], TILE
     full = full.repartition(*order).sortWithinPartitions(*order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        last = None
+        held: pa.Table | None = None
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            cols = np.stack([batch.column(batch.schema.get_field_index(k)).to_numpy(zero_copy_only=False).astype(np.int64) for k in order])
-            new = np.concatenate(([0], np.flatnonzero((cols[:, 1:] != cols[:, :-1]).any(axis=0)) + 1, [batch.num_rows]))
-            for start, end in zip(new[:-1].tolist(), new[1:].tolist()):
-                now = tuple(cols[:, start].tolist())
-                if held and now != last:
-                    yield from done(held, last)
-                    held = []
-                held.append(batch.slice(start, end - start))
-                last = now
-        if held:
-            yield from done(held, last)
-
-    def done(held: list[pa.RecordBatch], now: tuple) -> Iterator[pa.RecordBatch]:
-        rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            if batch.num_rows:
+                held = pa.concat_tables([t for t in (held, pa.Table.from_batches([batch])) if t is not None])
+                starts = borders(held)
+                if len(starts) > 1 and starts[-1] >= pack:
+                    yield from packs(held, starts)
+                    held = held.slice(starts[-1])
+        if held is not None:
+            yield from packs(held, np.append(borders(held), held.num_rows))
+
+    def borders(rows: pa.Table) -> np.ndarray:
+        """Where a tile's rows begin."""
+        cols = np.stack([rows.column(k).to_numpy() for k in order])
+        return np.concatenate(([0], np.flatnonzero((cols[:, 1:] != cols[:, :-1]).any(axis=0)) + 1))
+
+    def packs(rows: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """The whole tiles between starts, small ones together."""
+        first = 0
+        for k in range(1, len(starts)):
+            if k + 1 == len(starts) or starts[k + 1] - starts[first] > pack:
+                got = rows.slice(starts[first], starts[k] - starts[first]).combine_chunks().to_batches()[0]
+                yield from done(got, np.repeat(np.arange(k - first), np.diff(starts[first : k + 1])))
+                first = k
+
+    def done(rows: pa.RecordBatch, group: np.ndarray) -> Iterator[pa.RecordBatch]:
         get = lambda c: rows.column(rows.schema.get_field_index(c)).to_numpy(zero_copy_only=False)
-        cid, size, label, home, chunk = (get(c) for c in ("cid", "n", "label", "home", "chunk"))
+        cid, size, label, home, key = (get(c) for c in ("cid", "n", "label", "home", "key"))
+        side = np.where(get("tile_i") == get("tile_j"), -1, get("chunk"))
         out = []
         for at, unit in _by_dims(rows, "embedding"):
-            out += compare(cid[at], size[at], label[at], home[at].astype(bool), chunk[at], now[1:], now[0], unit, threshold)
+            out += compare(cid[at], size[at], label[at], home[at].astype(bool), side[at], group[at], key[at], unit, threshold)
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["a", "b", "links"])
 
