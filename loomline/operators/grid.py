@@ -32,14 +32,20 @@ def first_of(frame: DataFrame, keys: list[str], order: list[Column]) -> DataFram
     return ranked.filter("__n = 1").drop("__n")
 
 
-def regrid(candles: DataFrame, symbol: str = "symbol", time: str = "open_time", step: str = "INTERVAL 1 HOUR") -> DataFrame:
+def regrid(candles: DataFrame, symbol: str = "symbol", time: str = "open_time", step_seconds: int = 3600) -> DataFrame:
     """Every step from a symbol's first to its last row, with nulls where a row is missing.
 
-    The grid starts at the first time as it stands, so rows off the grid vanish; off_grid counts them.
+    The grid starts at the first time as it stands, so rows off the grid vanish; off_grid counts them. Each row fills
+    the steps up to the next one, so candles are read once and joined with nothing.
     """
-    bounds = candles.groupBy(symbol).agg(F.min(time).alias("lo"), F.max(time).alias("hi"))
-    steps = bounds.select(symbol, F.explode(F.sequence("lo", "hi", F.expr(step))).alias(time))
-    return steps.join(candles, [symbol, time], "left")
+    whole, ordered = Window.partitionBy(symbol), Window.partitionBy(symbol).orderBy(time)
+    off = (F.unix_micros(time) - F.unix_micros(F.min(time).over(whole))) % (step_seconds * 1_000_000)
+    rows = candles.filter(F.col(time).isNotNull()).withColumn("__off", off).filter("__off = 0").drop("__off")
+    step = F.make_dt_interval(secs=F.lit(step_seconds))
+    last = F.greatest(F.col(time), F.lead(time, 1).over(ordered) - step)  # greatest skips the null behind the last row
+    filled = rows.withColumn("__last", last).withColumn("__t", F.explode(F.sequence(F.col(time), F.col("__last"), step)))
+    values = [F.when(F.col("__t") == F.col(time), F.col(c)).alias(c) for c in candles.columns if c not in (symbol, time)]
+    return filled.select(symbol, F.col("__t").alias(time), *values)
 
 
 def off_grid(candles: DataFrame, symbol: str = "symbol", time: str = "open_time") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -52,32 +52,31 @@ def direction() -> Column:
 def accuracy(predictions: DataFrame, keys: list[str] | None = None, zero: str = "zero", mean: str = "mean") -> DataFrame:
     """rmse, mae, ratio to the zero forecast, R2 against the mean forecast, and direction, for each model.
 
-    One aggregate gives every model's sums; the two benchmarks are then joined from it.
+    One aggregate gives every model's sums; the two benchmarks are looked up among a symbol's models.
     """
     keys = keys or ["symbol"]
     sums = predictions.groupBy(*keys, "model").agg(
         F.count(F.lit(1)).alias("n"), rmse().alias("rmse"), mae().alias("mae"), direction().alias("direction"), F.count_if(directed()).alias("direction_n"), F.sum(squared_error()).alias("__sse")
     )
-    base = sums.filter(F.col("model") == zero).select(*keys, F.col("rmse").alias("__zero"))
-    bench = sums.filter(F.col("model") == mean).select(*keys, F.col("__sse").alias("__mean"))
-    got = sums.join(base, keys, "left").join(bench, keys, "left")
-    got = got.withColumn("ratio_to_zero", F.try_divide("rmse", "__zero")).withColumn("r2_oos", 1 - F.try_divide("__sse", "__mean"))
-    return got.drop("__sse", "__zero", "__mean")
+    beside = Window.partitionBy(*keys)  # a row a model
+    base = F.max(F.when(F.col("model") == zero, F.col("rmse"))).over(beside)
+    bench = F.max(F.when(F.col("model") == mean, F.col("__sse"))).over(beside)
+    return sums.withColumn("ratio_to_zero", F.try_divide("rmse", base)).withColumn("r2_oos", 1 - F.try_divide("__sse", bench)).drop("__sse")
 
 
 def pair_change(predictions: DataFrame, pairs: list[tuple[str, str, str]]) -> DataFrame:
     """(symbol, question, base, model, n, change_pct): the change of the squared error from base to model."""
     mse = predictions.groupBy("symbol", "model").agg(F.avg(squared_error()).alias("mse"), F.count(F.lit(1)).alias("n"))
-    asked = predictions.sparkSession.createDataFrame(pairs, "question string, base string, model string")
-    base = mse.select("symbol", F.col("model").alias("base"), F.col("mse").alias("base_mse"))
-    got = mse.join(F.broadcast(asked), "model").join(base, ["symbol", "base"])
-    return got.select("symbol", "question", "base", "model", "n", ((F.try_divide("mse", "base_mse") - 1) * 100).alias("change_pct"))
+    known = mse.groupBy("symbol").agg(F.map_from_entries(F.collect_list(F.struct("model", F.struct("mse", "n")))).alias("m"))  # a few models
+    asked = F.array(*[F.struct(*[F.lit(x).alias(k) for k, x in zip(("question", "base", "model"), p)]) for p in pairs])
+    rows = known.withColumn("q", F.explode(asked))
+    got = rows.select("symbol", "q.*", F.try_element_at("m", F.col("q.model")).alias("own"), F.try_element_at("m", F.col("q.base")).alias("ref"))
+    got = got.filter("own is not null and ref is not null")
+    return got.select("symbol", "question", "base", "model", F.col("own.n").alias("n"), ((F.try_divide("own.mse", "ref.mse") - 1) * 100).alias("change_pct"))
 
 
 def describe_returns(returns: DataFrame, value: str = "ret", order: str = "open_time", symbol: str = "symbol", hours_per_year: float = 8760.0) -> DataFrame:
     """Moments of a return series; skewness and excess kurtosis are adjusted for the sample, as is usual in tables."""
-    from pyspark.sql import Window
-
     rows = returns.filter(F.col(value).isNotNull())
     rows = rows.withColumn("__before", F.lag(value, 1).over(Window.partitionBy(symbol).orderBy(order)))
     v, n = F.col(value), F.col("n")

@@ -53,12 +53,17 @@ def long_run_variance(rows: DataFrame, keys: list[str], value: str, order: list[
 
 
 def loss_differences(predictions: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
-    """(symbol, base, model, open_time, y_true, base_loss, model_loss, d): d = squared error of base less that of model."""
-    asked = predictions.sparkSession.createDataFrame(pairs, "base string, model string")
-    loss = predictions.select("symbol", "model", "open_time", "y_true", squared_error().alias("model_loss"))
-    own = loss.join(F.broadcast(asked), "model")
-    base = loss.select("symbol", F.col("model").alias("base"), "open_time", F.col("model_loss").alias("base_loss"))
-    return own.join(base, ["symbol", "base", "open_time"]).withColumn("d", F.col("base_loss") - F.col("model_loss"))
+    """(symbol, base, model, open_time, y_true, base_loss, model_loss, d): d = squared error of base less that of model.
+
+    The few models of an hour come together in one shuffle; pairs are then read from that row.
+    """
+    losses = predictions.groupBy("symbol", "open_time").agg(
+        F.first("y_true").alias("y_true"), F.map_from_entries(F.collect_list(F.struct("model", squared_error().alias("loss")))).alias("m")
+    )
+    asked = F.array(*[F.struct(F.lit(b).alias("base"), F.lit(m).alias("model")) for b, m in pairs])
+    rows = losses.withColumn("p", F.explode(asked))
+    got = rows.select("symbol", "p.base", "p.model", "open_time", "y_true", F.try_element_at("m", F.col("p.base")).alias("base_loss"), F.try_element_at("m", F.col("p.model")).alias("model_loss"))
+    return got.filter("base_loss is not null and model_loss is not null").withColumn("d", F.col("base_loss") - F.col("model_loss"))
 
 
 def diebold_mariano(differences: DataFrame, keys: list[str] | None = None, lags: int | None = None) -> DataFrame:
