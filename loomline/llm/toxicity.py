@@ -6,7 +6,7 @@ the second part falls below zero, the step climbs back along it, so that the fit
 documents away. Scores are estimates of P(toxic) and never see labels, ids, language or source.
 
 The fit uses at most POSITIVES + UNLABELLED labelled rows, the first by a hash of their ids; the prior is a share of all
-training labels. The unlabelled ones are training rows of either class with their label hidden.
+training labels. Spark counts the features of these rows and picks at most FEATURES; only those reach the driver. The unlabelled ones are training rows of either class with their label hidden.
 
 Defined results: null and empty texts score like a text without words; without any toxic training row all scores are
 zero; labels of unknown documents and null labels are ignored, and a document labelled twice is toxic if any label
@@ -22,10 +22,10 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows
+from .common import cut, map_rows
 
 #: Bounds of the fit: documents of each kind, features, and hash space.
-POSITIVES, UNLABELLED, FEATURES, SPACE = 3000, 6000, 4096, 1 << 22
+POSITIVES, UNLABELLED, FEATURES, SPACE = 3000, 6000, 2048, 1 << 20
 PREFIXES = (4, 5, 6)
 _LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -67,16 +67,15 @@ def fit_nnpu(x: np.ndarray, positive: np.ndarray, prior: float, steps: int = 400
     return w, float(bias)
 
 
-def choose(docs: list[np.ndarray], positive: np.ndarray, most: int) -> np.ndarray:
-    """The slots that tell positive from unlabelled documents best, by a z score of their document shares."""
-    count = [np.bincount(np.concatenate([np.unique(d) for d, p in zip(docs, positive) if p == kind] or [np.zeros(0, np.int64)]), minlength=SPACE) for kind in (True, False)]
-    n = [max(1, int(positive.sum())), max(1, int((~positive).sum()))]
-    share = [c / m for c, m in zip(count, n)]
-    pooled = (count[0] + count[1]) / sum(n)
-    z = (share[0] - share[1]) / np.sqrt(pooled * (1 - pooled) * (1 / n[0] + 1 / n[1]) + 1e-12)
-    z[count[0] + count[1] < 4] = 0
-    best = np.argsort(-np.abs(z), kind="stable")[:most]
-    return np.sort(best[np.abs(z[best]) > 4])
+def telling_slots(rows: DataFrame, most: int, least_docs: int = 4, least_z: float = 4.0) -> np.ndarray:
+    """The slots that tell positive from unlabelled documents best, by a z score of their document shares; sorted."""
+    n, m = rows.agg(F.count_if("positive"), F.count_if(~F.col("positive"))).first()
+    each = rows.select("positive", F.explode(F.array_distinct("slots")).alias("slot"))
+    per = each.groupBy("slot").agg(F.count_if("positive").alias("a"), F.count_if(~F.col("positive")).alias("b")).filter(F.col("a") + F.col("b") >= least_docs)
+    pooled = (F.col("a") + F.col("b")) / F.lit(float(n + m))
+    z = F.abs(F.col("a") / F.lit(float(n)) - F.col("b") / F.lit(float(m))) / F.sqrt(pooled * (1 - pooled) * F.lit(1 / n + 1 / m) + F.lit(1e-12))
+    best = per.select("slot", z.alias("z")).filter(F.col("z") > least_z).orderBy(F.desc("z"), "slot").limit(most).collect()
+    return np.sort(np.array([r["slot"] for r in best], np.int64))
 
 
 class Model:
@@ -117,22 +116,23 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("positive", "text")
 
     def make():
-        def work(batch):
-            return [(p, np.array([f for w in sorted(words_of(t)) for f in word_features(w)], np.int32).tobytes()) for p, t in batch]
+        return lambda batch: [(p, [f for w in sorted(words_of(t)) for f in word_features(w)]) for p, t in batch]
 
-        return work
+    rows = cut(map_rows(texts, make, "positive boolean, slots array<int>", 256))
+    kinds = {r["positive"] for r in rows.select("positive").distinct().collect()}
+    if kinds != {True, False}:
+        return Model({}, 0.0 if True in kinds else -700.0)
+    slots = telling_slots(rows, features)
 
-    got = map_rows(texts, make, "positive boolean, slots binary", 256).toArrow()
+    def narrow():
+        place = {int(f): k for k, f in enumerate(slots)}
+        return lambda batch: [(p, [place[f] for f in own if f in place]) for p, own in batch]
+
+    got = map_rows(rows, narrow, "positive boolean, at array<int>", 256).toArrow()
     positive = np.array(got.column(0).to_pylist(), bool)
-    rows = [np.frombuffer(b, np.int32) for b in got.column(1).to_pylist()]
-    if not positive.any() or positive.all():
-        return Model({}, -700.0 if not positive.any() else 0.0)
-    slots = choose(rows, positive, features)
-    x = np.zeros((len(rows), len(slots)), np.uint8)
-    for i, row in enumerate(rows):
-        at = np.searchsorted(slots, row)
-        at = at[(at < len(slots)) & (slots[np.minimum(at, len(slots) - 1)] == row)] if len(slots) else at[:0]
-        x[i] = np.minimum(np.bincount(at, minlength=len(slots)), 255)
+    x = np.zeros((len(positive), len(slots)), np.uint8)
+    for i, at in enumerate(got.column(1).to_pylist()):
+        x[i] = np.minimum(np.bincount(np.array(at, np.int64), minlength=len(slots)), 255)
     prior = min(0.99, max(1e-4, toxic / n))
     weights, bias = fit_nnpu(x, positive, prior)
     return Model({int(s): float(w) for s, w in zip(slots, weights)}, bias)
