@@ -198,7 +198,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = rows.groupBy("fp").agg(first)
     labels = components(links(classes.select("fp"), radius))
     classes = classes.join(labels, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("label", "fp").alias("root"))
-    roots = classes.groupBy("root").agg(F.min("first").alias("least"))
+    classes = cut(classes)  # a component of very many classes is then an ordinary skewed key of the next join
+    roots = cut(classes.groupBy("root").agg(F.min("first").alias("least")))
     member = classes.join(roots, "root").select("fp", "least")
     return rows.join(member, "fp").select(
         "id",
