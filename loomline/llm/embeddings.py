@@ -31,7 +31,7 @@ from .graph import components
 
 THRESHOLD, TABLES, PROBES, SCALE, SEED = 0.98, 6, 4, 1.5, 20240
 #: Rows that are compared at once; a cell with more is split.
-TILE = 512
+TILE = 256
 
 
 def roots() -> np.ndarray:

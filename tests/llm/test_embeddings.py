@@ -42,7 +42,7 @@ def planted(seed, n=250, dims=64):
     return [(i, [float(np.float32(x)) for x in v], label) for i, (v, label) in enumerate(rows)]
 
 
-@pytest.mark.parametrize("tile", [512, 8])
+@pytest.mark.parametrize("tile", [256, 8])
 def test_recall_and_precision_against_brute_force(spark, monkeypatch, tile):
     monkeypatch.setattr(E, "TILE", tile)
     rows = planted(3)
