@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 import re
 
+from . import shingles
 from .common import cut, map_rows, tiles
 from .graph import components
 
@@ -210,9 +211,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3, shingle: int = 3) -> DataFrame:
-    """docs with one row of each component."""
-    kept = near_duplicates(docs, id_col, text_col, radius, shingle).filter("kept").select(F.col("id").alias("__kid"), F.col("text_hash").alias("__kh"))
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, shingle: int = 5) -> DataFrame:
+    """docs with one row of each component of texts whose word shingles have at least the similarity (see `shingles`)."""
+    kept = shingles.near_duplicates(docs, id_col, text_col, similarity, shingle).filter("kept").select(F.col("id").alias("__kid"), F.col("text_hash").alias("__kh"))
     hashed = docs.withColumn("__h", F.xxhash64(F.coalesce(text_col, F.lit("")))).withColumn("__i", F.col(id_col).cast("long"))
     joined = hashed.join(kept, F.col("__i").eqNullSafe(F.col("__kid")) & (F.col("__h") == F.col("__kh")), "left_semi")
     return joined.dropDuplicates(["__i", "__h"]).select(*docs.columns)
