@@ -103,31 +103,40 @@ def model_confidence_set(predictions: DataFrame, alpha: float = 0.1, reps: int =
     return series.mapInPandas(run, "symbol string, model string, p_value double, kept boolean")
 
 
+def cell_patterns(pairs: DataFrame, truth: str, predicted: str, model: str) -> DataFrame:
+    """(c, n): the sets of cells that items have, with how often, and the items of each."""
+    cells = pairs.groupBy("item", model, truth, predicted).agg(F.count(F.lit(1)).alias("times"))
+    items = cells.groupBy("item").agg(F.sort_array(F.collect_list(F.struct(model, truth, predicted, "times"))).alias("c"))
+    return items.groupBy("c").agg(F.count(F.lit(1)).alias("n"))
+
+
 def f1_interval(pairs: DataFrame, truth: str, predicted: str, model: str, classes: list, reps: int = 1000, seed: int = 1, level: float = 0.95, chunk: int = 100) -> DataFrame:
     """(model, macro_f1, ci_low, ci_high): percentile interval of macro F1; rows are weighted alike for all models.
 
-    pairs(item, model, truth, predicted): a replicate draws multinomial weights for the cells of each item, so what a
-    task holds is one row for each item of a labelled set.
+    pairs(item, model, truth, predicted): items with equal cells (model, truth, predicted) are one pattern, and a
+    replicate draws multinomial weights over the counts of patterns, which has the distribution of drawing items. A task
+    holds the patterns, of which two models and two classes have at most 16, however many items there are.
     """
     tasks = pairs.sparkSession.range(-(-reps // chunk)).select(F.col("id").alias("chunk"))
-    items = pairs.groupBy("item").agg(F.sort_array(F.collect_list(F.struct(model, truth, predicted))).alias("c"))
-    packed = items.agg(F.sort_array(F.collect_list(F.struct("item", "c"))).alias("items"))
+    packed = cell_patterns(pairs, truth, predicted, model).agg(F.sort_array(F.collect_list(F.struct("c", "n"))).alias("patterns"))
     kind = pairs.schema[model].dataType.simpleString()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for row in frame.itertuples():
-                names = sorted({c[model] for i in row.items for c in i["c"]})
-                y = np.array([[classes.index(c[truth]) for c in i["c"]] for i in row.items])
-                p = np.array([[classes.index(c[predicted]) for c in i["c"]] for i in row.items])
+                names = sorted({c[model] for x in row.patterns for c in x["c"]})
+                count = np.array([x["n"] for x in row.patterns], np.int64)
+                cell = np.zeros((len(count), len(names), len(classes), len(classes)))
+                for i, x in enumerate(row.patterns):
+                    for c in x["c"]:
+                        cell[i, names.index(c[model]), classes.index(c[truth]), classes.index(c[predicted])] += c["times"]
                 for rep in range(row.chunk * chunk - (row.chunk == 0), min(reps, (row.chunk + 1) * chunk)):
-                    n = len(y)
-                    w = np.ones(n) if rep < 0 else np.bincount(np.random.default_rng([seed, rep]).integers(0, n, n), minlength=n)
-                    for k, name in enumerate(names):
-                        cell = np.bincount(y[:, k] * len(classes) + p[:, k], w, len(classes) ** 2).reshape(len(classes), -1)
-                        both = cell.sum(axis=0) + cell.sum(axis=1)
-                        f1 = np.where(both > 0, 2 * np.diag(cell) / np.maximum(both, 1e-300), 0).mean()
-                        yield pd.DataFrame({"model": [name], "rep": [rep], "f1": [f1]})
+                    n = int(count.sum())
+                    w = count if rep < 0 else np.random.default_rng([seed, rep]).multinomial(n, count / n)
+                    total = np.tensordot(w, cell, 1)
+                    both = total.sum(axis=1) + total.sum(axis=2)
+                    f1 = np.where(both > 0, 2 * np.diagonal(total, axis1=1, axis2=2) / np.maximum(both, 1e-300), 0).mean(axis=1)
+                    yield pd.DataFrame({"model": names, "rep": rep, "f1": f1})
 
     draws = tasks.crossJoin(packed).repartition("chunk").mapInPandas(run, f"model {kind}, rep long, f1 double")
     tail = (1 - level) / 2

@@ -163,6 +163,26 @@ def test_confidence_set():
     assert not got[3] and sum(got.values()) >= 2
 
 
+def test_f1_interval_over_patterns(spark):
+    """Two models and two classes give at most 16 patterns, whose weights have the distribution of drawn items."""
+    rng = np.random.default_rng(4)
+    truth = (rng.random(1500) < 0.3).astype(int)
+    guess = {"a": np.where(rng.random(1500) < 0.8, truth, 1 - truth), "b": np.ones(1500, int)}
+    rows = [(i, m, int(truth[i]), int(g[i])) for m, g in guess.items() for i in range(1500)]
+    pairs = spark.createDataFrame(rows, "item long, model string, truth int, predicted int").repartition(4)
+    patterns = resampling.cell_patterns(pairs, "truth", "predicted", "model").collect()
+    assert len(patterns) == 4 and sum(r.n for r in patterns) == 1500
+
+    def f1(t, g):
+        return np.mean([2 * ((t == c) & (g == c)).sum() / max(1, (t == c).sum() + (g == c).sum()) for c in (0, 1)])
+
+    got = {r.model: r for r in resampling.f1_interval(pairs, "truth", "predicted", "model", [0, 1], reps=600, seed=3).collect()}
+    for m, g in guess.items():
+        draws = [f1(truth[at], g[at]) for at in rng.integers(0, 1500, (600, 1500))]
+        assert got[m].macro_f1 == pytest.approx(f1(truth, g))
+        assert [got[m].ci_low, got[m].ci_high] == pytest.approx(np.percentile(draws, [2.5, 97.5]), abs=0.012)
+
+
 def test_regressions(spark):
     assert regression.chi2_sf(3.841458820694124, 1) == pytest.approx(0.05) and regression.chi2_sf(18.307038053275146, 10) == pytest.approx(0.05) and regression.chi2_sf(0, 3) == 1
     rng = np.random.default_rng(0)
