@@ -26,10 +26,12 @@ MIN_WORDS = 50
 BLOCK = 1 << 16
 #: Lowest characters per token, most tokens per word, most byte share, lowest entropy in bits.
 BANDS = {
-    "latin": (1.7, 3.35, 0.15, 5.3),
-    "greek": (0.8, 8.0, 0.6, 4.5),
+    "latin": (1.5, 5.0, 0.15, 5.3),
+    "vietnamese": (0.9, 4.5, 0.15, 4.8),
+    "greek": (0.7, 9.0, 0.6, 3.8),
     "cyrillic": (1.2, 6.0, 0.3, 5.0),
-    "arabic": (0.8, 8.0, 0.6, 4.5),
+    "hebrew": (0.65, 9.0, 0.6, 3.8),
+    "arabic": (0.7, 9.0, 0.6, 3.8),
     "indic": (0.4, 16.0, 0.9, 4.0),
     "cjk": (0.4, 1e9, 0.8, 5.0),
     "other": (0.3, 1e9, 0.9, 4.0),
@@ -46,11 +48,14 @@ SCRIPTS = {
     "latin": "A-Za-zÀ-ɏḀ-ỿ",
     "greek": "Ͱ-Ͽἀ-῿",
     "cyrillic": "Ѐ-ԯ",
-    "arabic": "֐-ۿݐ-ݿ",
+    "hebrew": "֐-׿יִ-ﭏ",
+    "arabic": "؀-ۿݐ-ݿ",
     "indic": "ऀ-෿",
     "cjk": "぀-ヿ㐀-䶿一-鿿가-힯",
 }
 _SCRIPT = {name: re.compile(f"[{chars}]+") for name, chars in SCRIPTS.items()}
+#: Latin letters of Vietnamese only; a Latin text with this share of them has its bands.
+_VIETNAMESE, VIETNAMESE_SHARE = re.compile("[ăđơưẠ-ỹ]", re.I), 0.08
 _SYMBOLS = re.compile(r"[#*$%&|<>]")
 
 
@@ -85,10 +90,14 @@ def base_measures(text: str | None) -> tuple[int, int, int, int, int]:
 
 
 def script_of(text: str) -> str:
-    """The script of most letters; ties go to the first in the list."""
+    """The script of most letters; ties go to the first in the list. Vietnamese counts as one of its own."""
     size = {name: sum(map(len, chars.findall(text))) for name, chars in _SCRIPT.items()}
     best = max(size, key=size.get)
-    return best if size[best] else "other"
+    if not size[best]:
+        return "other"
+    if best == "latin" and len(_VIETNAMESE.findall(text)) >= VIETNAMESE_SHARE * size[best]:
+        return "vietnamese"
+    return best
 
 
 def blocks(text: str, most: int = BLOCK):
