@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import cut, map_rows
 
 #: Bounds of the fit: documents of each kind, features, and hash space.
-POSITIVES, UNLABELLED, FEATURES, SPACE = 3000, 6000, 2048, 1 << 20
+POSITIVES, UNLABELLED, FEATURES, SPACE = 3000, 6000, 2048, 1 << 22
 PREFIXES = (4, 5, 6)
 _LETTERS = re.compile(r"[^\W\d_]+")
 
