@@ -176,12 +176,12 @@ def fit_arma(y: np.ndarray, p: int, q: int, steps: int = 120) -> tuple[np.ndarra
     return v, n * (math.log(max(value[best], 1e-300)) + math.log(2 * math.pi) + 1) + 2 * (m + 1)
 
 
-def arma(grid: DataFrame, windows: list[Window], orders: tuple[tuple[int, int], ...] = ((0, 0), (1, 0), (0, 1), (1, 1), (2, 0), (0, 2)), history: int = 8760, exog: list[str] | None = None, value: str = "ret_lag1") -> DataFrame:
+def arma(grid: DataFrame, windows: list[Window], orders: tuple[tuple[int, int], ...] = tuple(product(range(4), repeat=2)), history: int = 8760, exog: list[str] | None = None, value: str = "ret_lag1") -> DataFrame:
     """One-step forecasts (symbol, fold, open_time, y_true, model, y_pred) of the next hour's return.
 
     For each symbol and window the order with the least AIC over the last `history` hours of training is chosen and its
     parameters are frozen; the filter then runs through the test rows. With exog, returns are first regressed on those
-    columns as known an hour before. Each task holds one symbol's hours.
+    columns as known an hour before, and the order is the one chosen for the returns themselves. Each task holds one symbol's hours.
     """
     exog = exog or []
     spans = [(w.name, w.train_end, w.test_start, w.test_end) for w in windows]
@@ -204,8 +204,10 @@ def arma(grid: DataFrame, windows: list[Window], orders: tuple[tuple[int, int],
         columns = ["symbol", "fold", "open_time", "y_true", "model", "y_pred"]
         if np.isfinite(past).sum() < 30:
             return pd.DataFrame(columns=columns)
-        fits = [(*fit_arma(past, p, q), p, q) for p, q in orders]
+        fits = [(*fit_arma(y[train][-history:], p, q), p, q) for p, q in orders]
         v, _, p, q = min(fits, key=lambda f: f[1])
+        if exog:
+            v, _ = fit_arma(past, p, q)
         ahead, _ = residuals(np.append((y - shift), np.nan), v[0], v[1 : 1 + p], v[1 + p :])
         later = np.append(shift[1:], 0.0) if not exog else x_next(frame, exog, shift, ok, y)
         out = pd.DataFrame({"open_time": t, "y_true": frame["target"], "y_pred": ahead[1:] + later})

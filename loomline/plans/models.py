@@ -12,6 +12,8 @@ from .registry import query, rounded, timed
 from .series import model_table, priced
 
 COLUMNS = ["ret_lag1", "ret_lag2", "ret_lag3", "rv_6", "volume_change", "all_sent_mean", "all_news_intensity"]
+#: Seeds of the walk-forward queries; each forecasts every fold with the adapter's own settings.
+TREE_SEEDS, LSTM_SEEDS = (0, 1, 2, 3, 4), (0, 1, 2)
 
 
 @query()
@@ -45,7 +47,7 @@ def hac_wald(spark, sf_dir):
 @query()
 def granger(spark, sf_dir):
     rows = model_table(spark, sf_dir).select("symbol", "open_time", F.col("ret_lag1"), F.col("all_news_intensity"))
-    return regression.granger(rows, ["symbol"], "ret_lag1", "all_news_intensity", lags=(1, 3), most=4)
+    return regression.granger(rows, ["symbol"], "ret_lag1", "all_news_intensity")
 
 
 @query()
@@ -62,25 +64,25 @@ def learned(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def random_forest_wf(spark, sf_dir):
     table = learned(spark, sf_dir)
-    return timed(forecast.run(table, COLUMNS, FOLDS[:2], forecast.forest, {"trees": 20, "depth": 5, "leaf": 20}, seeds=(1,)), "open_time")
+    return timed(forecast.run(table, COLUMNS, FOLDS, forecast.forest, {}, seeds=TREE_SEEDS), "open_time")
 
 
 @query()
 def boosting_wf(spark, sf_dir):
     table = learned(spark, sf_dir)
-    return timed(forecast.run(table, COLUMNS, FOLDS[:1], forecast.boosting, {"rounds": 10, "depth": 3}, seeds=(1,)), "open_time")
+    return timed(forecast.run(table, COLUMNS, FOLDS, forecast.boosting, {}, seeds=TREE_SEEDS), "open_time")
 
 
 @query()
 def arima_wf(spark, sf_dir):
     table = model_table(spark, sf_dir).withColumn("valid", F.col("target").isNotNull())
-    return timed(forecast.arma(table, FOLDS, orders=((0, 0), (1, 0), (0, 1), (1, 1))), "open_time")
+    return timed(forecast.arma(table, FOLDS), "open_time")
 
 
 @query()
 def arimax_wf(spark, sf_dir):
     table = model_table(spark, sf_dir).withColumn("valid", F.col("target").isNotNull())
-    return timed(forecast.arma(table, FOLDS, orders=((0, 0), (1, 0)), exog=["all_sent_mean", "all_news_intensity"]), "open_time")
+    return timed(forecast.arma(table, FOLDS, exog=["all_sent_mean", "all_news_intensity"]), "open_time")
 
 
 @query()
@@ -116,4 +118,4 @@ def pesaran_timmermann_p(spark, sf_dir):
 @query()
 def lstm_wf(spark, sf_dir):
     table = learned(spark, sf_dir)
-    return timed(forecast.run(table, COLUMNS, FOLDS[:1], sequence.lstm, {"lookback": 6, "hidden": 8, "epochs": 5}, seeds=(1,)), "open_time")
+    return timed(forecast.run(table, COLUMNS, FOLDS, sequence.lstm, {}, seeds=LSTM_SEEDS), "open_time")
