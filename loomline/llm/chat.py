@@ -11,7 +11,8 @@ Rows of a conversation are taken by turn, then role and a hash of the text. A co
 ids, numbered by `part`, so that a very long one never is in memory at once.
 
 Defined results: null texts and roles are empty; repeated rows are turns of their own; null turns come first; rows
-without a conversation id form one conversation; an empty table gives an empty result; other columns are not read.
+without a conversation id form one conversation; an empty table gives an empty result; a very long text, of white space
+or anything else, is one turn of one row; other columns are not read.
 """
 
 from __future__ import annotations
@@ -40,6 +41,8 @@ CONTROL = (
     "<|start_header_id|>", "<|end_header_id|>", "<|eot_id|>",
 )
 ROW_IDS = 1 << 18
+#: Ids that are looked up at once.
+DECODED = 1 << 16
 _CONTROL = re.compile("|".join(re.escape(c) for c in sorted(CONTROL, key=len, reverse=True)))
 _SLASHES = re.compile(r"\\+")
 
@@ -141,14 +144,15 @@ def decoder(path: str | None = None):
 
     with open(path or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as file:
         token = {int(b): base64.b64decode(a) for a, b in map(bytes.split, file)}
-    return lambda ids: b"".join([token[i] for i in ids]).decode()
+    part = lambda ids: b"".join([token[i] for i in ids.tolist()])
+    return lambda ids: b"".join(part(ids[k : k + DECODED]) for k in range(0, len(ids), DECODED)).decode()
 
 
-def parse(ids: np.ndarray, mask: np.ndarray) -> Iterator[tuple[list[int], list[int], list[int]]]:
+def parse(ids: np.ndarray, mask: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(role ids, text ids, text ids under the mask) of each turn in a row of assemble()."""
     for start, middle, stop in zip(*(np.flatnonzero(ids == mark).tolist() for mark in (TURN, SEP, END))):
         text = ids[middle + 1 : stop]
-        yield ids[start + 1 : middle].tolist(), text.tolist(), text[mask[middle + 1 : stop] != 0].tolist()
+        yield ids[start + 1 : middle], text, text[mask[middle + 1 : stop] != 0]
 
 
 def read_back(rows: DataFrame) -> DataFrame:
@@ -170,7 +174,7 @@ def read_back(rows: DataFrame) -> DataFrame:
                     role_text, shown = decode(role), decode(text)
                     state[0] += 1
                     state[1].update(f"{unescape(role_text)}\n{unescape(shown)}\n".encode())
-                    if learnt:
+                    if len(learnt):
                         loss = unescape(decode(learnt))
                         state[2] += len(loss)
                         state[3].update(loss.encode())
@@ -191,8 +195,8 @@ def formatted_text(ids: list[int]) -> str:
     decode, out, plain = decoder(), [], []
     for i in ids:
         if i in SHOWN:
-            out += [decode(plain), SHOWN[i]]
+            out += [decode(np.array(plain, np.int64)), SHOWN[i]]
             plain = []
         else:
             plain.append(i)
-    return "".join([*out, decode(plain)])
+    return "".join([*out, decode(np.array(plain, np.int64))])

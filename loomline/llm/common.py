@@ -20,10 +20,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a temporary one only where none is set, as in tests."""
+    """The shared folder of spark.checkpoint.dir.
+
+    Where none is set, a temporary folder serves a local session, whose executors are this very process; on a cluster
+    that is an error, as its executors could not see such a folder.
+    """
     sc = spark.sparkContext
     shared = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         shared = tempfile.mkdtemp(prefix="loomline-checkpoint-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(shared)
@@ -70,17 +76,19 @@ def _arrow_schema(spark: SparkSession, schema: str) -> pa.Schema:
     return to_arrow_schema(StructType.fromDDL(schema))
 
 
-def numbered(
-    df: DataFrame, group: list[str], spread: Column, order: list[Column], rows: int, out: str, per_bucket: int = 2000
-) -> DataFrame:
+#: Rows that `numbered` orders together.
+PER_BUCKET = 2000
+
+
+def numbered(df: DataFrame, group: list[str], spread: Column, order: list[Column], buckets: Column, out: str) -> DataFrame:
     """df with out: 0, 1, 2, ... without gaps in each group, also where a group holds most rows.
 
-    A group is dealt over buckets by spread (about per_bucket rows each, rows being the rows of df); the rows
-    are numbered inside their bucket, and the bucket's start, a sum over bucket counts, is added.
+    A row's group is dealt over `buckets` buckets (its rows by PER_BUCKET, say) by spread; the rows are numbered inside
+    their bucket, and the bucket's start, a sum over the group's bucket counts, is added. There are as many starts as
+    buckets, so that where groups are few the second join is small.
     """
-    n = max(1, -(-rows // per_bucket))
     keys = [*group, "__bucket"]
-    dealt = df.withColumn("__bucket", F.pmod(spread, F.lit(n)).cast("int"))
+    dealt = df.withColumn("__bucket", F.pmod(spread, buckets).cast("int"))
     inside = dealt.withColumn("__inside", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1)
     before = Window.partitionBy(*group).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = dealt.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
@@ -94,20 +102,16 @@ def numbered(
 def dense_index(df: DataFrame, order: list[Column], out: str) -> DataFrame:
     """df with out: the row's place 0, 1, 2, ... in the order of all rows, by a distributed sort.
 
-    Only one count for each partition reaches the driver.
+    The starts of the sorted ranges come from one count a range.
     """
     n = max(1, df.sparkSession.sparkContext.defaultParallelism)
     ranged = cut(df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id()))
-    counts = {r["__p"]: r["n"] for r in ranged.groupBy("__p").agg(F.count(F.lit(1)).alias("n")).collect()}
-    starts, total = {}, 0
-    for p in sorted(counts):
-        starts[p] = total
-        total += counts[p]
-    if not starts:
-        return df.withColumn(out, F.lit(0).cast("long"))
-    lookup = F.create_map(*[F.lit(x) for kv in starts.items() for x in kv])
+    before = Window.orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranged.groupBy(F.col("__p").alias("__r")).agg(F.count(F.lit(1)).alias("__n"))
+    starts = starts.select("__r", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))  # n rows at most
     inside = F.row_number().over(Window.partitionBy("__p").orderBy(*order)) - 1
-    return ranged.withColumn(out, (F.element_at(lookup, F.col("__p")) + inside).cast("long")).select(*df.columns, out)
+    placed = ranged.withColumn("__inside", inside).join(starts, F.col("__p") == F.col("__r"))
+    return placed.withColumn(out, (F.col("__start") + F.col("__inside")).cast("long")).select(*df.columns, out)
 
 
 def tiles(df: DataFrame, key: str, item: str, most: int, also: Column | None = None) -> DataFrame:

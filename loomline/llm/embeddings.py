@@ -31,7 +31,7 @@ from .graph import components
 
 THRESHOLD, TABLES, PROBES, SCALE, SEED = 0.98, 6, 4, 1.5, 20240
 #: Rows that are compared at once; a cell with more is split.
-TILE = 256
+TILE = 512
 
 
 def roots() -> np.ndarray:
@@ -106,6 +106,7 @@ def unit_rows(column: pa.ListArray | pa.ChunkedArray) -> np.ndarray:
     """(n, dims) in double precision, each of length one; all rows have the same length."""
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     x = flat.reshape(len(column), -1)
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(axis=1))[1][:, None])  # squares of very large or small numbers stay finite
     return x / np.linalg.norm(x, axis=1)[:, None]
 
 
@@ -246,7 +247,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     labels = components(found.filter("b is not null").select("a", "b"))
     classes = classes.withColumnRenamed("label", "__label").drop("embedding").join(links, F.col("cid") == F.col("a"), "left").join(labels, F.col("cid") == F.col("node"), "left")
     classes = cut(classes.select(F.col("__label").alias("label"), "h1", "h2", "first", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce(F.col("label"), F.col("cid")).alias("root")))
-    least = classes.groupBy("root").agg(F.min("first").alias("component_id"))
+    least = cut(classes.groupBy("root").agg(F.min("first").alias("component_id")))  # a large component is then a skewed key that can be split
     member = classes.join(least, "root").select(F.col("label").alias("__l"), F.col("h1").alias("__h1"), F.col("h2").alias("__h2"), "n_links", "component_id")
     got = rows.join(member, (F.col("label") == F.col("__l")) & (F.col("h1") == F.col("__h1")) & (F.col("h2") == F.col("__h2")), "left")
     component = F.when(F.col("h1").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))

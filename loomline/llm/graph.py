@@ -18,8 +18,9 @@ def components(edges: DataFrame, most_steps: int = 60) -> DataFrame:
     """(node, label) for every node of edges(a, b): label is the smallest node that links reach.
 
     Each step hangs every node on the smallest neighbour (first its larger neighbours, then its smaller ones) with
-    an aggregate and a join, so no neighbour list is ever gathered; a node with very many edges is an ordinary
-    skewed join key. The edges of each step are checkpointed. Nulls and self links are ignored; an empty table
+    an aggregate and a join, so no neighbour list is ever gathered. The aggregate is checkpointed before the join, which
+    then has shuffles of its own on both sides: a node with very many edges is an ordinary skewed join key that adaptive
+    execution splits. The edges of each step are checkpointed too. Nulls and self links are ignored; an empty table
     gives an empty result.
     """
     now = cut(edges.select("a", "b").filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
@@ -28,10 +29,10 @@ def components(edges: DataFrame, most_steps: int = 60) -> DataFrame:
         if not mark[0]:
             break
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        least = cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
         large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = cut(large.filter("a <> b").distinct())
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        least = cut(large.groupBy("a").agg(F.min("b").alias("m")))
         small = large.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         after = cut(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
         then = _mark(after)

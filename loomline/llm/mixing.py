@@ -117,9 +117,10 @@ def mixture(docs: DataFrame, share: float = SHARE, most: float = MOST) -> DataFr
 
 
 def mix(docs: DataFrame, share: float = SHARE, most: float = MOST) -> DataFrame:
-    """The rows of docs, each as often as the mix takes it."""
-    got = plan(cut(sized(docs)), share, most).select(F.col("doc_id").alias("__id"), F.col("size").alias("__size"), F.col("source").alias("__src"), "times").distinct()
+    """The rows of docs, each as often as the mix takes it. Texts are shuffled once, to meet the decisions."""
+    got = plan(cut(sized(docs)), share, most).filter("times > 0")
+    got = cut(got.select(F.col("doc_id").alias("__id"), F.col("size").alias("__size"), F.col("source").alias("__src"), F.col("times").alias("__times")).distinct())
     rows = docs.withColumn("__words", word_count(F.col("text")))
     on = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__words") == F.col("__size")) & F.col("source").eqNullSafe(F.col("__src"))
-    taken = rows.join(got.filter("times > 0"), on)
-    return taken.select(*docs.columns, F.explode(F.array_repeat(F.lit(1), F.col("times"))).alias("__copy")).drop("__copy")
+    taken = rows.join(got, on)
+    return taken.select(*docs.columns, F.explode(F.array_repeat(F.lit(1), F.col("__times"))).alias("__copy")).drop("__copy")

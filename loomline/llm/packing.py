@@ -8,26 +8,36 @@ that document-by-document best-fit decreasing gives. Each piece then finds its p
 among the pieces of that length, which are numbered in parallel.
 
 Token ids: the 50k byte-level vocabulary, by its rank file, which gives the ids of its `tokenizers` file (tested over
-all code points in use) at a quarter of the time; the end-of-text string in a text is its id, as there.
+all code points in use) at a quarter of the time; the end-of-text string in a text is its id, as there. Runs of white
+space from LONG_RUN characters on, which the pattern's look-ahead can't take, are encoded beside it, in blocks joined
+where the two tokens at the seam are what their bytes alone encode to (then the blocks' tokens are those of the run).
 
 Defined results: null and empty texts are documents of the end id alone; repeated rows are packed each; null ids are
-kept; an empty table packs into nothing; very long texts only make more pieces; other columns are not read.
+kept; an empty table packs into nothing; very long texts, of white space or anything else, only make more pieces; other
+columns are not read.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from collections import defaultdict
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_rows, numbered
+from .common import PER_BUCKET, cut, map_rows, numbered
 
 CAPACITY, END_ID = 2048, 0
+END_OF_TEXT, END_OF_TEXT_ID = "<|endoftext|>", 50256
+#: Characters of white space that are encoded beside the pattern, and bytes that are encoded at once there.
+LONG_RUN, RUN_BLOCK = 50_000, 1 << 20
+#: White space as the vocabulary's pattern has it (Unicode's White_Space).
+_RUN = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{%d,}+" % LONG_RUN)
 
 
 def encoder(path: str | None = None):
@@ -37,8 +47,49 @@ def encoder(path: str | None = None):
 
     with open(path or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as file:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
-    own = tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={"<|endoftext|>": 50256})
-    return lambda text: own.encode(text, allowed_special="all")
+    own = tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={END_OF_TEXT: END_OF_TEXT_ID})
+    single, token = own._core_bpe.encode_single_piece, {v: k for k, v in ranks.items()}
+
+    def encode(text: str) -> list[int]:
+        if len(text) < LONG_RUN or not _RUN.search(text):
+            return own.encode(text, allowed_special="all")
+        out: list[int] = []
+        for k, part in enumerate(text.split(END_OF_TEXT)):
+            out += [END_OF_TEXT_ID] * (k > 0)
+            at = 0
+            for run in _RUN.finditer(part):
+                # the last white space before another character belongs to what follows
+                end = run.end() - (run.end() < len(part))
+                out += own.encode_ordinary(part[at : run.start()])
+                out += run_ids(part[run.start() : end].encode(), single, token)
+                at = end
+            out += own.encode_ordinary(part[at:])
+        return out
+
+    return encode
+
+
+def run_ids(piece: bytes, single: Callable[[bytes], list[int]], token: dict[int, bytes], block: int = RUN_BLOCK) -> list[int]:
+    """The ids of a piece that no pattern splits, worked out in blocks; single encodes bytes as they stand.
+
+    Encodings of two halves stand side by side in the encoding of the whole if their two tokens at the seam do so in
+    the encoding of those two alone. A block is shortened until that holds; failing that, the piece is encoded at once.
+    """
+    joined = lambda a, b: single(token[a] + token[b]) == [a, b]
+    out: list[int] = []
+    at = 0
+    while at < len(piece):
+        for end in range(min(len(piece), at + block), max(at, at + block - 256), -1):
+            ids = single(piece[at:end])
+            if out and not joined(out[-1], ids[0]):
+                continue
+            if end == len(piece) or joined(ids[-1], single(piece[end : end + 4096])[0]):
+                break
+        else:
+            return single(piece)
+        out += ids
+        at = end
+    return out
 
 
 def cuts(length: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
@@ -144,7 +195,8 @@ def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     key = plan[:, 0] << 44 | plan[:, 1]
     order = np.argsort(key)
     key, plan = key[order], plan[order]
-    ranked = numbered(rows, ["length"], F.xxhash64("__uid"), [F.col("__uid")], sum(lengths.values()), "__rank").drop("__uid")
+    each = F.lit([-(-lengths.get(n, 1) // PER_BUCKET) for n in range(capacity + 1)])
+    ranked = numbered(rows, ["length"], F.xxhash64("__uid"), [F.col("__uid")], F.get(each, F.col("length").cast("int")), "__rank").drop("__uid")
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in parts.schema), "sequence_id long", "offset long"])
     names = parts.columns
 

@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, numbered
+from .common import PER_BUCKET, cut, numbered
 
 SHARDS = 24
 
@@ -42,15 +42,22 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", weigh
         F.crc32(text).alias("text_crc32"),
         F.lit("key").alias("law"),
     )
-    rows = cut(rows)  # small: the texts are read once
     key = F.col("doc_id")
     rows = rows.withColumn("shard", rendezvous(key, weights)).withColumn("grown_shard", rendezvous(key, [*weights, grown]))
+    rows = cut(rows)  # small: the texts are read once, the shards chosen once
+    counts = {r["shard"]: r["n"] for r in rows.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()}  # one a shard
+    buckets = F.lit([-(-counts.get(s, 1) // PER_BUCKET) for s in range(len(weights))])
     order = [F.col("doc_id"), F.col("text_crc32"), F.col("size")]
-    return numbered(rows, ["shard"], F.xxhash64(*order), order, rows.count(), "slot")
+    return numbered(rows, ["shard"], F.xxhash64(*order), order, F.get(buckets, F.col("shard")), "slot")
 
 
-def write_shards(docs: DataFrame, placed: DataFrame, path: str, id_col: str = "doc_id") -> None:
-    """docs as Parquet under path, one folder for each shard, several files where a shard is large."""
-    where = placed.select(F.col("doc_id").alias("__id"), "shard").distinct()
-    joined = docs.join(where, F.col(id_col).eqNullSafe(F.col("__id"))).drop("__id")
-    joined.repartition("shard", F.pmod(F.xxhash64(id_col), F.lit(8))).write.partitionBy("shard").parquet(path)
+def write_shards(docs: DataFrame, path: str, id_col: str = "doc_id", weights: Sequence[float] = (1.0,) * SHARDS, files: int = 8) -> None:
+    """docs as Parquet under path, one folder (shard=N) for each shard, up to `files` files each.
+
+    The shard of a row is that of its key, so nothing is joined. A column of docs that is called shard would clash with
+    the folders' and is written as __shard.
+    """
+    key = F.col(id_col).cast("long")
+    own = docs.withColumnRenamed("shard", "__shard").withColumn("shard", rendezvous(key, weights))
+    spread = F.xxhash64(*[f.name for f in docs.schema if "map<" not in f.dataType.simpleString() and f.name != "shard"])
+    own.repartition("shard", F.pmod(spread, F.lit(files))).write.partitionBy("shard").parquet(path)

@@ -212,8 +212,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, shingle: int = 5) -> DataFrame:
-    """docs with one row of each component of texts whose word shingles have at least the similarity (see `shingles`)."""
-    kept = shingles.near_duplicates(docs, id_col, text_col, similarity, shingle).filter("kept").select(F.col("id").alias("__kid"), F.col("text_hash").alias("__kh"))
+    """docs with one row of each component of texts whose word shingles have at least the similarity (see `shingles`).
+
+    Texts are shuffled once, to meet the decisions; only rows that repeat an id and a text are moved again.
+    """
+    kept = shingles.near_duplicates(docs, id_col, text_col, similarity, shingle).filter("kept")
+    kept = cut(kept.groupBy(F.col("id").alias("__kid"), F.col("text_hash").alias("__kh")).agg(F.count(F.lit(1)).alias("__n")))
     hashed = docs.withColumn("__h", F.xxhash64(F.coalesce(text_col, F.lit("")))).withColumn("__i", F.col(id_col).cast("long"))
-    joined = hashed.join(kept, F.col("__i").eqNullSafe(F.col("__kid")) & (F.col("__h") == F.col("__kh")), "left_semi")
-    return joined.dropDuplicates(["__i", "__h"]).select(*docs.columns)
+    joined = hashed.join(kept, F.col("__i").eqNullSafe(F.col("__kid")) & (F.col("__h") == F.col("__kh")))
+    once, again = joined.filter("__n = 1"), joined.filter("__n > 1").dropDuplicates(["__i", "__h"])
+    return once.select(*docs.columns).unionByName(again.select(*docs.columns))

@@ -63,3 +63,12 @@ def test_formatted_text_and_reserved_ids(spark):
 def test_empty(spark):
     frame = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert chat.read_back(chat.assemble(chat.segments(frame))).count() == 0
+
+
+def test_long_white_space_comes_back(spark):
+    rows = spark.createDataFrame([(1, 0, "user", " "), (1, 1, "assistant", "\u00a0"), (2, 0, "assistant", "\n")], "conv_id long, turn long, role string, c string")
+    rows = rows.selectExpr("conv_id", "turn", "role", "repeat(c, 1000000 + int(turn)) AS text")
+    got = {r.conv_id: r for r in chat.read_back(chat.assemble(chat.segments(rows))).collect()}
+    first = f"user\n{' ' * 1_000_000}\nassistant\n{chr(0xA0) * 1_000_001}\n"
+    assert got[1].turns_sha256 == hashlib.sha256(first.encode()).hexdigest() and got[1].loss_chars == 1_000_001
+    assert got[2].loss_sha256 == hashlib.sha256(b"\n" * 1_000_000).hexdigest()

@@ -88,3 +88,16 @@ def test_water_level_stops(spark):
     level = mixing.water_level(sources, 1000.0)
     assert sum(min(c, level * w) for w, c in ((1, 3), (2, 300), (3, 3000))) == pytest.approx(1000)
     assert defaultdict(int) == {}
+
+
+def test_clashing_columns_go_through(spark):
+    docs = spark.range(300).selectExpr("id AS doc_id", "repeat('w ', int(id % 7)) AS text", "if(id % 3 = 0, 'a', 'b') AS source")
+    for name in ("times", "size", "weight", "target", "hash", "bucket", "rest", "edge", "room", "docs", "cap"):
+        docs = docs.withColumn(name, F.lit("clash"))
+    got = mixing.mix(docs)
+    assert got.columns == docs.columns and {r.times for r in got.select("times").collect()} == {"clash"}
+    taken = {r.doc_id: r.taken for r in mixing.mixture(docs).collect()}
+    words = {}
+    for r in got.collect():
+        words[r.doc_id] = words.get(r.doc_id, 0) + len(r.text.split())
+    assert all(words.get(i, 0) == n for i, n in taken.items())

@@ -85,5 +85,57 @@ def test_ids_equal_the_tokenizers_file():
     assert [e.ids for e in known.encode_batch(texts, add_special_tokens=False)] == [encode(t) for t in texts]
 
 
+@pytest.fixture(scope="module")
+def known():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    return lambda texts: [e.ids for e in Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).encode_batch(texts, add_special_tokens=False)]
+
+
+@pytest.mark.parametrize("space", [" ", "\t", "\n", "\u00a0", "\r\n", " \u00a0"])
+def test_long_white_space_has_the_ids_of_the_tokenizers_file(known, space):
+    run = space * (1_000_200 // len(space))
+    texts = [run, f"some words{run}and more", f"a{run}<|endoftext|>{run[:70_000]} b", f"{run[:60_001]}!"]
+    encode = packing.encoder()
+    for text, want in zip(texts, known(texts)):
+        assert encode(text) == want
+
+
+def test_blocks_of_a_run_join_to_the_ids_of_the_run():
+    import base64
+
+    import public_tokenizers
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb"))}
+    single = tiktoken.Encoding("x", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+    token, rng = {v: k for k, v in ranks.items()}, random.Random(8)
+    for _ in range(200):
+        kinds = rng.choice([" \n", " \n\t\r", "\u00a0 ", "\u00a0", "\u2003\u3000 \u0085\n", "\n"])
+        piece = "".join(rng.choices(kinds, k=rng.randint(1, 3000))).encode()
+        assert packing.run_ids(piece, single, token, rng.choice([70, 300, 1000])) == single(piece)
+
+
+def test_long_white_space_is_packed(spark):
+    docs = spark.createDataFrame([(1, " "), (2, "\u00a0"), (3, "x")], "doc_id long, c string").selectExpr("doc_id", "if(doc_id < 3, repeat(c, 1000000 + int(doc_id)), c) AS text")
+    rows = packing.pack(packing.pieces(docs)).collect()
+    encode = packing.encoder()
+    for i, text in ((1, " " * 1_000_001), (2, "\u00a0" * 1_000_002), (3, "x")):
+        ids = [*encode(text), 0]
+        own = sorted((r.start, r.length, r.ids_crc32) for r in rows if r.doc_id == i)
+        assert own == [(s, n, zlib.crc32(np.array(ids[s : s + n], "<u4").tobytes())) for s, n in packing.cuts(len(ids))]
+
+
+def test_starts_of_numbers_are_few(spark):
+    """One a length and PER_BUCKET rows, not one a row."""
+    parts = spark.range(60_000).selectExpr("id AS doc_id", "int(id % 3) * 5 + 1 AS length")
+    rows = packing.pack(parts)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Window") == 2
+    got = rows.groupBy("sequence_id").agg({"length": "sum"}).collect()
+    assert max(r[1] for r in got) <= 2048 and sum(r[1] for r in got) == 20_000 * (1 + 6 + 11)
+
+
 def test_empty(no_docs):
     assert packing.pack(packing.pieces(no_docs)).count() == 0

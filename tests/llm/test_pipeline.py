@@ -49,7 +49,7 @@ def test_run(spark):
 
 def test_numbering(spark, docs):
     hot = spark.range(5000).selectExpr("id", "case when id % 3 = 0 then null else 'x' end AS g")
-    rows = numbered(hot, ["g"], F.xxhash64("id"), [F.col("id")], 5000, "n", per_bucket=100).collect()
+    rows = numbered(hot, ["g"], F.xxhash64("id"), [F.col("id")], F.when(F.col("g").isNull(), 20).otherwise(40), "n").collect()
     for g in ("x", None):
         assert sorted(r.n for r in rows if r.g == g) == list(range(sum(r.g == g for r in rows)))
     got = dense_index(hot, [F.col("g").asc_nulls_last(), F.col("id")], "n").collect()

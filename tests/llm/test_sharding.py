@@ -40,7 +40,41 @@ def test_edge_cases(docs, no_docs):
     assert sharding.shard(no_docs).count() == 0
 
 
+def plain_xxh64(data: bytes, seed: int) -> int:
+    import xxhash
+
+    return xxhash.xxh64_intdigest(data, seed)
+
+
+def plain_shard(key: int, weights) -> int:
+    """The winning shard by plain arithmetic: Spark hashes column by column, each hash being the next one's seed."""
+    import math
+
+    best = None
+    for shard, weight in enumerate(weights):
+        h = plain_xxh64(b"shard", 42)
+        if key is not None:
+            h = plain_xxh64((key & (1 << 64) - 1).to_bytes(8, "little"), h)
+        h = plain_xxh64(shard.to_bytes(4, "little"), h)
+        score = -weight / math.log(((h >> 11) + 0.5) * 2.0**-53)
+        if best is None or score > best[0]:
+            best = (score, shard)
+    return best[1]
+
+
+def test_brute_force(spark):
+    weights = [1.0, 2.0, 0.5, *[1.0] * 21]
+    docs = spark.range(-50, 1500).selectExpr("if(id = 7, null, id) AS doc_id", "concat('t', id % 90) AS text")
+    rows = sharding.shard(docs, weights=weights, grown=1.5).collect()
+    assert [r["shard"] for r in rows] == [plain_shard(r.doc_id, weights) for r in rows]
+    assert [r.grown_shard for r in rows] == [plain_shard(r.doc_id, [*weights, 1.5]) for r in rows]
+    for s in range(24):
+        assert sorted(r.slot for r in rows if r["shard"] == s) == list(range(sum(r["shard"] == s for r in rows)))
+
+
 def test_write_shards(spark, tmp_path):
-    docs = spark.range(200).selectExpr("id AS doc_id", "'x' AS text")
-    sharding.write_shards(docs, sharding.shard(docs, weights=[1.0] * 4), f"{tmp_path}/out")
-    assert spark.read.parquet(f"{tmp_path}/out").count() == 200
+    docs = spark.range(200).selectExpr("id AS doc_id", "'x' AS text", "'clash' AS shard", "map('a', id) AS m")
+    sharding.write_shards(docs, f"{tmp_path}/out", weights=[1.0] * 4)
+    got = spark.read.parquet(f"{tmp_path}/out").collect()
+    want = {r.doc_id: r["shard"] for r in sharding.shard(docs, weights=[1.0] * 4).collect()}
+    assert {r.doc_id: r["shard"] for r in got} == want and {r["__shard"] for r in got} == {"clash"}
