@@ -77,7 +77,7 @@ def _arrow_schema(spark: SparkSession, schema: str) -> pa.Schema:
 
 
 #: Rows that `numbered` orders together.
-PER_BUCKET = 2000
+PER_BUCKET = 500
 
 
 def numbered(df: DataFrame, group: list[str], spread: Column, order: list[Column], buckets: Column, out: str) -> DataFrame:
