@@ -198,7 +198,7 @@ def found_links(classes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     dealt = tiles(cells(classes), "key", "cid", TILE, also=F.max("home"))
     full = dealt.join(classes.select("cid", "label", "n", "embedding"), "cid")
     order, pack = ["key", "tile_i", "tile_j"], TILE
-    full = full.repartition(*order).sortWithinPartitions(*order)
+    full = full.repartitionByRange(*order).sortWithinPartitions(*order)  # by range: many tiles of one cell are spread evenly
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
