@@ -100,6 +100,10 @@ def test_text_functions(spark):
     assert one(text.sitemap_locations(F.lit("<loc> a </loc><loc>b</loc>"))) == ["a", "b"]
     assert one(text.rss_items(F.lit("<item><title><![CDATA[T]]></title><link>l</link><pubDate>d</pubDate></item>")))[0].asDict() == {"title": "T", "link": "l", "published": "d"}
     assert one(text.is_article_url(F.lit("https://a.com/one-two-three"))) and not one(text.is_article_url(F.lit("https://a.com/tag/one-two-three")))
+    two = '<meta itemprop="datePublished" content="b"><script>"datePublished": "c"</script><time class=x datetime="a">'
+    assert one(text.first_time(F.lit(two))) == "a" and one(text.first_time(F.lit(two[:60]))) == "b" and one(text.first_time(F.lit(two[:-30]))) == "c"
+    assert one(text.first_time(F.lit("<pubDate>x</pubDate>"))) is None and one(text.feed_time(F.lit("<pubDate> Mon, 01 Jan 2024 10:00 GMT</pubDate>"))) == "Mon, 01 Jan 2024 10:00 GMT"
+    assert one(text.has_minutes(F.lit("2024-01-01T10:00Z"))) and not one(text.has_zone(F.lit("2024/01/01 10:00")))
     assert one(text.decimal_comma(F.lit(1234.5), 2)) == "1 234,50"
     assert one(text.parse_label(F.lit(" Neg "), {"neg": "negative"})) == "negative"
     with pytest.raises(Exception, match="unknown label"):

@@ -1,7 +1,9 @@
 """File sources, settings and streams."""
 
 import hashlib
+import io
 import json
+import zipfile
 from datetime import datetime, timedelta
 
 import pytest
@@ -37,11 +39,11 @@ def test_checksums(spark, tmp_path):
 
 def test_headline_files(spark, tmp_path):
     (tmp_path / "a.csv").write_text('URL,Title,Date Time,Coin Type,Open\nu1,"A, b",2024-01-01 10:00,btc,1.5\nu2,B,x,eth,bad\n')
-    (tmp_path / "b.csv").write_text("link,headline,published\nu3,C,2024-01-02\n")
+    (tmp_path / "b.csv").write_text("link,headline,published_at,Currency\nu3,C,2024-01-02,btc\n")
     (tmp_path / "c.csv").write_text("what,ever\n1,2\n")
     got, skipped = files.read_headlines(spark, [f"{tmp_path}/{x}.csv" for x in "abc"])
     rows = {r.url: r for r in got.collect()}
-    assert skipped == [f"{tmp_path}/c.csv"] and rows["u1"].title == "A, b" and rows["u1"].open == 1.5 and rows["u2"].open is None and rows["u3"].coin_type is None
+    assert skipped == [f"{tmp_path}/c.csv"] and rows["u1"].title == "A, b" and rows["u1"].open == 1.5 and rows["u2"].open is None and rows["u3"].coin_type == "btc" and rows["u3"].date_time == "2024-01-02"
 
 
 def test_collected_lines(spark, tmp_path):
@@ -112,3 +114,42 @@ def test_paged_records(spark, tmp_path):
     rows, end = reader.read(reader.initialOffset())
     assert len(list(rows)) == 4 and end == {"page": 2} and reader.read({"page": 4})[1] == {"page": 4}
     assert len(list(reader.readBetweenOffsets({"page": 1}, {"page": 4}))) == 12
+
+
+def test_outputs_are_moved_aside(spark, tmp_path):
+    frame = spark.range(3)
+    for _ in range(3):
+        files.write_table(frame, f"{tmp_path}/t")
+    assert len([x for x in tmp_path.iterdir() if x.name.startswith("t.")]) == 2 and spark.read.parquet(f"{tmp_path}/t").count() == 3
+
+
+def test_tables_are_found_unpacked_and_fetched(spark, tmp_path):
+    inner = io.BytesIO()
+    with zipfile.ZipFile(inner, "w") as z:
+        z.writestr("deep/b.csv", "x\n2\n")
+    outer = io.BytesIO()
+    with zipfile.ZipFile(outer, "w") as z:
+        z.writestr("folder/a.csv", "x\n1\n")
+        z.writestr("__MACOSX/._a.csv", "no")
+        z.writestr("readme.txt", "no")
+        z.writestr("inner.zip", inner.getvalue())
+    (tmp_path / "one").mkdir()
+    (tmp_path / "one" / "set.zip").write_bytes(outer.getvalue())
+    (tmp_path / "one" / "._c.csv").write_text("no")
+    names = lambda got: [x.rpartition("/")[2] for x in got[0]]
+    got = files.obtain(spark, f"{tmp_path}/one")
+    assert names(got) == ["a.csv", "b.csv"] and got[1] == "from an archive in the folder"
+    assert files.obtain(spark, f"{tmp_path}/one")[1] == "in the folder"
+    (tmp_path / "two").mkdir()
+    with pytest.raises(FileNotFoundError, match="by hand"):
+        files.obtain(spark, f"{tmp_path}/two", lambda: None)
+    assert files.obtain(spark, f"{tmp_path}/two", outer.getvalue)[1] == "fetched"
+
+
+def test_month_files(spark, tmp_path):
+    (tmp_path / "btc").mkdir()
+    (tmp_path / "btc" / "btc-2024-01.csv").write_text("1")
+    fetch = lambda month: {"2024-02": (b"2", True), "2024-03": (b"3", False)}.get(month)
+    got = files.month_files(spark, str(tmp_path), "btc", ["2024-01", "2024-02", "2024-03", "2024-04"], fetch).collect()
+    assert [r.status for r in got] == ["cache", "downloaded", "downloaded_unverified", "missing"]
+    assert {r.status for r in files.month_files(spark, str(tmp_path), "btc", ["2024-02", "2024-03"]).collect()} == {"cache"}
