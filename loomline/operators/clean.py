@@ -59,52 +59,70 @@ def imprecise(news: DataFrame, time: str = "published", share: float = 0.3, leas
 
 
 def anchored_repeats(news: DataFrame, key: str, time: str, tie: str, hours: int = 24) -> DataFrame:
-    """news with `repeat`: at most `hours` after the last kept row of its key.
+    """news with `repeat`: at most `hours` after the last kept row of its key; of equal times the least tie comes first.
 
-    A gap beyond the window always starts anew, so rows between such gaps are told apart by a window; only runs of
-    two or more rows are walked through, streamed in order with one anchor in memory.
+    Which times are kept follows from a key's distinct times alone. These are aggregated before they are shuffled, and a
+    task streams those of a key in order, with one anchor in memory: their number is bounded by the clock, not by the
+    rows. The rows, wherever they lie, then look their own time up. Rows without a time are never repeats; rows equal
+    in key, time and tie are kept together.
     """
-    span = hours * 3600
-    w = Window.partitionBy(key).orderBy(time, tie)
-    seconds = F.unix_micros(F.col(time)) / F.lit(1e6)
-    cut = F.when(seconds - F.lag(seconds, 1).over(w) <= span, 0).otherwise(1)
-    runs = news.withColumn("__cut", cut).withColumn("__run", F.sum("__cut").over(w))
-    whole = Window.partitionBy(key, "__run")
-    runs = runs.withColumn("__n", F.count(F.lit(1)).over(whole))
-    alone = runs.filter("__n = 1").withColumn("repeat", F.lit(False)).drop("__cut", "__run", "__n")
-    several = runs.filter("__n > 1").withColumn("__k", F.xxhash64(key)).withColumn("__s", F.unix_micros(F.col(time)))
-    ordered = several.repartition("__k", "__run").sortWithinPartitions("__k", key, "__run", time, tie)
-    schema = alone.schema
+    span = hours * 3_600_000_000
+    rows = news.withColumn("__k", F.sha2(F.coalesce(F.col(key).cast("string"), F.lit("\0")), 256)).withColumn("__s", F.unix_micros(F.col(time)))
+    times = rows.filter("__s is not null").groupBy("__k", "__s").agg(F.min(tie).alias("__first"))
+    ordered = times.repartition("__k").sortWithinPartitions("__k", "__s")
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, anchor = None, 0
         for batch in batches:
-            get = lambda c: batch.column(batch.schema.get_field_index(c)).to_pylist()
-            flags = np.zeros(batch.num_rows, bool)
-            for i, now in enumerate(zip(get(key), get("__run"), get("__s"))):
-                if now[:2] == last and now[2] - anchor <= span * 1_000_000:
-                    flags[i] = True
-                else:
-                    last, anchor = now[:2], now[2]
-            columns = [batch.column(batch.schema.get_field_index(f.name)) for f in schema if f.name != "repeat"]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(flags)], names=[f.name for f in schema])
-
-    return alone.unionByName(ordered.mapInArrow(walk, schema))
-
-
-def bursts(news: DataFrame, time: str = "published", source: str = "source", least: int = 10, gap: float = 60.0, tie: str | None = None) -> DataFrame:
-    """news with burst_size and in_burst: runs of a source in which rows follow each other in less than gap seconds."""
-    w = Window.partitionBy(source).orderBy(time, *([tie] if tie else []))
-    seconds = F.unix_micros(F.col(time)) / F.lit(1e6)
-    marked = news.withColumn("__run", F.when(seconds - F.lag(seconds, 1).over(w) >= gap, 1).otherwise(0))
-    marked = marked.withColumn("burst", F.sum("__run").over(w))
-    return marked.withColumn("burst_size", F.count(F.lit(1)).over(Window.partitionBy(source, "burst"))).withColumn("in_burst", F.col("burst_size") >= least).drop("__run")
-
-
-def burst_runs(news: DataFrame, time: str = "published", source: str = "source", least: int = 10, gap: float = 60.0, tie: str | None = None) -> DataFrame:
+            keep = np.zeros(batch.num_rows, bool)
+            for i, (name, now) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+                if name != last or now - anchor > span:
+                    keep[i] = True
+                    last, anchor = name, now
+            yield batch.filter(pa.array(keep))
+
+    kept = ordered.mapInArrow(walk, ordered.schema)
+    kept = kept.select(F.col("__k").alias("__kk"), F.col("__s").alias("__ks"), "__first")
+    marked = rows.join(kept, (F.col("__k") == F.col("__kk")) & (F.col("__s") == F.col("__ks")), "left")
+    repeat = F.col("__s").isNotNull() & ~F.col(tie).eqNullSafe(F.col("__first")) | F.col("__s").isNotNull() & F.col("__kk").isNull()
+    return marked.withColumn("repeat", repeat).select(*news.columns, "repeat")
+
+
+def _numbered_runs(news: DataFrame, time: str, source: str, gap: float, tie: str | None, block: int) -> tuple[DataFrame, DataFrame]:
+    """(rows, parts): rows with their block of time and the run's number inside it; each such part of a run.
+
+    A source is cut into blocks of time, so that no task orders a source's every row; a block's first row is compared
+    with the last one of the block before it, which comes from one row a block. Parts have burst, the run's number
+    within its source, and its size.
+    """
+    rows = news.withColumn("__s", F.unix_micros(F.col(time)) / F.lit(1e6))
+    rows = rows.withColumn("__b", F.coalesce(F.floor(F.col("__s") / F.lit(block)), F.lit(-(1 << 60)))).withColumn("__src", F.coalesce(F.col(source).cast("string"), F.lit("\0")))
+    blocks = rows.groupBy("__src", "__b").agg(F.max("__s").alias("__hi"))
+    before = blocks.select("__src", "__b", F.lag("__hi").over(Window.partitionBy("__src").orderBy("__b")).alias("__last"))
+    w = Window.partitionBy("__src", "__b").orderBy(time, *([tie] if tie else []))
+    rows = rows.join(before, ["__src", "__b"])
+    starts = F.when(F.col("__s") - F.coalesce(F.lag("__s").over(w), F.col("__last")) >= gap, 1).otherwise(0)
+    rows = rows.withColumn("__start", starts).withColumn("__run", F.sum("__start").over(w))
+    parts = rows.groupBy("__src", "__b", "__run").agg(F.count(F.lit(1)).alias("__n"), F.min(time).alias("first"), F.max(time).alias("last"), F.first(source).alias(source))
+    starts = parts.groupBy("__src", "__b").agg(F.max("__run").alias("__starts"))
+    upto = F.sum("__starts").over(Window.partitionBy("__src").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1))
+    base = starts.select("__src", "__b", F.coalesce(upto, F.lit(0)).alias("__base"))
+    parts = parts.join(base, ["__src", "__b"]).withColumn("burst", F.col("__base") + F.col("__run")).drop("__base")
+    return rows, parts.withColumn("burst_size", F.sum("__n").over(Window.partitionBy("__src", "burst")))
+
+
+def bursts(news: DataFrame, time: str = "published", source: str = "source", least: int = 10, gap: float = 60.0, tie: str | None = None, block: int = 86_400) -> DataFrame:
+    """news with burst, burst_size and in_burst: runs of a source in which rows follow each other in less than gap seconds."""
+    rows, parts = _numbered_runs(news, time, source, gap, tie, block)
+    marked = rows.join(parts.select("__src", "__b", "__run", "burst", "burst_size"), ["__src", "__b", "__run"])
+    return marked.withColumn("in_burst", F.col("burst_size") >= least).select(*news.columns, "burst", "burst_size", "in_burst")
+
+
+def burst_runs(news: DataFrame, time: str = "published", source: str = "source", least: int = 10, gap: float = 60.0, tie: str | None = None, block: int = 86_400) -> DataFrame:
     """(source, first, last, n) of each burst."""
-    found = bursts(news, time, source, least, gap, tie).filter("in_burst")
-    return found.groupBy(source, "burst").agg(F.min(time).alias("first"), F.max(time).alias("last"), F.count(F.lit(1)).alias("n")).drop("burst")
+    _, parts = _numbered_runs(news.select(time, source, *([tie] if tie else [])), time, source, gap, tie, block)
+    found = parts.filter(F.col("burst_size") >= least)
+    return found.groupBy("__src", "burst").agg(F.first(source).alias(source), F.min("first").alias("first"), F.max("last").alias("last"), F.sum("__n").alias("n")).drop("__src", "burst")
 
 
 def sources_span(news: DataFrame, recent_months: int = 12) -> DataFrame:
@@ -135,7 +153,7 @@ def flag_coverage(news: DataFrame, a: str = "tag_a", b: str = "tag_b") -> DataFr
 def cleaning_marks(news: DataFrame, time: str = "published", clock_column: str | None = None, hours: int = 24, least: int = 50, tie: str = "doc_id", key: Column | None = None) -> DataFrame:
     """news with `removed_at`: the number of the stage in STAGES that drops the row, or null.
 
-    All stages run in one pass; each looks only at rows that the earlier ones left.
+    Each stage looks only at rows that the earlier ones left. Rows are told apart by time and tie.
     """
     t = clock_column or time
     stage = F.when(F.col(time).isNull(), 1).when(~has_text("title", "url"), 2)
@@ -148,8 +166,10 @@ def cleaning_marks(news: DataFrame, time: str = "published", clock_column: str |
     rows = rows.join(stub.select("source", F.col("top.__clock").alias("__stub")), "source", "left")
     vague = (F.col("__clock") == "00:00:00") | F.coalesce(F.col("__clock") == F.col("__stub"), F.lit(False))
     rows = rows.withColumn("__stage", F.when(alive & vague, 3).otherwise(F.col("__stage")))
-    order = F.row_number().over(Window.partitionBy("url", alive).orderBy(time, tie))
-    rows = rows.withColumn("__stage", F.when(alive & (order > 1), 4).otherwise(F.col("__stage"))).drop("__clock", "__stub")
+    # the first living row of an address, found by an aggregate, and met by its own time and tie, so that no address is one key
+    first = rows.filter(alive).groupBy(F.col("url").alias("__url")).agg(F.min(F.struct(F.col(time).alias("t"), F.col(tie).alias("k"))).alias("__f"))
+    met = (F.col("url") == F.col("__url")) & (F.col(time) == F.col("__f.t")) & (F.col(tie) == F.col("__f.k"))
+    rows = rows.join(first, met, "left").withColumn("__stage", F.when(alive & F.col("__url").isNull(), 4).otherwise(F.col("__stage"))).drop("__clock", "__stub", "__url", "__f")
     rows = rows.withColumn("__norm", normalize_title(F.col("title")) if key is None else key)
     kept = anchored_repeats(rows.filter(alive), "__norm", time, tie, hours)
     kept = kept.withColumn("__stage", F.when(F.col("repeat"), 5)).drop("repeat")

@@ -7,18 +7,22 @@ only valid rows before train_end. Tree models are distributed fits; ARMA runs on
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from functools import partial, reduce
 from itertools import product
 from typing import Protocol
 
 import numpy as np
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as Frame
 from pyspark.sql import functions as F
 
+from ..sources import files
 from .features import expanding_mean
 from .splits import Window
 
@@ -82,17 +86,37 @@ def _fit(model, table: DataFrame, columns: list[str], window: Window, name: str)
     return got.select("symbol", "open_time", F.col("target").alias("y_true"), F.lit(name).alias("model"), F.col("prediction").alias("y_pred"))
 
 
-def run(table: DataFrame, columns: list[str], windows: list[Window], adapter: Callable, params: dict, seeds: tuple[int, ...] = (0,), done: DataFrame | None = None) -> DataFrame:
-    """Forecasts of every fold and seed, with fold and seed columns; pairs already in done(fold, seed) are skipped."""
-    have = {tuple(r) for r in done.select("fold", "seed").distinct().collect()} if done is not None else set()
-    out = None
+def run(table: DataFrame, columns: list[str], windows: list[Window], adapter: Callable, params: dict, seeds: tuple[int, ...] = (0,), parallel: int = 4) -> DataFrame:
+    """Forecasts of every fold and seed, with fold and seed columns; up to `parallel` fits share the cluster."""
+
+    def one(window: Window, seed: int) -> DataFrame:
+        return adapter(table, columns, window, params, seed).withColumn("fold", F.lit(window.name)).withColumn("seed", F.lit(seed))
+
+    return reduce(DataFrame.unionByName, side_by_side(table.sparkSession, [partial(one, w, s) for w in windows for s in seeds], parallel))
+
+
+def side_by_side(spark: SparkSession, jobs: list[Callable[[], DataFrame]], parallel: int) -> list[DataFrame]:
+    """What the jobs return, in their order; up to `parallel` of them submit work to the cluster at once."""
+    with ThreadPoolExecutor(parallel) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(spark)(job)) for job in jobs]]
+
+
+def run_stored(table: DataFrame, columns: list[str], windows: list[Window], adapter: Callable, params: dict, path: str, seeds: tuple[int, ...] = (0,), restart: bool = False) -> DataFrame:
+    """As run(), each fold and seed written as Parquet under path as soon as it is done.
+
+    A run that was broken off goes on where it stopped: folds whose folder has its success mark are read, not fitted
+    again. restart moves what is there aside and begins anew.
+    """
+    spark = table.sparkSession
+    if restart:
+        files.aside(spark, path)
     for window in windows:
         for seed in seeds:
-            if (window.name, seed) in have:
-                continue
-            part = adapter(table, columns, window, params, seed).withColumn("fold", F.lit(window.name)).withColumn("seed", F.lit(seed))
-            out = part if out is None else out.unionByName(part)
-    return out
+            folder = f"{path}/fold={window.name}/seed={seed}"
+            if not files.exists(spark, f"{folder}/_SUCCESS"):
+                adapter(table, columns, window, params, seed).write.mode("overwrite").parquet(folder)
+    wanted = F.col("fold").isin([w.name for w in windows]) & F.col("seed").isin(list(seeds))
+    return spark.read.option("basePath", path).parquet(f"{path}/fold=*/seed=*").filter(wanted)
 
 
 def tune(table: DataFrame, columns: list[str], window: Window, adapter: Callable, grid: dict[str, list], seed: int = 0) -> tuple[dict, list[dict]]:
@@ -222,11 +246,3 @@ def x_next(frame: pd.DataFrame, exog: list[str], shift: np.ndarray, ok: np.ndarr
     x = np.column_stack([np.ones(len(y)), frame[exog].shift(1).fillna(0.0).to_numpy(float)])
     now = np.column_stack([np.ones(len(y)), frame[exog].fillna(0.0).to_numpy(float)])
     return now @ np.linalg.pinv(x[ok]) @ y[ok]
-
-
-def lexicon_logits(frames: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    """A stand-in classifier behind the interface of a text model: logits from counts of two short word lists."""
-    good, bad = {"gain", "rise", "up", "record", "growth"}, {"loss", "fall", "down", "crash", "fear"}
-    for texts in frames:
-        words = [set((t or "").lower().split()) for t in texts]
-        yield pd.DataFrame({"negative": [float(len(w & bad)) for w in words], "neutral": [0.5] * len(words), "positive": [float(len(w & good)) for w in words]})

@@ -7,10 +7,11 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from datetime import datetime
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .stats import most_lags
@@ -63,13 +64,14 @@ def wald(beta: np.ndarray, cov: np.ndarray, which: np.ndarray) -> tuple[float, f
     return stat, chi2_sf(stat, len(b)), len(b)
 
 
-def per_group(rows: DataFrame, keys: list[str], work: Callable[[pd.DataFrame], list[dict]], schema: str) -> DataFrame:
-    """work's rows for each group, beside its keys; a group is one series."""
+def per_group(rows: DataFrame, keys: list[str], work: Callable[..., list[dict]], schema: str, with_key: int | None = None) -> DataFrame:
+    """work's rows for each group, beside its keys; a group is one series. work gets the keys from with_key on, if it is given."""
     kinds = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
     names = [x.split()[0] for x in schema.split(", ")]
 
-    def run(key, frame: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([(*key, *(r[n] for n in names)) for r in work(frame)], columns=[*keys, *names])
+    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        got = work(frame) if with_key is None else work(key[with_key:], frame)
+        return pd.DataFrame([(*key, *(r[n] for n in names)) for r in got], columns=[*keys, *names])
 
     return rows.groupBy(*keys).applyInPandas(run, f"{kinds}, {schema}")
 
@@ -89,33 +91,58 @@ def hac_wald(rows: DataFrame, keys: list[str], y: str, x: list[str], tested: lis
     return per_group(rows.orderBy(*keys, "open_time") if "open_time" in rows.columns else rows, keys, work, "n long, wald double, p_value double, df int")
 
 
-def granger(rows: DataFrame, keys: list[str], dependent: str, cause: str, lags: tuple[int, ...] = (1, 6, 24), most: int = 24, time: str = "open_time") -> DataFrame:
-    """(keys, lags, rule, n, wald, p_value): whether `most` past values of cause help beyond those of dependent.
+def granger(
+    rows: DataFrame, keys: list[str], ret: str, news: list[str], lags: tuple[int, ...] = (1, 6, 24), most: int = 24, target: str = "target", valid: str = "valid",
+    time: str = "open_time", test_start: datetime | None = None,
+) -> DataFrame:
+    """(keys, direction, dependent, sample, lags, rule, n, wald, p_value, df): whether news lead returns, and returns news.
 
-    All lags use the rows on which the longest one is complete; one more entry has the lag with the least BIC.
+    Forwards, the next return (of valid rows) is regressed on lags of the return and of all news columns, whose
+    coefficients are tested together; backwards, each news column an hour later on lags of itself and of the return.
+    Lags 0 .. p-1 are the row's own hour and those before it. Samples are all hours and, if test_start is given, those
+    from it on. The entry `bic` has the lag with the least BIC on the rows where `most` lags are complete; every entry is
+    then fitted on all rows where its own lags are. A task holds one symbol's hours for one equation and sample.
     """
-
-    def work(frame: pd.DataFrame) -> list[dict]:
+    forward, backward = ("news to return", "return", [ret, *news]), [("return to news", c, [c, ret]) for c in news]
+    equations = {(d, c): columns for d, c, columns in [forward, *backward]}
+    spark = rows.sparkSession
+    asked = spark.createDataFrame([(d, c, s) for d, c in equations for s in ("full", "test")[: 1 + (test_start is not None)]], "direction string, dependent string, sample string")
+    w = Window.partitionBy(*keys).orderBy(time)
+    lead = {f"__lead_{i}": F.lead(c).over(w) for i, c in enumerate(news)}
+    table = rows.select(*keys, time, ret, *news, F.when(F.col(valid), F.col(target)).alias("__y"), *[c.alias(k) for k, c in lead.items()])
+
+    def work(key: tuple, frame: pd.DataFrame) -> list[dict]:
+        direction, dependent, sample = key
         frame = frame.sort_values(time)
-        own, other = frame[dependent].to_numpy(float), frame[cause].to_numpy(float)
-        block = lambda v, p: np.column_stack([np.roll(v, k) for k in range(1, p + 1)])
-        ok = np.isfinite(own) & np.isfinite(block(own, most)).all(axis=1) & np.isfinite(block(other, most)).all(axis=1)
-        ok[:most] = False
-        if ok.sum() < 3 * most:
-            return []
-
-        def fit(p: int):
-            x = np.column_stack([np.ones(len(own)), block(own, p), block(other, p)])[ok]
-            n = len(x)
-            beta, cov, e = hac_ols(own[ok], x, most_lags(n))
-            stat, value, _ = wald(beta, cov, np.arange(1 + p, 1 + 2 * p))
-            return n * math.log(max(float(e @ e) / n, 1e-300)) + x.shape[1] * math.log(n), n, stat, value
-
-        got = {p: fit(p) for p in range(1, most + 1)}
-        best = min(got, key=lambda p: got[p][0])
-        return [{"lags": p, "rule": rule, "n": got[p][1], "wald": got[p][2], "p_value": got[p][3]} for rule, p in [*(("fixed", p) for p in lags if p <= most), ("bic", best)]]
-
-    return per_group(rows, keys, work, "lags int, rule string, n long, wald double, p_value double")
+        y = frame["__y" if dependent == "return" else f"__lead_{news.index(dependent)}"].to_numpy(float)
+        inside = np.ones(len(y), bool) if sample == "full" else (frame[time] >= pd.Timestamp(test_start)).to_numpy()
+        series = [frame[c].to_numpy(float) for c in equations[direction, dependent]]
+        lagged = lambda v, k: np.concatenate((np.full(k, np.nan), v[: len(v) - k]))
+
+        def design(p: int) -> tuple[np.ndarray, np.ndarray]:
+            x = np.column_stack([np.ones(len(y)), *(lagged(v, k) for v in series for k in range(p))])
+            return x, inside & np.isfinite(y) & np.isfinite(x).all(axis=1)
+
+        def bic(p: int, common: np.ndarray) -> float:
+            x = design(p)[0][common]
+            e = y[common] - x @ (np.linalg.pinv(x) @ y[common])
+            return len(x) * math.log(max(float(e @ e) / len(x), 1e-300)) + x.shape[1] * math.log(len(x))
+
+        common, out = design(most)[1], []
+        wanted = [("fixed", p) for p in lags]
+        if common.sum() > 1 + most * len(series):
+            wanted.append(("bic", min(range(1, most + 1), key=lambda p: bic(p, common))))
+        for rule, p in wanted:
+            x, ok = design(p)
+            n = int(ok.sum())
+            if n > x.shape[1]:
+                beta, cov, _ = hac_ols(y[ok], x[ok], most_lags(n))
+                stat, value, df = wald(beta, cov, np.arange(1 + p, x.shape[1]))
+                out.append({"lags": p, "rule": rule, "n": n, "wald": stat, "p_value": value, "df": df})
+        return out
+
+    names = [*keys, "direction", "dependent", "sample"]
+    return per_group(table.crossJoin(F.broadcast(asked)), names, work, "lags int, rule string, n long, wald double, p_value double, df int", with_key=len(keys))
 
 
 #: Response surface for the p-value of the unit-root test with a constant (MacKinnon, 1994): fixed values.

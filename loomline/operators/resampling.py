@@ -1,6 +1,7 @@
 """Bootstrap intervals and the model confidence set.
 
-Replicates are dealt over tasks in chunks; each task holds one symbol's series, which is as long as its test span.
+Replicates are dealt over tasks in chunks; each task holds one symbol's series, which is as long as its test span. Up to
+MOST_CELLS numbers the series are broadcast to the tasks, which then shuffle nothing; beyond that they are shuffled to them.
 A replicate's random numbers come from (seed, replicate), so results depend neither on chunks nor on partitions.
 """
 
@@ -14,6 +15,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Numbers up to which all series together are broadcast.
+MOST_CELLS = 4_000_000
+
+
 def stationary_index(n: int, mean_block: float, rng: np.random.Generator) -> np.ndarray:
     """n positions on a ring: blocks of geometric length with the given mean, each from a random start."""
     fresh = rng.random(n) < 1 / mean_block
@@ -45,7 +50,11 @@ def sharpe_interval(net: DataFrame, benchmark: str, reps: int = 2000, mean_block
     which all names of a symbol are drawn with the same indices. A name without variation has no rows.
     """
     series = _series(net, "symbol", "name", "net", "open_time")
-    tasks = series.crossJoin(net.sparkSession.range(-(-reps // chunk)).select(F.col("id").alias("chunk"))).repartition("symbol", "chunk")
+    chunks = net.sparkSession.range(-(-reps // chunk)).select(F.col("id").alias("chunk"))
+    if net.count() <= MOST_CELLS:
+        tasks = chunks.repartitionByRange(-(-reps // chunk), "chunk").crossJoin(F.broadcast(series))
+    else:
+        tasks = series.crossJoin(chunks).repartition("symbol", "chunk")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial, reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,12 +24,12 @@ def bootstrap_sharpe_ci(spark, sf_dir):
     net = traded(spark, sf_dir).filter("strategy = 'long_flat' and cost_bp = 10").select("symbol", F.col("model").alias("name"), "open_time", "net")
     truth = predictions(spark, sf_dir).filter("model = 'zero'").withColumn("y_true", F.least("y_true", F.lit(0.05)))
     hold = backtest.net_returns(backtest.grid(truth, ["buy_and_hold"], [10]), KEYS).select("symbol", F.lit("hold").alias("name"), "open_time", "net")
-    return resampling.sharpe_interval(net.unionByName(hold), "hold", reps=400, seed=11)
+    return resampling.sharpe_interval(net.unionByName(hold), "hold", reps=2000, seed=11)
 
 
 @query()
 def mcs(spark, sf_dir):
-    return resampling.model_confidence_set(metrics.common_rows(predictions(spark, sf_dir)), reps=300, seed=11)
+    return resampling.model_confidence_set(metrics.common_rows(predictions(spark, sf_dir)), reps=1000, seed=11)
 
 
 @query()
@@ -36,7 +38,7 @@ def f1_bootstrap(spark, sf_dir):
     labels = roles.table(spark, sf_dir, "labels").filter("quality is not null and toxic is not null")
     guesses = F.create_map(F.lit("other_label"), F.col("toxic"), F.lit("constant"), F.lit(1))
     rows = labels.select(F.col("doc_id").alias("item"), F.col("quality").alias("truth"), F.explode(guesses).alias("model", "predicted"))
-    return resampling.f1_interval(rows, "truth", "predicted", "model", [0, 1], reps=200, seed=3)
+    return resampling.f1_interval(rows, "truth", "predicted", "model", [0, 1], reps=1000, seed=3)
 
 
 @query()
@@ -46,8 +48,8 @@ def hac_wald(spark, sf_dir):
 
 @query()
 def granger(spark, sf_dir):
-    rows = model_table(spark, sf_dir).select("symbol", "open_time", F.col("ret_lag1"), F.col("all_news_intensity"))
-    return regression.granger(rows, ["symbol"], "ret_lag1", "all_news_intensity")
+    """Both directions, on all hours and on those of the folds."""
+    return regression.granger(model_table(spark, sf_dir), ["symbol"], "ret_lag1", ["all_sent_mean", "all_news_intensity"], test_start=FOLDS[0].test_start)
 
 
 @query()
@@ -56,9 +58,22 @@ def adf(spark, sf_dir):
     return regression.adf(rows, ["symbol"], "log_close")
 
 
+_held: dict[tuple, DataFrame] = {}
+
+
 def learned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Features of all symbols as one panel; a row is valid if the columns in use are."""
-    return model_table(spark, sf_dir).withColumn("valid", features.valid([*COLUMNS, "target"])).select("symbol", "open_time", "valid", "target", *COLUMNS).cache()
+    """Features of all symbols as one panel; a row is valid if the columns in use are.
+
+    Fits read it many times, so that it is cached; only the panel of the last folder asked for is held.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _held:
+        for old in _held.values():
+            if old.sparkSession.sparkContext.applicationId == key[0]:
+                old.unpersist()
+        _held.clear()
+        _held[key] = model_table(spark, sf_dir).withColumn("valid", features.valid([*COLUMNS, "target"])).select("symbol", "open_time", "valid", "target", *COLUMNS).cache()
+    return _held[key]
 
 
 @query()
@@ -92,21 +107,41 @@ def tuning_grid(spark, sf_dir):
     return spark.createDataFrame([(r["i"], r["params"]["depth"], float(r["mse"]), r["params"] == best) for r in tried], "i int, depth int, mse double, chosen boolean")
 
 
+#: The forest of the leakage tests: many fits, each a small one.
+QUICK = {"trees": 20, "depth": 5, "leaf": 20}
+
+
 @query()
-def placebo(spark, sf_dir):
-    """Direction accuracy of a forest whose news features are real, an hour older, or another row's."""
+def shift_test(spark, sf_dir):
+    """Errors of a forest whose news features are 0, 1, 2, 3 and 24 hours old, against prices alone, on common rows."""
     table, news = learned(spark, sf_dir), ["all_sent_mean", "all_news_intensity"]
-    kinds = {
-        "real": table,
-        "shift_1": features.shifted(table, news, 1, [*COLUMNS, "target"]),
-        "permuted": resampling.permuted(table.filter("valid"), news, ["symbol"], 5),
-    }
-    out = None
-    for kind, rows in kinds.items():
-        got = forecast.forest(rows, COLUMNS, FOLDS[0], {"trees": 10, "depth": 4, "leaf": 20}, 1)
-        part = got.groupBy("symbol").agg(metrics.direction().alias("direction"), metrics.rmse().alias("rmse"), F.count(F.lit(1)).alias("n")).withColumn("kind", F.lit(kind))
-        out = part if out is None else out.unionByName(part)
-    return rounded(out, "direction", "rmse")
+    price = [c for c in COLUMNS if c not in news]
+    parts = [forecast.run(table, price, FOLDS, forecast.forest, QUICK, (1,)).withColumn("model", F.lit("price"))]
+    for hours in (0, 1, 2, 3, 24):
+        moved = features.shifted(table, news, hours, [*COLUMNS, "target"])
+        parts.append(forecast.run(moved, COLUMNS, FOLDS, forecast.forest, QUICK, (1,)).withColumn("model", F.lit(f"shift_{hours}")))
+    rows = metrics.common_rows(reduce(DataFrame.unionByName, parts).drop("fold", "seed"))
+    got = rows.groupBy("symbol", "model").agg(F.count(F.lit(1)).alias("n"), metrics.rmse().alias("rmse"), metrics.direction().alias("direction"))
+    base = got.filter("model = 'price'").select("symbol", F.col("rmse").alias("__base"))
+    change = (F.pow(F.col("rmse") / F.col("__base"), 2) - 1) * 100
+    return rounded(got.join(base, "symbol").withColumn("change_pct", change).drop("__base"), "rmse", "direction", "change_pct")
+
+
+@query()
+def placebo(spark, sf_dir):
+    """Direction accuracy of a forest on 20 random orders of each symbol's targets, beside what chance gives."""
+    table = learned(spark, sf_dir).filter("valid")
+
+    def one(i: int) -> DataFrame:
+        mixed = resampling.permuted(table, ["target"], ["symbol"], 1000 + i)
+        return forecast.run(mixed, COLUMNS, FOLDS, forecast.forest, QUICK, (1,), parallel=1).withColumn("permutation", F.lit(i))
+
+    parts = forecast.side_by_side(spark, [partial(one, i) for i in range(20)], 4)
+    rows = reduce(DataFrame.unionByName, parts).filter("y_true <> 0 and y_pred <> 0")
+    up, said = (F.avg((F.col(c) > 0).cast("double")) for c in ("y_true", "y_pred"))
+    got = rows.groupBy("permutation").agg(F.count(F.lit(1)).alias("n"), metrics.direction().alias("direction"), up.alias("share_up"), said.alias("share_said_up"))
+    chance = F.col("share_up") * F.col("share_said_up") + (1 - F.col("share_up")) * (1 - F.col("share_said_up"))
+    return rounded(got.withColumn("chance", chance), "direction", "share_up", "share_said_up", "chance")
 
 
 @query()

@@ -196,10 +196,11 @@ def test_regressions(spark):
     own = 0.5 * np.roll(cause, 3) + rng.normal(size=1500)
     rows = [("a", T0 + timedelta(hours=i), float(a), float(b)) for i, (a, b) in enumerate(zip(own, cause))]
     frame = spark.createDataFrame(rows, "symbol string, open_time timestamp, own double, cause double")
-    got = {r.rule: r for r in regression.granger(frame, ["symbol"], "own", "cause", lags=(3,), most=6).collect()}
-    assert got["bic"].lags == 3 and got["fixed"].p_value < 1e-6
-    back = regression.granger(frame, ["symbol"], "cause", "own", lags=(3,), most=6).filter("rule = 'fixed'").first()
-    assert back.p_value > 0.001
+    table = frame.selectExpr("*", "lead(own) over (partition by symbol order by open_time) AS target", "true AS valid")
+    rows = regression.granger(table, ["symbol"], "own", ["cause"], lags=(3,), most=6, test_start=T0 + timedelta(hours=frame.count() // 2)).collect()
+    got = {(r.direction, r.sample, r.rule): r for r in rows}
+    assert len(rows) == 8 and got["news to return", "full", "bic"].lags == 3 and got["news to return", "test", "fixed"].p_value < 1e-6
+    assert got["return to news", "full", "fixed"].p_value > 0.001 and got["return to news", "full", "fixed"].df == 3
     walk = spark.createDataFrame([("walk", T0 + timedelta(hours=i), float(v)) for i, v in enumerate(np.cumsum(rng.normal(size=800)))] + [("noise", T0 + timedelta(hours=i), float(v)) for i, v in enumerate(rng.normal(size=800))], "s string, open_time timestamp, v double")
     p = {r.s: r.p_value for r in regression.adf(walk, ["s"], "v", most=6).collect()}
     assert p["noise"] < 0.01 < p["walk"]
@@ -236,7 +237,7 @@ def test_learned_forecasts_keep_to_the_past(spark):
         a, b = ([r.y_pred for r in f.orderBy("open_time").collect()] for f in (got, adapter(other, ["x"], window, params, 1)))
         assert a == b
     done = forecast.run(table, ["x"], [window], forecast.forest, {"trees": 2}, seeds=(1, 2))
-    assert forecast.run(table, ["x"], [window], forecast.forest, {"trees": 2}, seeds=(1, 2), done=done) is None
+    assert {(r.fold, r.seed) for r in done.select("fold", "seed").distinct().collect()} == {(window.name, 1), (window.name, 2)}
     best, tried = forecast.tune(table, ["x"], window, forecast.forest, {"trees": [2], "depth": [1, 5], "leaf": [5]})
     assert best["depth"] == 5 and len(tried) == 2
     got = forecast.arma(table, [window], orders=((0, 0), (1, 0)))
@@ -277,3 +278,26 @@ def test_lstm_gradients_and_fit(spark):
     window = splits.Window("f", T0 + timedelta(hours=280), T0 + timedelta(hours=300), T0 + timedelta(hours=400))
     got = sequence.lstm(panel(spark), ["x"], window, {"lookback": 3, "hidden": 8, "epochs": 25, "rate": 0.02}, 1)
     assert got.count() == 100 and got.agg(F.corr("y_true", "y_pred")).first()[0] > 0.8
+
+
+def test_a_run_goes_on_where_it_stopped(spark, tmp_path):
+    table = panel(spark)
+    hours = sorted(r.open_time for r in table.select("open_time").distinct().collect())
+    cut = [hours[len(hours) * k // 4] for k in (2, 3)] + [hours[-1]]
+    windows = [splits.Window(f"fold_{k}", cut[k], cut[k], cut[k + 1]) for k in range(2)]
+    asked = []
+
+    def adapter(table, columns, window, params, seed):
+        asked.append((window.name, seed))
+        if len(asked) == 3:
+            raise RuntimeError("lost")
+        return forecast.test_rows(table, window).selectExpr("symbol", "open_time", "target AS y_true", "'m' AS model", f"target * {seed} AS y_pred")
+
+    go = lambda **k: forecast.run_stored(table, ["x"], windows, adapter, {}, f"{tmp_path}/m", seeds=(1, 2), **k)
+    with pytest.raises(RuntimeError):
+        go()
+    got = go()
+    assert asked == [("fold_0", 1), ("fold_0", 2), ("fold_1", 1), ("fold_1", 1), ("fold_1", 2)]
+    assert {(r.fold, r.seed) for r in got.collect()} == {(f"fold_{k}", s) for k in (0, 1) for s in (1, 2)}
+    n = got.count()
+    assert go(restart=True).count() == n and len(asked) == 9 and len(list(tmp_path.iterdir())) == 2
