@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from .plans import evaluation, joins, models, news, reports, series  # noqa: F401
+from .plans import checks, evaluation, joins, models, news, reports, series  # noqa: F401
 from .plans.registry import ORACLE_SQL, QUERIES  # noqa: F401

@@ -15,6 +15,22 @@ def softmax(logits: Column) -> Column:
     return F.transform(weights, lambda x: x / F.aggregate(weights, F.lit(0.0), lambda a, b: a + b))
 
 
+#: Names that models give the classes; labels without a name (label_0 ..) must be given by hand.
+SYNONYMS = {"neg": "negative", "bearish": "negative", "neu": "neutral", "pos": "positive", "bullish": "positive"}
+
+
+def canonical_labels(names: list[str], overrides: dict[str | int, str] | None = None) -> list[str]:
+    """A model's class names in its own order as CLASSES; overrides go by name or place. Each class must occur once."""
+    overrides = overrides or {}
+    out = []
+    for place, name in enumerate(names):
+        said = overrides.get(place, overrides.get(name, name)).strip().lower()
+        out.append(SYNONYMS.get(said, said))
+    if sorted(out) != sorted(CLASSES):
+        raise ValueError(f"{names} are not the three classes {CLASSES}")
+    return out
+
+
 def reorder(values: Column, classes: list[str]) -> Column:
     """values, given in the order of classes, in the order of CLASSES."""
     if sorted(classes) != sorted(CLASSES):

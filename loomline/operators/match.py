@@ -67,3 +67,14 @@ def sample_months(times: DataFrame, since: str, n: int = 16) -> DataFrame:
     picks = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.bround(i * (F.col("__n") - 1) / F.lit(max(1, n - 1))).cast("int"))
     spots = count.select(F.explode(F.array_distinct(picks)).alias("__i"))
     return ranked.join(spots, "__i", "left_semi").select("month")
+
+
+def sample_rows(news: DataFrame, months: DataFrame, time: str = "published", days: tuple[int, int] = (2, 27)) -> DataFrame:
+    """Rows of the sampled months(month) between two days of the month: at its edges an offset would reach other months."""
+    inside = news.filter(F.dayofmonth(time).between(*days))
+    return inside.join(F.broadcast(months.select(F.col("month").alias("__month"))), F.date_format(time, "yyyy-MM") == F.col("__month"), "left_semi")
+
+
+def commonest_deltas(matches: DataFrame, top: int = 10, column: str = "minutes") -> DataFrame:
+    """(delta, n): the commonest whole minutes between records and candles; of equal ones the smaller first."""
+    return matches.groupBy(F.bround(column).cast("long").alias("delta")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "delta").limit(top)

@@ -31,3 +31,25 @@ def formatted(table: DataFrame, digits: dict[str, int]) -> DataFrame:
 
 def seconds_by_model(runs: DataFrame) -> DataFrame:
     return runs.groupBy("model").agg(F.sum("seconds").alias("seconds"), F.count(F.lit(1)).alias("runs"), F.countDistinct("commit").alias("commits"))
+
+
+def environment(runs: DataFrame) -> DataFrame:
+    """(commit, runs, models, seconds) of runs(model, commit, seconds)."""
+    return runs.groupBy("commit").agg(F.count(F.lit(1)).alias("runs"), F.countDistinct("model").alias("models"), F.sum("seconds").alias("seconds"))
+
+
+def coverage_text(start: Column, end: Column) -> Column:
+    """A span of days as 01.02.2024 to 03.04.2024."""
+    return F.concat(F.date_format(start, "dd.MM.yyyy"), F.lit(" to "), F.date_format(end, "dd.MM.yyyy"))
+
+
+def write_sheets(sheets: dict[str, tuple[str, DataFrame]], path: str) -> DataFrame:
+    """Writes each sheet {name: (title, table)} as one CSV folder under path, and a sheet `contents`, which is returned."""
+    from ..sources.files import write_report
+
+    spark = next(iter(sheets.values()))[1].sparkSession
+    contents = spark.createDataFrame([(i + 1, name, title) for i, (name, (title, _)) in enumerate(sheets.items())], "number int, sheet string, title string")
+    for name, (_, table) in sheets.items():
+        write_report(table, f"{path}/{name}")
+    write_report(contents, f"{path}/contents")
+    return contents

@@ -49,3 +49,16 @@ def strata_table(corpus: DataFrame, sample: DataFrame, stratum: str = "stratum")
     sums = got.agg(F.sum("corpus_n").alias("__a"), F.sum("sample_n").alias("__b"))
     got = got.crossJoin(F.broadcast(sums))
     return got.select(stratum, "corpus_n", F.try_divide("corpus_n", "__a").alias("corpus_share"), "sample_n", F.try_divide("sample_n", "__b").alias("sample_share"))
+
+
+def examples(rows: DataFrame, by: str, key: str, n: int, seed: int) -> DataFrame:
+    """n random rows of each group: those first by a digest of seed and key.
+
+    The first n of each 256th of a group are found first, so a large group is no large task.
+    """
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))
+    marked = rows.withColumn("__d", digest)
+    first = F.row_number().over(Window.partitionBy(by).orderBy("__d"))
+    part = F.row_number().over(Window.partitionBy(by, F.substring("__d", 1, 2)).orderBy("__d"))
+    few = marked.withColumn("__r", part).filter(F.col("__r") <= n)  # n of each 256th of a group
+    return few.withColumn("__r", first).filter(F.col("__r") <= n).drop("__d", "__r")

@@ -124,6 +124,12 @@ def subset_masks(rows: DataFrame, count: str, intensity: str, quantile: float =
     return got.withColumns({"has_news": F.col(count) > 0, "in_burst": F.col(intensity) >= F.col("__edge")}).withColumn("either", F.col("has_news") | F.col("in_burst")).drop("__edge")
 
 
+def relevant_language(base: Column, alternative: Column) -> Column:
+    """The language whose news a pair of keys model:set compares: en, ru, or both."""
+    of, to = F.split_part(base, F.lit(":"), F.lit(2)), F.split_part(alternative, F.lit(":"), F.lit(2))
+    return F.when((to == "P_EN_RU") & (of == "P_EN"), "ru").when(to == "P_EN_RU", "both").when(to == "P_EN", "en").otherwise("ru")
+
+
 def validity(rows: DataFrame, score: str, value: str, keys: list[str]) -> DataFrame:
     """Correlation and slope of value on score."""
     both = rows.filter(F.col(score).isNotNull() & F.col(value).isNotNull())

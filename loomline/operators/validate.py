@@ -70,3 +70,28 @@ def unknown_labels(labels: DataFrame, column: str, vocabulary: list[str]) -> Dat
 def share_complete(collected: int, declared: int, least: float) -> bool:
     """collected reaches the share `least` of declared."""
     return declared > 0 and collected / declared >= least
+
+
+def input_size(read: DataFrame, declared: DataFrame, zoned: str, within: float = 0.01, mixed: tuple[float, float] = (0.05, 0.95)) -> DataFrame:
+    """(read, declared, size_ok, zone_share, mixed_zones) of read rows against declared(n): one row.
+
+    Sizes may differ by the share `within`; times of which some have a zone and some have none are told apart.
+    """
+    one = read.agg(F.count(F.lit(1)).alias("read"), F.avg(F.col(zoned).cast("double")).alias("zone_share"))
+    got = one.crossJoin(declared.agg(F.max("n").alias("declared")))
+    ok = F.abs(F.col("read") - F.col("declared")) <= F.lit(within) * F.col("declared")
+    return got.select("read", "declared", ok.alias("size_ok"), "zone_share", F.col("zone_share").between(*mixed).alias("mixed_zones"))
+
+
+def cross_check(a: DataFrame, b: DataFrame, keys: list[str], value: str, tolerance: float = 1e-9) -> DataFrame:
+    """(keys, difference, agrees) of two computations of one value; a row that only one of them has does not agree."""
+    both = a.select(*keys, F.col(value).alias("__a")).join(b.select(*keys, F.col(value).alias("__b")), keys, "full")
+    gap = F.abs(F.col("__a") - F.col("__b"))
+    return both.select(*keys, gap.alias("difference"), F.coalesce(gap <= tolerance, F.col("__a").isNull() & F.col("__b").isNull()).alias("agrees"))
+
+
+def completeness(collected: DataFrame, declared: DataFrame, keys: list[str], least: float = 0.99) -> DataFrame:
+    """(keys, collected, declared, complete): collected rows of each key against declared(keys, n)."""
+    per = collected.groupBy(*keys).agg(F.count(F.lit(1)).alias("collected"))
+    got = declared.withColumnRenamed("n", "declared").join(per, keys, "left").na.fill(0, ["collected"])
+    return got.select(*keys, "collected", "declared", ((F.col("declared") > 0) & (F.col("collected") >= F.lit(least) * F.col("declared"))).alias("complete"))
