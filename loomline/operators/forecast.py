@@ -27,6 +27,10 @@ from .features import expanding_mean
 from .splits import Window
 
 
+#: Training rows of a tree model that a task gets at least.
+ROWS_A_TASK = 50_000
+
+
 class Adapter(Protocol):
     name: str
 
@@ -78,7 +82,8 @@ def boosting(table: DataFrame, columns: list[str], window: Window, params: dict,
 
 def _fit(model, table: DataFrame, columns: list[str], window: Window, name: str) -> DataFrame:
     assemble = VectorAssembler(inputCols=columns, outputCol="features")
-    train = assemble.transform(train_rows(table, window))
+    rows = train_rows(table, window)
+    train = assemble.transform(rows.coalesce(-(-rows.count() // ROWS_A_TASK) or 1))  # a fit of few rows is many tiny jobs otherwise
     if name == "boosting":
         edge = train.agg(F.percentile(F.unix_timestamp("open_time"), F.lit(0.9))).first()[0]
         train = train.withColumn("held", F.unix_timestamp("open_time") > F.lit(edge))
@@ -86,7 +91,7 @@ def _fit(model, table: DataFrame, columns: list[str], window: Window, name: str)
     return got.select("symbol", "open_time", F.col("target").alias("y_true"), F.lit(name).alias("model"), F.col("prediction").alias("y_pred"))
 
 
-def run(table: DataFrame, columns: list[str], windows: list[Window], adapter: Callable, params: dict, seeds: tuple[int, ...] = (0,), parallel: int = 4) -> DataFrame:
+def run(table: DataFrame, columns: list[str], windows: list[Window], adapter: Callable, params: dict, seeds: tuple[int, ...] = (0,), parallel: int = 8) -> DataFrame:
     """Forecasts of every fold and seed, with fold and seed columns; up to `parallel` fits share the cluster."""
 
     def one(window: Window, seed: int) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import partial, reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import backtest, features, forecast, metrics, regression, resampling, sequence, stats
@@ -116,15 +116,20 @@ def shift_test(spark, sf_dir):
     """Errors of a forest whose news features are 0, 1, 2, 3 and 24 hours old, against prices alone, on common rows."""
     table, news = learned(spark, sf_dir), ["all_sent_mean", "all_news_intensity"]
     price = [c for c in COLUMNS if c not in news]
-    parts = [forecast.run(table, price, FOLDS, forecast.forest, QUICK, (1,)).withColumn("model", F.lit("price"))]
-    for hours in (0, 1, 2, 3, 24):
-        moved = features.shifted(table, news, hours, [*COLUMNS, "target"])
-        parts.append(forecast.run(moved, COLUMNS, FOLDS, forecast.forest, QUICK, (1,)).withColumn("model", F.lit(f"shift_{hours}")))
-    rows = metrics.common_rows(reduce(DataFrame.unionByName, parts).drop("fold", "seed"))
+
+    def one(hours: int | None) -> DataFrame:
+        moved, columns = (table, price) if hours is None else (features.shifted(table, news, hours, [*COLUMNS, "target"]), COLUMNS)
+        name = "price" if hours is None else f"shift_{hours}"
+        return forecast.run(moved, columns, FOLDS, forecast.forest, QUICK, (1,), parallel=1).withColumn("model", F.lit(name))
+
+    parts = forecast.side_by_side(spark, [partial(one, h) for h in (None, 0, 1, 2, 3, 24)], 6)
+    names = [f"shift_{h}" for h in (0, 1, 2, 3, 24)]
+    wide = reduce(DataFrame.unionByName, parts).groupBy("symbol", "open_time").pivot("model", ["price", *names]).agg(F.first("y_pred"))
+    truth = table.select("symbol", "open_time", F.col("target").alias("y_true"))
+    rows = wide.dropna().join(truth, ["symbol", "open_time"]).unpivot(["symbol", "open_time", "y_true"], ["price", *names], "model", "y_pred")
     got = rows.groupBy("symbol", "model").agg(F.count(F.lit(1)).alias("n"), metrics.rmse().alias("rmse"), metrics.direction().alias("direction"))
-    base = got.filter("model = 'price'").select("symbol", F.col("rmse").alias("__base"))
-    change = (F.pow(F.col("rmse") / F.col("__base"), 2) - 1) * 100
-    return rounded(got.join(base, "symbol").withColumn("change_pct", change).drop("__base"), "rmse", "direction", "change_pct")
+    base = F.max(F.when(F.col("model") == "price", F.col("rmse"))).over(Window.partitionBy("symbol"))
+    return rounded(got.withColumn("change_pct", (F.pow(F.col("rmse") / base, 2) - 1) * 100), "rmse", "direction", "change_pct")
 
 
 @query()
@@ -136,7 +141,7 @@ def placebo(spark, sf_dir):
         mixed = resampling.permuted(table, ["target"], ["symbol"], 1000 + i)
         return forecast.run(mixed, COLUMNS, FOLDS, forecast.forest, QUICK, (1,), parallel=1).withColumn("permutation", F.lit(i))
 
-    parts = forecast.side_by_side(spark, [partial(one, i) for i in range(20)], 4)
+    parts = forecast.side_by_side(spark, [partial(one, i) for i in range(20)], 8)
     rows = reduce(DataFrame.unionByName, parts).filter("y_true <> 0 and y_pred <> 0")
     up, said = (F.avg((F.col(c) > 0).cast("double")) for c in ("y_true", "y_pred"))
     got = rows.groupBy("permutation").agg(F.count(F.lit(1)).alias("n"), metrics.direction().alias("direction"), up.alias("share_up"), said.alias("share_said_up"))
