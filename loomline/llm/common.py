@@ -69,6 +69,23 @@ def map_rows(
     return df.mapInArrow(run, schema)
 
 
+def keep_rows(df: DataFrame, columns: list[str], make: Callable[[], Callable[..., bool]], slice_rows: int = 256) -> DataFrame:
+    """The rows of df for which make()(values of columns) is true; its columns go through unchanged.
+
+    A task turns slice_rows rows at a time into Python objects.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        good = make()
+        for batch in batches:
+            for start in range(0, batch.num_rows, slice_rows):
+                part = batch.slice(start, slice_rows)
+                values = [part.column(part.schema.get_field_index(c)).to_pylist() for c in columns]
+                yield part.filter(pa.array([bool(good(*v)) for v in zip(*values)], pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def _arrow_schema(spark: SparkSession, schema: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
@@ -123,7 +140,8 @@ def tiles(df: DataFrame, key: str, item: str, most: int, also: Column | None = N
     """
     sizes = df.groupBy(key).agg(F.count(F.lit(1)).alias("__n"), (F.lit(True) if also is None else also).alias("__also"))
     sizes = sizes.filter("__n > 1 and __also")
-    sizes = sizes.select(key, F.ceil(F.col("__n") / F.lit(most)).cast("int").alias("__k"))
+    # cut, so that the join has shuffles of its own and a large key can be split, or none where the sizes are few
+    sizes = cut(sizes.select(key, F.ceil(F.col("__n") / F.lit(most)).cast("int").alias("__k")))
     rows = df.join(sizes, key).withColumn("chunk", F.pmod(F.xxhash64(item), F.col("__k")).cast("int"))
     others = F.transform(
         F.sequence(F.lit(0), F.col("__k") - 1),

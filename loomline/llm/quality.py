@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_RE, map_rows
+from .common import WORD_RE, keep_rows, map_rows
 
 MIN_WORDS = 50
 #: Characters of a block that is tokenised at once.
@@ -171,13 +171,8 @@ def assess(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
 def keep_good(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """The rows of docs that the rules keep; its columns go through unchanged."""
 
-    def run(batches):
-        import pyarrow as pa
-
+    def make():
         measure, kept = _measure(vocabulary), 6
-        for batch in batches:
-            get = lambda c: batch.column(batch.schema.get_field_index(c)).to_pylist()
-            keep = [bool(measure(t, lang)[kept]) for t, lang in zip(get("text"), get("lang"))]
-            yield batch.filter(pa.array(keep, pa.bool_()))
+        return lambda text, lang: measure(text, lang)[kept]
 
-    return docs.mapInArrow(run, docs.schema)
+    return keep_rows(docs, ["text", "lang"], make)

@@ -27,13 +27,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_rows
+from .common import cut, keep_rows, map_rows
 
 #: Bounds of the fit: documents of each kind.
 POSITIVES, CLEAN, UNLABELLED = 3000, 6000, 6000
 #: Features: their hash space, and what those that count have at least.
 SPACE, LEAST_DOCS, LEAST_Z = 1 << 22, 4, 2.5
 PREFIXES = (4, 5, 6)
+#: Words whose weight a task keeps at hand.
+KNOWN = 100_000
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -134,7 +136,7 @@ class Model:
         weights, bias = self.weights, self.bias
 
         def score(text: str | None) -> float:
-            if len(known) > 500_000:
+            if len(known) > KNOWN:
                 known.clear()
             z = bias
             for word in words_of(text):
@@ -209,12 +211,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     """The rows of docs whose score is below threshold; its columns go through unchanged."""
 
-    def run(batches):
-        import pyarrow as pa
-
+    def make():
         of = model.scorer()
-        for batch in batches:
-            keep = [of(t) < threshold for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
-            yield batch.filter(pa.array(keep, pa.bool_()))
+        return lambda text: of(text) < threshold
 
-    return docs.mapInArrow(run, docs.schema)
+    return keep_rows(docs, ["text"], make)
