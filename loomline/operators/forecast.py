@@ -83,7 +83,9 @@ def boosting(table: DataFrame, columns: list[str], window: Window, params: dict,
 def _fit(model, table: DataFrame, columns: list[str], window: Window, name: str) -> DataFrame:
     assemble = VectorAssembler(inputCols=columns, outputCol="features")
     rows = train_rows(table, window)
-    train = assemble.transform(rows.coalesce(-(-rows.count() // ROWS_A_TASK) or 1))  # a fit of few rows is many tiny jobs otherwise
+    if not (n := rows.count()):  # nothing to learn from: no forecasts
+        return test_rows(table, window).filter("false").select("symbol", "open_time", F.col("target").alias("y_true"), F.lit(name).alias("model"), F.lit(0.0).alias("y_pred"))
+    train = assemble.transform(rows.coalesce(-(-n // ROWS_A_TASK)))  # a fit of few rows is many tiny jobs otherwise
     if name == "boosting":
         edge = train.agg(F.percentile(F.unix_timestamp("open_time"), F.lit(0.9))).first()[0]
         train = train.withColumn("held", F.unix_timestamp("open_time") > F.lit(edge))
