@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from ..functions import text, times
 from ..operators import annotate, backtest, features, grid, match, metrics, regression, resampling, sampling, splits, stats, validate
 from ..sources import files, roles
-from .evaluation import BT, FOLDS, KEYS, LRV, MSE, PAIRED, differences, predictions, traded
-from .models import COLUMNS
+from .evaluation import BT, KEYS, MSE, PAIRED, differences, predictions, traded
+from .joins import hac
 from .news import PRICED, matches
 from .registry import FEATURES, NEWS, PREDICTIONS, PRICE_COLUMNS, R, T, query, rounded, sql, timed
 from .series import TABLE, model_table, priced
@@ -257,15 +257,7 @@ def sharpe_differences(spark, sf_dir):
     return rounded(resampling.sharpe_interval(net.unionByName(hold), "hold", reps=1, seed=11).select("symbol", "name", "diff"), "diff")
 
 
-HAC = TABLE + """, d AS (SELECT symbol, open_time, target AS y, all_sent_mean AS x, count(*) OVER (PARTITION BY symbol) AS n, avg(all_sent_mean) OVER (PARTITION BY symbol) AS mx, avg(target) OVER (PARTITION BY symbol) AS my,
-  row_number() OVER (PARTITION BY symbol ORDER BY open_time) AS i FROM full_table WHERE valid),
-b AS (SELECT symbol, max(n) AS n, sum((x - mx) * (y - my)) / sum((x - mx) * (x - mx)) AS b, sum((x - mx) * (x - mx)) AS sxx, CAST(floor(4 * pow(max(n) / 100.0, 2.0 / 9.0)) AS INTEGER) AS lags FROM d GROUP BY symbol),
-u AS (SELECT d.symbol, d.i, (d.x - d.mx) * (d.y - d.my - b.b * (d.x - d.mx)) AS u FROM d JOIN b ON b.symbol = d.symbol),
-s AS (SELECT symbol, sum(u * u) AS s0 FROM u GROUP BY symbol),
-k AS (SELECT a.symbol, sum(2 * (1 - (a.i - c.i) / (b.lags + 1.0)) * a.u * c.u) AS sk FROM u a JOIN b ON b.symbol = a.symbol JOIN u c ON c.symbol = a.symbol AND c.i >= a.i - b.lags AND c.i < a.i GROUP BY a.symbol)"""
-
-
-@query(sql(HAC, f"SELECT b.symbol, b.n, {R('b.b * b.b / ((s.s0 + coalesce(k.sk, 0)) / (b.sxx * b.sxx))', 'wald')} FROM b JOIN s ON s.symbol = b.symbol LEFT JOIN k ON k.symbol = b.symbol"))
+@query(sql(TABLE + hac("target", "all_sent_mean", "valid"), f"SELECT symbol, n, {R('wald', 'wald')} FROM w"))
 def hac_slope(spark, sf_dir):
     """The Wald statistic of one slope with Newey-West covariance, in closed form."""
     rows = model_table(spark, sf_dir).filter("valid").select("symbol", "open_time", "target", "all_sent_mean")

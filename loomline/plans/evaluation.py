@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import scores
 from ..operators import annotate, backtest, forecast, metrics, sampling, splits, stats, validate
 from ..sources import roles
-from .registry import PREDICTIONS, R, T, query, rounded, sql, timed
+from .registry import PREDICTIONS, R, T, erf, query, rounded, sql, timed
 from .series import TABLE, model_table, priced
 
 START, END = datetime(2024, 1, 1), datetime(2024, 1, 31)
@@ -120,21 +120,25 @@ def diebold_mariano(spark, sf_dir):
     return rounded(stats.diebold_mariano(differences(spark, sf_dir)), "mean_d", "dm")
 
 
-@query()
+HOLM = """, hr AS (SELECT *, p IS NOT NULL AS there, count(*) OVER (PARTITION BY {family}, p IS NOT NULL) AS m, row_number() OVER (PARTITION BY {family}, p IS NOT NULL ORDER BY p, {tie}) AS i FROM {source}),
+h AS (SELECT *, CASE WHEN there THEN least(1.0, max((m - i + 1) * p) OVER (PARTITION BY {family}, there ORDER BY i)) END AS p_holm FROM hr)"""
+DM_P = PREDICTIONS + LRV + f""", z AS (SELECT *, CASE WHEN lrv > 0 THEN mean_d / sqrt(lrv / n) END AS dm FROM lrv), pv AS (SELECT *, 0.5 * (1 - {erf("dm / sqrt(2)")}) AS p FROM z)"""
+
+
+@query(sql(DM_P + HOLM.format(family="symbol", tie="base, model", source="pv"), f"SELECT symbol, base, model, n, {R('mean_d', 'mean_d')}, lags AS hac_lags, {R('dm', 'dm')}, {R('p', 'p_value')}, {R('p_holm', 'p_holm')} FROM h"))
 def diebold_mariano_p(spark, sf_dir):
     """One-sided p-values, and Holm's adjustment of each symbol's family."""
     got = stats.with_p_value(stats.diebold_mariano(differences(spark, sf_dir)), "dm")
     return rounded(stats.holm(got, "p_value", ["symbol"], ["base", "model"]), "mean_d", "dm", "p_value", "p_holm")
 
 
-@query(
-    sql(
-        PREDICTIONS + """, s AS (SELECT symbol, model, count(*) AS n, avg(CASE WHEN y_true > 0 THEN 1.0 ELSE 0.0 END) AS a, avg(CASE WHEN y_pred > 0 THEN 1.0 ELSE 0.0 END) AS b, avg(CASE WHEN (y_true > 0) = (y_pred > 0) THEN 1.0 ELSE 0.0 END) AS h
-        FROM pred WHERE y_true <> 0 AND y_pred <> 0 GROUP BY 1, 2), e AS (SELECT *, a * b + (1 - a) * (1 - b) AS p FROM s),
-        v AS (SELECT *, p * (1 - p) / n - ((2 * a - 1) ** 2 * b * (1 - b) / n + (2 * b - 1) ** 2 * a * (1 - a) / n + 4 * a * b * (1 - a) * (1 - b) / (n * n)) AS v FROM e)""",
-        f"SELECT symbol, model, n, {R('h', 'hit_rate')}, {R('CASE WHEN v > 0 THEN (h - p) / sqrt(v) END', 'pt')} FROM v",
-    )
-)
+PT = PREDICTIONS + """, s AS (SELECT symbol, model, count(*) AS n, avg(CASE WHEN y_true > 0 THEN 1.0 ELSE 0.0 END) AS a, avg(CASE WHEN y_pred > 0 THEN 1.0 ELSE 0.0 END) AS b, avg(CASE WHEN (y_true > 0) = (y_pred > 0) THEN 1.0 ELSE 0.0 END) AS h
+FROM pred WHERE y_true <> 0 AND y_pred <> 0 GROUP BY 1, 2), e AS (SELECT *, a * b + (1 - a) * (1 - b) AS p FROM s),
+v AS (SELECT *, p * (1 - p) / n - ((2 * a - 1) ** 2 * b * (1 - b) / n + (2 * b - 1) ** 2 * a * (1 - a) / n + 4 * a * b * (1 - a) * (1 - b) / (n * n)) AS v FROM e),
+pt AS (SELECT *, CASE WHEN v > 0 THEN (h - p) / sqrt(v) END AS pt FROM v)"""
+
+
+@query(sql(PT, f"SELECT symbol, model, n, {R('h', 'hit_rate')}, {R('pt', 'pt')} FROM pt"))
 def pesaran_timmermann(spark, sf_dir):
     return rounded(stats.pesaran_timmermann(predictions(spark, sf_dir)), "hit_rate", "pt")
 

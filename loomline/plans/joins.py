@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from ..functions import text, times
 from ..operators import backtest, grid, metrics, regression, stats
 from ..sources import roles
-from .evaluation import BT, KEYS, predictions, traded
-from .registry import CANDLES, FEATURES, NEWS, PREDICTIONS, TAGGED, R, T, query, r6, rounded, sql, timed
-from .series import model_table, priced
+from .evaluation import BT, HOLM, KEYS, predictions, traded
+from .registry import CANDLES, FEATURES, NEWS, PREDICTIONS, TAGGED, R, T, erf, query, r6, rounded, sql, timed
+from .series import TABLE, model_table, priced
 
 
 @query(sql(NEWS, f"SELECT source, strftime(published, '%Y-%m') AS month, lang, count(*) AS n, {R('avg(score)', 'score')} FROM news GROUP BY 1, 2, 3"))
@@ -142,11 +142,27 @@ def return_autocorrelation(spark, sf_dir):
     return rounded(rows.groupBy("symbol").agg(F.count("ret_lag1").alias("n"), F.avg("ret_lag1").alias("mean_ret"), F.corr("ret_lag1", "target").alias("next_corr")), "mean_ret", "next_corr")
 
 
-@query()
+def hac(y: str, x: str, where: str, name: str = "") -> str:
+    """Statements for the Wald statistic of one slope with Newey-West covariance, in closed form, as w{name}(symbol, n, wald)."""
+    return f""", d{name} AS (SELECT symbol, open_time, {y} AS y, {x} AS x, count(*) OVER (PARTITION BY symbol) AS n, avg({x}) OVER (PARTITION BY symbol) AS mx, avg({y}) OVER (PARTITION BY symbol) AS my,
+  row_number() OVER (PARTITION BY symbol ORDER BY open_time) AS i FROM full_table WHERE {where}),
+b{name} AS (SELECT symbol, max(n) AS n, sum((x - mx) * (y - my)) / sum((x - mx) * (x - mx)) AS b, sum((x - mx) * (x - mx)) AS sxx, CAST(floor(4 * pow(max(n) / 100.0, 2.0 / 9.0)) AS INTEGER) AS lags FROM d{name} GROUP BY symbol HAVING max(n) > 2),
+u{name} AS (SELECT d.symbol, d.i, (d.x - d.mx) * (d.y - d.my - b.b * (d.x - d.mx)) AS u FROM d{name} d JOIN b{name} b ON b.symbol = d.symbol),
+s{name} AS (SELECT symbol, sum(u * u) AS s0 FROM u{name} GROUP BY symbol),
+k{name} AS (SELECT a.symbol, sum(2 * (1 - (a.i - c.i) / (b.lags + 1.0)) * a.u * c.u) AS sk FROM u{name} a JOIN b{name} b ON b.symbol = a.symbol JOIN u{name} c ON c.symbol = a.symbol AND c.i >= a.i - b.lags AND c.i < a.i GROUP BY a.symbol),
+w{name} AS (SELECT b.symbol, b.n, b.b * b.b / ((s.s0 + coalesce(k.sk, 0)) / (b.sxx * b.sxx)) AS wald FROM b{name} b JOIN s{name} s ON s.symbol = b.symbol LEFT JOIN k{name} k ON k.symbol = b.symbol)"""
+
+
+VALID = TABLE + hac("ret_lag1", "all_sent_mean", "valid AND n > 0", "_same") + hac("target", "all_sent_mean", "valid AND n > 0", "_next")
+VALID += f", pv AS (SELECT 1 AS family, *, 1 - {erf('sqrt(wald / 2)')} AS p FROM (SELECT 'same' AS kind, * FROM w_same UNION ALL SELECT 'next', * FROM w_next))"
+
+
+@query(sql(VALID + HOLM.format(family="family", tie="symbol, kind", source="pv"), f"SELECT symbol, kind, n, {R('wald', 'wald')}, {R('p', 'p_value')}, 1 AS df, {R('p_holm', 'p_holm')} FROM h"))
 def validity_tests(spark, sf_dir):
     """Wald tests of the score against returns of the same and the next hour, Holm-adjusted over all."""
     rows, out = model_table(spark, sf_dir).filter("valid and all_news_count > 0"), None
     for kind, value in (("same", "ret_lag1"), ("next", "target")):
         part = regression.hac_wald(rows, ["symbol"], value, ["all_sent_mean"], ["all_sent_mean"]).withColumn("kind", F.lit(kind))
         out = part if out is None else out.unionByName(part)
-    return stats.holm(out.withColumn("family", F.lit(1)), "p_value", ["family"], ["symbol", "kind"]).drop("family")
+    got = stats.holm(out.withColumn("family", F.lit(1)), "p_value", ["family"], ["symbol", "kind"]).drop("family")
+    return rounded(got, "wald", "p_value", "p_holm")

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from ..operators import backtest, features, forecast, metrics, regression, resampling, sequence, stats
 from ..sources import roles
-from .evaluation import FOLDS, KEYS, WINDOWS, predictions, traded
-from .registry import query, rounded, timed
+from .evaluation import FOLDS, KEYS, PT, WINDOWS, predictions, traded
+from .registry import R, erf, query, rounded, sql, timed
 from .series import model_table, priced
 
 COLUMNS = ["ret_lag1", "ret_lag2", "ret_lag3", "rv_6", "volume_change", "all_sent_mean", "all_news_intensity"]
@@ -149,7 +149,7 @@ def placebo(spark, sf_dir):
     return rounded(got.withColumn("chance", chance), "direction", "share_up", "share_said_up", "chance")
 
 
-@query()
+@query(sql(PT, f"SELECT symbol, model, n, {R('h', 'hit_rate')}, {R('pt', 'pt')}, {R(f'0.5 * (1 - {erf("pt / sqrt(2)")})', 'p_value')} FROM pt"))
 def pesaran_timmermann_p(spark, sf_dir):
     got = stats.with_p_value(stats.pesaran_timmermann(predictions(spark, sf_dir)), "pt")
     return rounded(got, "hit_rate", "pt", "p_value")

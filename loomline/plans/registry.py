@@ -45,6 +45,12 @@ def T(expr: str, name: str) -> str:  # noqa: N802
     return f"strftime({expr}, '%Y-%m-%d %H:%M:%S') AS {name}"
 
 
+def erf(x: str) -> str:
+    """The error function in SQL, by its series of positive terms."""
+    term = f"exp(n * ln(2 * ({x}) * ({x})) + ln(abs({x})) - ((n + 1) * ln(2) + lgamma(n + 1.5) - 0.5 * ln(pi())))"
+    return f"CASE WHEN ({x}) = 0 THEN 0.0 WHEN abs({x}) > 6 THEN sign({x}) ELSE sign({x}) * 2 / sqrt(pi()) * exp(-({x}) * ({x})) * list_sum(list_transform(range(0, 200), lambda n: {term})) END"
+
+
 CANDLES = """candles AS (
   SELECT event_type AS symbol, date_trunc('hour', ts) AS open_time, first(value ORDER BY ts, event_id) AS open, max(value) AS high,
          min(value) AS low, last(value ORDER BY ts, event_id) AS close, sum(value) AS volume, count(*) AS trades

@@ -8,7 +8,7 @@ from ..operators import features, metrics, report, splits, validate
 from ..sources import files, roles
 from .evaluation import FOLDS, IN_FOLDS, predictions
 from .news import cleaning_stages
-from .registry import GRID, NEWS, PREDICTIONS, R, T, query, rounded, sql, timed
+from .registry import GRID, NEWS, ORACLE_SQL, PREDICTIONS, TAGGED, R, T, query, rounded, sql, timed
 from .series import TABLE, full_grid, model_table
 
 
@@ -24,7 +24,11 @@ def fold_ratio_pivot(spark, sf_dir):
     return rounded(report.wide(got, ["symbol", "model"], "fold", names, "ratio_to_zero"), *names)
 
 
-@query()
+@query(
+    f"""SELECT 'stage' AS part, name AS item, "left" AS n FROM ({ORACLE_SQL["cleaning_stages"]}) UNION ALL
+    SELECT 'asset', asset, n FROM ({sql(TAGGED, "SELECT 'tag_a' AS asset, count(*) FILTER (WHERE tag_a OR NOT (tag_a OR tag_b)) AS n FROM tagged UNION ALL SELECT 'tag_b', count(*) FILTER (WHERE tag_b OR NOT (tag_a OR tag_b)) FROM tagged")}) UNION ALL
+    SELECT 'fold', symbol || '/' || fold, test_rows FROM ({ORACLE_SQL["fold_row_counts"]}) WHERE fold <> 'tuning'"""
+)
 def data_flow(spark, sf_dir):
     """Cleaning stages, records by asset rule and rows by fold in one table."""
     news = roles.tagged_headlines(spark, sf_dir).drop("title")
