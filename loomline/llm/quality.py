@@ -45,13 +45,13 @@ LANGUAGE_BANDS = {
 }
 #: Code point ranges by script.
 SCRIPTS = {
-    "latin": "A-Za-zÀ-ɏḀ-ỿ",
-    "greek": "Ͱ-Ͽἀ-῿",
-    "cyrillic": "Ѐ-ԯ",
-    "hebrew": "֐-׿יִ-ﭏ",
-    "arabic": "؀-ۿݐ-ݿ",
-    "indic": "ऀ-෿",
-    "cjk": "぀-ヿ㐀-䶿一-鿿가-힯",
+    "latin": "A-Za-z\u00c0-\u024f\u1e00-\u1eff",
+    "greek": "\u0370-\u03ff\u1f00-\u1fff",
+    "cyrillic": "\u0400-\u052f",
+    "hebrew": "\u0590-\u05ff\ufb1d-\ufb4f",
+    "arabic": "\u0600-\u06ff\u0750-\u077f",
+    "indic": "\u0900-\u0dff",
+    "cjk": "\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uac00-\ud7af",
 }
 _SCRIPT = {name: re.compile(f"[{chars}]+") for name, chars in SCRIPTS.items()}
 #: Latin letters of Vietnamese only; a Latin text with this share of them has its bands.
