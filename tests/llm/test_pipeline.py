@@ -31,7 +31,7 @@ def test_columns_and_effects(spark, stages):
     assert Counter(r.doc_id for r in after) == Counter(r.doc_id for r in before if measure(r.text, r.lang)[6])
     before, after = rows["toxicity"]
     score = toxicity.train(stages[1][1], table(spark, SF, "labels")).scorer()
-    assert Counter(r.doc_id for r in after) == Counter(r.doc_id for r in before if score(r.text) < 0.4)
+    assert Counter(r.doc_id for r in after) == Counter(r.doc_id for r in before if score(r.text) < corpus_pipeline.TOXIC)
     before, after = rows["near_duplicates"]
     left = {simhash.fingerprint(r.text) for r in after}
     assert len(left) == len(after) and all(a == b or bin(a ^ b).count("1") > 3 for a in left for b in left)
