@@ -131,6 +131,10 @@ def dense_index(df: DataFrame, order: list[Column], out: str) -> DataFrame:
     return placed.withColumn(out, (F.col("__start") + F.col("__inside")).cast("long")).select(*df.columns, out)
 
 
+#: Keys of a number and a small count up to which `tiles` broadcasts them.
+FEW_KEYS = 100_000
+
+
 def tiles(df: DataFrame, key: str, item: str, most: int, also: Column | None = None) -> DataFrame:
     """Rows of each key, dealt into tiles so that each two rows of a key meet in exactly one tile.
 
@@ -140,9 +144,10 @@ def tiles(df: DataFrame, key: str, item: str, most: int, also: Column | None = N
     """
     sizes = df.groupBy(key).agg(F.count(F.lit(1)).alias("__n"), (F.lit(True) if also is None else also).alias("__also"))
     sizes = sizes.filter("__n > 1 and __also")
-    # cut, so that the join has shuffles of its own and a large key can be split, or none where the sizes are few
+    # cut: few sizes are broadcast, so that rows aren't shuffled by key; else the join has shuffles of its own and a large key can be split
     sizes = cut(sizes.select(key, F.ceil(F.col("__n") / F.lit(most)).cast("int").alias("__k")))
-    rows = df.join(sizes, key).withColumn("chunk", F.pmod(F.xxhash64(item), F.col("__k")).cast("int"))
+    few = sizes.limit(FEW_KEYS + 1).count() <= FEW_KEYS
+    rows = df.join(F.broadcast(sizes) if few else sizes, key).withColumn("chunk", F.pmod(F.xxhash64(item), F.col("__k")).cast("int"))
     others = F.transform(
         F.sequence(F.lit(0), F.col("__k") - 1),
         lambda o: F.struct(F.least(o, F.col("chunk")).alias("i"), F.greatest(o, F.col("chunk")).alias("j")),
