@@ -1,7 +1,7 @@
 """Walk-forward forecasts: naive, tree ensembles of Spark ML, and ARMA models by group.
 
 An adapter takes (table, columns, window, params, seed) and returns forecasts of the window's test rows, having seen
-only valid rows before train_end. Tree models are distributed fits; ARMA runs one task for each symbol and window.
+only valid rows before train_end. Tree models are distributed fits; ARMA runs one task for each symbol, window and order.
 """
 
 from __future__ import annotations
@@ -13,8 +13,6 @@ from functools import partial, reduce
 from itertools import product
 from typing import Protocol
 
-import numpy as np
-import pandas as pd
 from pyspark import inheritable_thread_target
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
@@ -23,6 +21,7 @@ from pyspark.sql import Window as Frame
 from pyspark.sql import functions as F
 
 from ..sources import files
+from . import arma as exact
 from .features import expanding_mean
 from .splits import Window
 
@@ -137,119 +136,13 @@ def tune(table: DataFrame, columns: list[str], window: Window, adapter: Callable
     return min(tried, key=lambda r: (r["mse"], r["i"]))["params"], tried
 
 
-# ARMA
-
-
-def residuals(y: np.ndarray, const: float, ar: np.ndarray, ma: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(one-step forecasts, errors); at a missing value the forecast stands in and the error is zero."""
-    p, q = len(ar), len(ma)
-    past, errors = [const] * p, [0.0] * q
-    mean = const
-    out, eps = np.empty(len(y)), np.empty(len(y))
-    ar, ma = ar.tolist(), ma.tolist()
-    for t, v in enumerate(y.tolist()):
-        f = mean
-        for k in range(p):
-            f += ar[k] * (past[k] - mean)
-        for k in range(q):
-            f += ma[k] * errors[k]
-        e = 0.0 if v != v else v - f
-        out[t], eps[t] = f, e
-        if p:
-            past = [f if v != v else v, *past[:-1]]
-        if q:
-            errors = [e, *errors[:-1]]
-    return out, eps
-
-
-def _stable(ar: np.ndarray, ma: np.ndarray) -> bool:
-    return all(len(c) == 0 or np.abs(np.roots(np.concatenate(([1.0], sign * c)))).max() < 0.999 for c, sign in ((ar, -1), (ma, 1)))
-
-
-def fit_arma(y: np.ndarray, p: int, q: int, steps: int = 120) -> tuple[np.ndarray, float]:
-    """(constant, ar.., ma..) by conditional least squares with a simplex search, and its AIC."""
-    seen = y[np.isfinite(y)]
-    n, sd = len(seen), float(seen.std()) or 1.0
-
-    def loss(v: np.ndarray) -> float:
-        if not _stable(v[1 : 1 + p], v[1 + p :]):
-            return math.inf
-        _, e = residuals(y, v[0] * sd, v[1 : 1 + p], v[1 + p :])
-        return float(e @ e) / n
-
-    m = 1 + p + q
-    start = np.zeros(m)
-    start[0] = seen.mean() / sd
-    points = [start] + [start + 0.1 * np.eye(m)[k] for k in range(m)]
-    value = [loss(v) for v in points]
-    for _ in range(steps if m > 1 else 0):
-        order = np.argsort(value)
-        points, value = [points[i] for i in order], [value[i] for i in order]
-        if abs(value[-1] - value[0]) <= 1e-9 * max(value[0], 1e-300):
-            break
-        centre = np.mean(points[:-1], axis=0)
-        trial = centre + (centre - points[-1])
-        got = loss(trial)
-        if got < value[0]:
-            far = centre + 2 * (centre - points[-1])
-            trial, got = (far, f) if (f := loss(far)) < got else (trial, got)
-        elif got >= value[-2]:
-            trial = centre + 0.5 * (points[-1] - centre)
-            got = loss(trial)
-            if got >= value[-1]:
-                points = [points[0]] + [points[0] + 0.5 * (v - points[0]) for v in points[1:]]
-                value = [value[0]] + [loss(v) for v in points[1:]]
-                continue
-        points[-1], value[-1] = trial, got
-    best = int(np.argmin(value))
-    v = points[best].copy()
-    v[0] *= sd
-    return v, n * (math.log(max(value[best], 1e-300)) + math.log(2 * math.pi) + 1) + 2 * (m + 1)
-
-
-def arma(grid: DataFrame, windows: list[Window], orders: tuple[tuple[int, int], ...] = tuple(product(range(4), repeat=2)), history: int = 8760, exog: list[str] | None = None, value: str = "ret_lag1") -> DataFrame:
+def arma(
+    grid: DataFrame, windows: list[Window], orders: tuple[tuple[int, int], ...] = exact.ORDERS, history: int = 8760, exog: list[str] | None = None, value: str = "ret_lag1", taken: DataFrame | None = None,
+) -> DataFrame:
     """One-step forecasts (symbol, fold, open_time, y_true, model, y_pred) of the next hour's return.
 
-    For each symbol and window the order with the least AIC over the last `history` hours of training is chosen and its
-    parameters are frozen; the filter then runs through the test rows. With exog, returns are first regressed on those
-    columns as known an hour before, and the order is the one chosen for the returns themselves. Each task holds one symbol's hours.
+    For each symbol and window the order with the least AIC over the `history` hours before the window is taken, or that
+    of `taken` where it is given, as `exact.chosen` and a stored run have it; with exog the errors of a regression have it.
     """
-    exog = exog or []
-    spans = [(w.name, w.train_end, w.test_start, w.test_end) for w in windows]
-    rows = grid.select("symbol", "open_time", F.col(value).alias("ret"), "target", "valid", *exog)
-    named = grid.sparkSession.createDataFrame([(w.name,) for w in windows], "fold string")
-    rows = rows.crossJoin(F.broadcast(named))
-
-    def work(key, frame: pd.DataFrame) -> pd.DataFrame:
-        symbol, fold = key
-        _, train_end, test_start, test_end = next(s for s in spans if s[0] == fold)
-        frame = frame.sort_values("open_time")
-        t, y = frame["open_time"], frame["ret"].to_numpy(float)
-        shift = np.zeros(len(y))
-        train = (t < pd.Timestamp(train_end)).to_numpy()
-        if exog:
-            x = np.column_stack([np.ones(len(y)), frame[exog].shift(1).fillna(0.0).to_numpy(float)])
-            ok = train & np.isfinite(y)
-            shift = x @ np.linalg.pinv(x[ok]) @ y[ok] if ok.any() else shift
-        past = (y - shift)[train][-history:]
-        columns = ["symbol", "fold", "open_time", "y_true", "model", "y_pred"]
-        if np.isfinite(past).sum() < 30:
-            return pd.DataFrame(columns=columns)
-        fits = [(*fit_arma(y[train][-history:], p, q), p, q) for p, q in orders]
-        v, _, p, q = min(fits, key=lambda f: f[1])
-        if exog:
-            v, _ = fit_arma(past, p, q)
-        ahead, _ = residuals(np.append((y - shift), np.nan), v[0], v[1 : 1 + p], v[1 + p :])
-        later = np.append(shift[1:], 0.0) if not exog else x_next(frame, exog, shift, ok, y)
-        out = pd.DataFrame({"open_time": t, "y_true": frame["target"], "y_pred": ahead[1:] + later})
-        out = out[frame["valid"].to_numpy(bool) & (t >= pd.Timestamp(test_start)).to_numpy() & (t < pd.Timestamp(test_end)).to_numpy()]
-        return out.assign(symbol=symbol, fold=fold, model="arimax" if exog else "arima")[columns]
-
-    return rows.groupBy("symbol", "fold").applyInPandas(work, "symbol string, fold string, open_time timestamp, y_true double, model string, y_pred double")
-
-
-def x_next(frame: pd.DataFrame, exog: list[str], shift: np.ndarray, ok: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """The regression part of the next hour, from the columns known now."""
-    x = np.column_stack([np.ones(len(y)), frame[exog].shift(1).fillna(0.0).to_numpy(float)])
-    now = np.column_stack([np.ones(len(y)), frame[exog].fillna(0.0).to_numpy(float)])
-    return now @ np.linalg.pinv(x[ok]) @ y[ok]
+    taken = exact.chosen(exact.orders(grid, windows, orders, history, value)) if taken is None else taken
+    return exact.forecasts(grid, windows, taken, history, exog, value)

@@ -207,18 +207,6 @@ def test_regressions(spark):
     assert regression.adf_p_value(-2.86) == pytest.approx(0.05, abs=0.003)
 
 
-def test_arma():
-    rng = np.random.default_rng(1)
-    e, y = rng.normal(size=600), np.zeros(600)
-    for t in range(1, 600):
-        y[t] = 0.6 * y[t - 1] + e[t]
-    v, aic = forecast.fit_arma(y, 1, 0)
-    assert v[1] == pytest.approx(0.6, abs=0.1) and aic < forecast.fit_arma(y, 0, 0)[1]
-    y[300:303] = np.nan
-    ahead, errors = forecast.residuals(y, 0.0, np.array([0.5]), np.array([]))
-    assert ahead[301] == pytest.approx(0.5 * ahead[300]) and errors[301] == 0
-
-
 def panel(spark, n=400):
     rng = np.random.default_rng(2)
     x = rng.normal(size=n)

@@ -1,16 +1,10 @@
 """The registered walk-forward queries do the whole job: all folds, the adapters' own settings, all orders and lags."""
 
-from datetime import timedelta
-
-import numpy as np
 import pytest
 
 from loomline import catalogue
-from loomline.operators import forecast, splits
 from loomline.plans import evaluation, models
 
-from .test_evaluation import T0
-
 SF = "/root/testdata/sf0.001"
 
 
@@ -29,27 +23,3 @@ def test_learned_queries_run_all_folds(spark, monkeypatch, name, seeds):
 
 def test_granger_reaches_a_day_back(spark):
     assert {r.lags for r in catalogue.QUERIES["granger"](spark, "/root/testdata/sf0.01").filter("rule = 'fixed'").collect()} == {1, 6, 24}
-
-
-def test_arima_tries_16_orders_and_arimax_takes_its_order(spark, monkeypatch):
-    tried = []
-    real = forecast.fit_arma
-    monkeypatch.setattr(forecast, "fit_arma", lambda y, p, q, steps=120: (tried.append((p, q)), real(y, p, q, 5))[1])
-
-    class Rows:
-        def __getattr__(self, _):
-            return lambda *a, **k: self
-
-    rng = np.random.default_rng(5)
-    frame = __import__("pandas").DataFrame({"symbol": "a", "fold": "f", "open_time": [T0 + timedelta(hours=i) for i in range(200)], "ret": rng.normal(size=200), "x": rng.normal(size=200)})
-    frame = frame.assign(target=frame.ret, valid=True)
-    window = splits.Window("f", T0 + timedelta(hours=150), T0 + timedelta(hours=160), T0 + timedelta(hours=200))
-    for exog in (None, ["x"]):
-        held, tried[:] = {}, []
-        rows = Rows()
-        rows.sparkSession, rows.crossJoin = rows, lambda *_: rows
-        rows.applyInPandas = lambda work, schema: held.update(work=work)
-        monkeypatch.setattr(forecast.F, "broadcast", lambda df: df)
-        forecast.arma(rows, [window], exog=exog)
-        assert len(held["work"](("a", "f"), frame)) == 40
-        assert set(tried[:16]) == {(p, q) for p in range(4) for q in range(4)} and len(tried) == 16 + bool(exog)
