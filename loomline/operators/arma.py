@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .splits import Window, as_table
 
 #: Hours that a settled filter takes at once; change of the covariance below which it has settled.
-STEADY, SETTLED = 64, 1e-12
+STEADY, SETTLED = 64, 1e-10
 ORDERS = tuple(product(range(4), repeat=2))
 #: Values that a fit needs.
 LEAST = 30
@@ -72,8 +72,9 @@ class Filter:
     def run(self, y: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(forecasts (k, hours, series), variances (k, hours)) one hour ahead, for y (hours, series) with equal gaps."""
         n, k = len(y), len(self.step)
-        ahead, spread = np.empty((k, n, y.shape[1])), np.empty((k, n))
-        state, cov, t = np.zeros((k, self.step.shape[1], y.shape[1])), self.start, 0
+        ahead, spread = np.zeros((k, n, y.shape[1])), np.empty((k, n))
+        state, cov, t = np.zeros((k, self.step.shape[1], y.shape[1])), self.start, int(np.argmax(np.append(seen, True)))
+        spread[:, :t] = cov[:, :1, 0]  # before the first value the filter stays where it starts
         gaps = np.append(np.flatnonzero(~seen), n)
         while t < n:
             if not seen[t]:
@@ -158,9 +159,9 @@ def fit(y: np.ndarray, p: int, q: int, x: np.ndarray | None = None, steps: int =
         return (got[:m] - got[m:]) / 2e-5
 
     def search(u: np.ndarray) -> tuple[float, np.ndarray]:
-        now, g, h = float(loss(u[None])[0]), slope(u), np.eye(m)
+        now, g, h, idle = float(loss(u[None])[0]), slope(u), np.eye(m), 0
         for _ in range(steps):
-            if np.abs(g).max() < 1e-7:
+            if np.abs(g).max() < 1e-6:
                 break
             way = -h @ g
             if way @ g >= 0:
@@ -181,7 +182,8 @@ def fit(y: np.ndarray, p: int, q: int, x: np.ndarray | None = None, steps: int =
             if (s := moved @ change) > 1e-14:
                 keep = np.eye(m) - np.outer(moved, change) / s
                 h = keep @ h @ keep.T + np.outer(moved, moved) / s
-            if gained < 1e-11:
+            idle = idle + 1 if gained < 1e-7 else 0
+            if idle == 3:
                 break
         return now, u
 

@@ -146,7 +146,7 @@ def hac(y: str, x: str, where: str, name: str = "") -> str:
     """Statements for the Wald statistic of one slope with Newey-West covariance, in closed form, as w{name}(symbol, n, wald)."""
     return f""", d{name} AS (SELECT symbol, open_time, {y} AS y, {x} AS x, count(*) OVER (PARTITION BY symbol) AS n, avg({x}) OVER (PARTITION BY symbol) AS mx, avg({y}) OVER (PARTITION BY symbol) AS my,
   row_number() OVER (PARTITION BY symbol ORDER BY open_time) AS i FROM full_table WHERE {where}),
-b{name} AS (SELECT symbol, max(n) AS n, sum((x - mx) * (y - my)) / sum((x - mx) * (x - mx)) AS b, sum((x - mx) * (x - mx)) AS sxx, CAST(floor(4 * pow(max(n) / 100.0, 2.0 / 9.0)) AS INTEGER) AS lags FROM d{name} GROUP BY symbol HAVING max(n) > 2),
+b{name} AS (SELECT symbol, max(n) AS n, sum((x - mx) * (y - my)) / nullif(sum((x - mx) * (x - mx)), 0) AS b, CASE WHEN sum((x - mx) * (x - mx)) > 1e-9 * sum(x * x) THEN sum((x - mx) * (x - mx)) END AS sxx, CAST(floor(4 * pow(max(n) / 100.0, 2.0 / 9.0)) AS INTEGER) AS lags FROM d{name} GROUP BY symbol HAVING max(n) > 2),
 u{name} AS (SELECT d.symbol, d.i, (d.x - d.mx) * (d.y - d.my - b.b * (d.x - d.mx)) AS u FROM d{name} d JOIN b{name} b ON b.symbol = d.symbol),
 s{name} AS (SELECT symbol, sum(u * u) AS s0 FROM u{name} GROUP BY symbol),
 k{name} AS (SELECT a.symbol, sum(2 * (1 - (a.i - c.i) / (b.lags + 1.0)) * a.u * c.u) AS sk FROM u{name} a JOIN b{name} b ON b.symbol = a.symbol JOIN u{name} c ON c.symbol = a.symbol AND c.i >= a.i - b.lags AND c.i < a.i GROUP BY a.symbol),

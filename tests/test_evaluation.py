@@ -207,6 +207,63 @@ def test_regressions(spark):
     assert regression.adf_p_value(-2.86) == pytest.approx(0.05, abs=0.003)
 
 
+@pytest.mark.parametrize("hours", [4096, 7])
+def test_moments_of_blocks_give_the_whole_regression(spark, monkeypatch, hours):
+    """Blocks of any length, also shorter than the lags, against one matrix; rows arrive in no order."""
+    monkeypatch.setattr(regression, "HOURS", hours)
+    rng = np.random.default_rng(7)
+    data = rng.normal(size=(300, 3)).cumsum(axis=0) * 0.1 + rng.normal(size=(300, 3))
+    late = np.cumsum(rng.choice([1, 1, 1, 30], 300))
+    rows = [("a", T0 + timedelta(hours=int(t)), *map(float, v)) for t, v in zip(late, data)] + [("b", T0 + timedelta(hours=i), float(i % 5), 2.0, float(i)) for i in range(40)]
+    rows += [("c", T0, 1.0, 2.0, 3.0), ("a", T0 - timedelta(hours=5), None, 1.0, 2.0)]
+    frame = spark.createDataFrame(rows, "s string, open_time timestamp, y double, x1 double, x2 double").repartition(7)
+    got = {r.s: r for r in regression.hac_wald(frame, ["s"], "y", ["x1", "x2"], ["x1", "x2"]).collect()}
+    beta, cov, _ = regression.hac_ols(data[:, 0], np.column_stack((np.ones(300), data[:, 1:])), 5)
+    assert set(got) == {"a", "b"} and got["a"].n == 300 and got["a"].wald == pytest.approx(regression.wald(beta, cov, np.array([1, 2]))[0], rel=1e-9)
+    assert got["b"].wald is None and got["b"].p_value is None  # a constant column doesn't determine its slope
+    one = {r.s: r for r in regression.hac_wald(frame, ["s"], "y", ["x1", "x2"], ["x2"]).collect()}
+    assert one["b"].wald is not None and one["b"].df == 1
+    assert regression.hac_wald(frame.filter("false"), ["s"], "y", ["x1"], ["x1"]).count() == 0
+
+
+@pytest.mark.parametrize("hours", [4096, 24])
+def test_granger_equals_separate_regressions(spark, monkeypatch, hours):
+    monkeypatch.setattr(regression, "HOURS", hours)
+    rng = np.random.default_rng(8)
+    n = 260
+    own, cause = rng.normal(size=n), rng.normal(size=n)
+    own[50:53] = np.nan
+    rows = [("a", T0 + timedelta(hours=i), None if own[i] != own[i] else float(own[i]), float(cause[i])) for i in range(n)]
+    frame = spark.createDataFrame(rows, "symbol string, open_time timestamp, own double, cause double")
+    table = frame.selectExpr("*", "lead(own) over (partition by symbol order by open_time) AS target", "own is not null AS valid").repartition(5)
+    start = T0 + timedelta(hours=120)
+    got = {(r.direction, r.sample, r.rule, r.lags): r for r in regression.granger(table, ["symbol"], "own", ["cause"], lags=(1, 3), most=4, test_start=start).collect()}
+
+    def design(y, series, p, sample):
+        lagged = lambda v, k: np.concatenate((np.full(k, np.nan), v[: n - k]))
+        x = np.column_stack([np.ones(n), *(lagged(v, k) for v in series for k in range(p))])
+        ok = np.isfinite(y) & np.isfinite(x).all(axis=1) & (np.arange(n) >= (120 if sample == "test" else 0))
+        return y[ok], x[ok]
+
+    ahead = np.append(own[1:], np.nan)
+    for direction, y, series in (("news to return", np.where(np.isfinite(own), ahead, np.nan), (own, cause)), ("return to news", np.append(cause[1:], np.nan), (cause, own))):
+        for sample in ("full", "test"):
+            for p in (1, 3):
+                a, x = design(y, series, p, sample)
+                beta, cov, _ = regression.hac_ols(a, x, stats.most_lags(len(a)))
+                r = got[direction, sample, "fixed", p]
+                assert r.n == len(a) and r.wald == pytest.approx(regression.wald(beta, cov, np.arange(1 + p, 1 + 2 * p))[0], rel=1e-8)
+            common = np.isfinite(design(y, series, 4, sample)[1]).all(axis=1)
+            full = design(y, series, 4, sample)
+            bic = []
+            for p in range(1, 5):
+                x = full[1][:, [0, *range(1, 1 + p), *range(5, 5 + p)]]
+                e = full[0] - x @ np.linalg.lstsq(x, full[0], rcond=None)[0]
+                bic.append((len(x) * math.log(e @ e / len(x)) + x.shape[1] * math.log(len(x)), p))
+            assert common.all() and (direction, sample, "bic", min(bic)[1]) in got
+    assert len(got) == 12
+
+
 def panel(spark, n=400):
     rng = np.random.default_rng(2)
     x = rng.normal(size=n)
