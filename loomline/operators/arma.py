@@ -67,40 +67,55 @@ class Filter:
         echo = np.zeros((len(gain), STEADY, STEADY))
         for i in range(1, STEADY):
             echo[:, i, :i] = pushed[:, :i, 0][:, ::-1]
-        self.steady = cov, cov[:, 0, 0], seen, echo, pushed, powers
+        self.steady = seen, echo, pushed, powers
 
     def run(self, y: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(forecasts (k, hours, series), variances (k, hours)) one hour ahead, for y (hours, series) with equal gaps."""
+        """(forecasts (k, hours, series), variances (k, hours)) one hour ahead, for y (hours, series) with equal gaps.
+
+        Single hours are taken with the models along the last axis, and the transition as what it is: a shift and one column.
+        """
         n, k = len(y), len(self.step)
-        ahead, spread = np.zeros((k, n, y.shape[1])), np.empty((k, n))
-        state, cov, t = np.zeros((k, self.step.shape[1], y.shape[1])), self.start, int(np.argmax(np.append(seen, True)))
-        spread[:, :t] = cov[:, :1, 0]  # before the first value the filter stays where it starts
-        gaps = np.append(np.flatnonzero(~seen), n)
+        ahead, spread = np.zeros((n, y.shape[1], k)), np.empty((n, k))
+        cov, noise, ar = (np.ascontiguousarray(np.moveaxis(v, 0, -1)) for v in (self.start, self.noise, self.step[:, :, 0]))
+        state, t = np.zeros((len(ar), y.shape[1], k)), int(np.argmax(np.append(seen, True)))
+        spread[:t] = cov[0, 0]  # before the first value the filter stays where it starts
+        gaps, settled = np.append(np.flatnonzero(~seen), n), None
+
+        def moved(left: np.ndarray) -> np.ndarray:
+            half = ar[:, None] * left[0]
+            half[:-1] += left[1:]
+            out = half[:, :1] * ar
+            out[:, :-1] += half[:, 1:]
+            out += noise
+            return out
+
         while t < n:
-            if not seen[t]:
-                ahead[:, t], spread[:, t] = state[:, 0], cov[:, 0, 0]
-                state, cov, t = self.step @ state, self.step @ cov @ self.step.transpose(0, 2, 1) + self.noise, t + 1
-                continue
-            if self.steady is not None and np.abs(cov - self.steady[0]).max() <= 10 * SETTLED:
-                cov, variance, view, echo, pushed, powers = self.steady
-                stop = gaps[np.searchsorted(gaps, t)]
+            if settled is not None and seen[t] and np.abs(cov - settled).max() <= 10 * SETTLED:
+                cov, (view, echo, pushed, powers) = settled, self.steady
+                stop, whole = gaps[np.searchsorted(gaps, t)], state.transpose(2, 0, 1)
+                spread[t:stop] = cov[0, 0]
                 while t < stop:
                     m = min(STEADY, stop - t)
                     part = y[t : t + m]
-                    ahead[:, t : t + m] = view[:, :m] @ state + echo[:, :m, :m] @ part
-                    spread[:, t : t + m] = variance[:, None]
-                    state = powers[m] @ state + np.einsum("kmr,ms->krs", pushed[:, :m][:, ::-1], part)
+                    ahead[t : t + m] = (view[:, :m] @ whole + echo[:, :m, :m] @ part).transpose(1, 2, 0)
+                    whole = powers[m] @ whole + np.einsum("kmr,ms->krs", pushed[:, :m][:, ::-1], part)
                     t += m
+                state = np.ascontiguousarray(whole.transpose(1, 2, 0))
                 continue
-            ahead[:, t], spread[:, t] = state[:, 0], cov[:, 0, 0]
-            gain = cov[:, :, 0] / cov[:, :1, 0]
-            state = self.step @ (state + gain[:, :, None] * (y[t] - state[:, 0])[:, None, :])
-            left = cov - gain[:, :, None] * cov[:, :1, :]
-            after = self.step @ left @ self.step.transpose(0, 2, 1) + self.noise
-            if self.steady is None and np.abs(after - cov).max() <= SETTLED:
-                self._settle(after)
-            cov, t = after, t + 1
-        return ahead, spread
+            ahead[t], spread[t] = state[0], cov[0, 0]
+            if seen[t]:
+                gain = cov[:, 0] / cov[0, 0]
+                state = state + gain[:, None] * (y[t][:, None] - state[0])
+                after = moved(cov - gain[:, None] * cov[0])
+                if settled is None and np.abs(after - cov).max() <= SETTLED:
+                    settled = after
+                    self._settle(np.moveaxis(after, -1, 0))
+            else:
+                after = moved(cov)
+            next_state = ar[:, None] * state[0]
+            next_state[:-1] += state[1:]
+            state, cov, t = next_state, after, t + 1
+        return ahead.transpose(2, 0, 1), spread.T
 
 
 @dataclass(frozen=True)
@@ -153,39 +168,38 @@ def fit(y: np.ndarray, p: int, q: int, x: np.ndarray | None = None, steps: int =
     def loss(u: np.ndarray) -> np.ndarray:
         return -profile(y, design, coefficients(u[:, :p]), -coefficients(u[:, p:]))[0] / n
 
-    def slope(u: np.ndarray) -> np.ndarray:
-        nudge = 1e-5 * np.eye(m)
-        got = loss(np.concatenate((u + nudge, u - nudge)))
-        return (got[:m] - got[m:]) / 2e-5
+    def seen_from(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(losses, gradients) at points (..., m), all in one pass over time."""
+        nudge = 1e-5 * np.concatenate((np.zeros((1, m)), np.eye(m), -np.eye(m)))
+        got = loss((points[..., None, :] + nudge).reshape(-1, m)).reshape(*points.shape[:-1], 2 * m + 1)
+        return got[..., 0], (got[..., 1 : m + 1] - got[..., m + 1 :]) / 2e-5
 
-    def search(u: np.ndarray) -> tuple[float, np.ndarray]:
-        now, g, h, idle = float(loss(u[None])[0]), slope(u), np.eye(m), 0
+    def search(at: np.ndarray) -> np.ndarray:
+        """The best point that BFGS reaches from the starts `at`, which take their steps together."""
+        now, g = seen_from(at)
+        h, scale, idle, sizes = np.tile(np.eye(m), (len(at), 1, 1)), np.ones(len(at)), np.zeros(len(at), int), np.array([1.0, 0.25])
         for _ in range(steps):
-            if np.abs(g).max() < 1e-6:
-                break
-            way = -h @ g
-            if way @ g >= 0:
-                h, way = np.eye(m), -g
-            way *= min(1.0, 2 / np.abs(way).max())
-            sizes = np.array([2, 1, 0.5, 0.25, 0.1, 0.03, 0.005, 0.0005])
-            got = loss(u + sizes[:, None] * way)
-            best = int(np.argmin(got))
-            if not got[best] < now - 1e-13:
-                if np.array_equal(h, np.eye(m)):
-                    break
-                h = np.eye(m)
-                continue
-            moved, before = sizes[best] * way, g
-            gained, now, u = now - float(got[best]), float(got[best]), u + moved
-            g = slope(u)
-            change = g - before
-            if (s := moved @ change) > 1e-14:
-                keep = np.eye(m) - np.outer(moved, change) / s
-                h = keep @ h @ keep.T + np.outer(moved, moved) / s
-            idle = idle + 1 if gained < 1e-7 else 0
-            if idle == 3:
+            on = np.flatnonzero((idle < 3) & (np.abs(g).max(axis=1) >= 1e-6))
+            if not len(on):
                 break
-        return now, u
+            way = -np.einsum("sab,sb->sa", h[on], g[on])
+            back = (way * g[on]).sum(axis=1) >= 0
+            h[on[back]], way[back] = np.eye(m), -g[on[back]]
+            way *= np.minimum(1, 2 / np.abs(way).max(axis=1))[:, None]
+            values, slopes = seen_from(at[on][:, None] + (scale[on][:, None] * sizes)[:, :, None] * way[:, None])
+            for j, i in enumerate(on):
+                best = int(np.argmin(values[j]))
+                gained = now[i] - values[j, best]
+                idle[i] = idle[i] + 1 if not gained > 1e-7 else 0
+                if not gained > 1e-13:
+                    scale[i] *= 0.05
+                    continue
+                step, change = scale[i] * sizes[best] * way[j], slopes[j, best] - g[i]
+                at[i], now[i], g[i], scale[i] = at[i] + step, values[j, best], slopes[j, best], 1.0
+                if (s := step @ change) > 1e-14:
+                    keep = np.eye(m) - np.outer(step, change) / s
+                    h[i] = keep @ h[i] @ keep.T + np.outer(step, step) / s
+        return at[int(np.argmin(now))]
 
     if m:
         r = partial_autocorrelations(y, max(p, q))
@@ -193,7 +207,7 @@ def fit(y: np.ndarray, p: int, q: int, x: np.ndarray | None = None, steps: int =
         starts = [np.concatenate((first[:p], np.full(q, 0.05)))]
         if p and q:
             starts.append(np.concatenate((np.full(p, 0.05), -first[:q])))
-        u = min((search(s) for s in starts), key=lambda f: f[0])[1]
+        u = search(np.array(starts))
     else:
         u = np.zeros(0)
     ar, ma = coefficients(u[None, :p]), -coefficients(u[None, p:])
