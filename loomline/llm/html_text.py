@@ -8,19 +8,20 @@ annotations, and what `hidden`, a `style` attribute or a rule of the page's styl
 inherited, so a visible element inside a hidden one is shown. Of rules those count whose selectors are a tag, classes
 and ids of one element; rules with combinators, attributes or states, and at-rules, are not read. Blocks stand on
 lines of their own with blank lines between paragraphs, list items behind bullets or numbers (start, value, reversed,
-type) with indentation, preformatted text as it stands, table cells in aligned columns however wide they are, with
-their spans over columns and rows, and the values of buttons and text fields where they are.
+type) with indentation, preformatted text as it stands, table cells in aligned columns (cells that would begin beyond
+column ALIGNED of a line follow two spaces after the one before), with their spans over columns and rows, and the values
+of buttons and text fields where they are.
 
 Defined results: null and empty html give empty text; broken markup is read as far as possible and never fails;
 unclosed comments and scripts run to the end of the page; very deep nesting needs no recursion, and the time grows in
-proportion to the page; a table whose aligning would take over PADDING spaces keeps its cells two spaces apart;
+proportion to the page, for which an end tag of a formatting element is carried into CARRIED open blocks, as in browsers;
 repeated rows give equal texts; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right, insort
 from html import unescape
 
 from pyspark.sql import DataFrame
@@ -81,10 +82,10 @@ FIELDS = frozenset("button submit reset text search email url tel number date ti
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "children")
+    __slots__ = ("tag", "attrs", "children", "parent", "opened")
 
-    def __init__(self, tag: str, attrs: dict[str, str] | None = None):
-        self.tag, self.attrs, self.children = tag, attrs or {}, []
+    def __init__(self, tag: str, attrs: dict[str, str] | None = None, parent: Node | None = None):
+        self.tag, self.attrs, self.children, self.parent, self.opened = tag, attrs or {}, [], parent, 0
 
 
 class Rules:
@@ -147,28 +148,66 @@ def attributes(source: str) -> dict[str, str]:
     return out
 
 
+#: Open elements inside a formatting element that its end tag is carried into, as the HTML standard has it for blocks; it
+#: then stays open inside the last of them. Formatting elements between it and a block that stay around the block, also by
+#: the standard. Room between the numbers of two open elements, for those that are carried there.
+CARRIED, AROUND, ROOM = 8, 3, 1 << 20
+
+
 class Open:
-    """The open elements from the root on, with the places of each tag, so that nothing is searched for."""
+    """The open elements by serial number from the root on, and those of each tag, so that nothing is searched for or moved."""
 
     def __init__(self, root: Node):
-        self.stack: list[Node] = []
+        self.open: dict[int, Node] = {}
+        self.before: dict[int, int] = {}
+        self.after: dict[int, int] = {0: 0}
         self.where: dict[str, list[int]] = {}
         self.special: list[int] = []
+        self.serial = self.tail = 0
         self.push(root)
 
+    @property
+    def top(self) -> Node:
+        return self.open[self.tail]
+
     def push(self, node: Node) -> None:
-        self.where.setdefault(node.tag, []).append(len(self.stack))
+        self.serial += ROOM
+        if node.tag in SPECIAL:
+            self.special.append(self.serial)
+        self._link(node, self.serial, self.tail, 0)
+        self.tail = self.serial
+
+    def insert(self, node: Node, left: int) -> None:
+        """Opens a formatting element right inside the open element number left, around those that are open in it."""
+        right = self.after[left]
+        if right - left > 1:
+            self._link(node, (left + right) // 2, left, right)
+            self.before[right] = node.opened
+
+    def _link(self, node: Node, serial: int, left: int, right: int) -> None:
+        insort(self.where.setdefault(node.tag, []), serial)
+        self.open[serial], node.opened = node, serial
+        self.before[serial], self.after[left], self.after[serial] = left, serial, right
+
+    def drop(self, serial: int) -> None:
+        """Takes one element, which is not special or is the last, out of the open ones."""
+        node = self.open.pop(serial)
+        node.opened = 0
+        own = self.where[node.tag]
+        del own[bisect_left(own, serial)]
         if node.tag in SPECIAL:
-            self.special.append(len(self.stack))
-        self.stack.append(node)
+            self.special.pop()
+        left, right = self.before.pop(serial), self.after.pop(serial)
+        self.after[left] = right
+        if right:
+            self.before[right] = left
+        else:
+            self.tail = left
 
     def cut(self, k: int) -> None:
-        """Closes the elements from place k on."""
-        for node in self.stack[k:]:
-            self.where[node.tag].pop()
-            if node.tag in SPECIAL:
-                self.special.pop()
-        del self.stack[k:]
+        """Closes the elements from number k on."""
+        while self.tail >= k:
+            self.drop(self.tail)
 
     def last(self, tags) -> int:
         return max((own[-1] for t in tags if (own := self.where.get(t))), default=0)
@@ -176,7 +215,7 @@ class Open:
     def close(self, tags, scope) -> bool:
         """Closes the innermost element of tags, unless one of scope is further in."""
         k = self.last(tags)
-        if k and k >= self.last(scope):
+        if k > ROOM and k >= self.last(scope):
             self.cut(k)
             return True
         return False
@@ -184,43 +223,64 @@ class Open:
     def end_formatting(self, tag: str) -> None:
         """Ends a formatting element; the blocks open inside it go on behind it, what they hold so far stays formatted."""
         k = self.last((tag,))
-        if not k or k < self.last(WALLS):
+        if k <= ROOM or k < self.last(WALLS):
             return
         if k > self.special[-1]:
             self.cut(k)
             return
-        inner = self.special[bisect_right(self.special, k)]
-        above = self.stack[inner:]
-        block, ended = above[0], self.stack[k]
-        self.stack[inner - 1].children.pop()
-        self.cut(k)
-        self.stack[-1].children.append(block)
-        for node in above:  # what is still open stays last, outside the copies
-            own = node.children if node is above[-1] else node.children[:-1]
+        inner = bisect_right(self.special, k)
+        block, ended = self.open[self.special[inner]], self.open[k]
+        between, serial = [], self.after[k]
+        while serial != self.special[inner]:
+            between.append(serial)
+            serial = self.after[serial]
+        kept = [x for x in between if self.open[x].tag in FORMATTING][-AROUND:]
+        for serial in (k, *(x for x in between if x not in kept)):
+            self.drop(serial)
+        block.parent.children.pop()
+        parent = ended.parent
+        for serial in kept:  # what else stands around the block stays around it
+            node = self.open[serial]
+            copy = self.open[serial] = Node(node.tag, node.attrs, parent)
+            copy.opened, node.opened = serial, 0
+            parent.children.append(copy)
+            parent = copy
+        block.parent = parent
+        parent.children.append(block)
+        reached = block
+        for step in range(1, CARRIED + 1):
+            inside = reached.children[-1] if reached.children and isinstance(reached.children[-1], Node) and reached.children[-1].opened else None
+            own = reached.children if inside is None or step == CARRIED else reached.children[:-1]
             if own:
-                copy = Node(ended.tag, ended.attrs)
-                copy.children, node.children = own, [copy, *node.children[len(own) :]]
-        for node in above:
-            self.push(node)
+                copy = Node(ended.tag, ended.attrs, reached)
+                copy.children, reached.children = own, [copy, *reached.children[len(own) :]]
+                for node in own:
+                    if isinstance(node, Node):
+                        node.parent = copy
+                if inside is not None and step == CARRIED:
+                    self.insert(copy, reached.opened)
+            if inside is None:
+                break
+            reached = inside
 
 
 def build(html: str) -> tuple[Node, Rules]:
     """The tree of a page, text children being strings, and the rules of its style elements."""
     root, rules, at, n = Node("html"), Rules(), 0, len(html)
     opened = Open(root)
-    stack, close = opened.stack, opened.close
+    close = opened.close
     ahead = Rules()
     for sheet in _SHEET.findall(html):
         ahead.read(sheet)
 
     def leave_head() -> None:
-        if stack[-1].tag == "head":
-            opened.cut(len(stack) - 1)
+        if opened.top.tag == "head":
+            opened.cut(opened.tail)
 
     def add(text: str) -> None:
-        if stack[-1].tag == "head" and text.strip(" \t\r\n\f"):
+        if opened.top.tag == "head" and text.strip(" \t\r\n\f"):
             leave_head()
-        stack[-1].children.append(text)
+        opened.top.children.append(text)
 
     while at < n:
         lt = html.find("<", at)
@@ -239,7 +299,7 @@ def build(html: str) -> tuple[Node, Rules]:
             end = end.lower()
             if end == "br":
                 leave_head()
-                stack[-1].children.append(Node("br"))
+                opened.top.children.append(Node("br"))
             elif end in FORMATTING:
                 opened.end_formatting(end)
             elif end in SPECIAL or end in ("head", "svg", "math"):
@@ -270,8 +330,8 @@ def build(html: str) -> tuple[Node, Rules]:
             leave_head()
         if tag in FORMATTING and not ("hidden" in attrs or "style" in attrs or ahead.by and ahead.keys(tag, attrs)):
             continue
-        node = Node(tag, attrs)
-        stack[-1].children.append(node)
+        node = Node(tag, attrs, opened.top)
+        opened.top.children.append(node)
         if tag in RAW:
             stop = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(html, at) if tag != "plaintext" else None
             inner = html[at : stop.start() if stop else n]
@@ -355,8 +415,8 @@ class Page:
         return "\n".join(self.lines).strip("\n")
 
 
-#: Most spaces that aligning a table may add.
-PADDING = 1 << 24
+#: Column of a line up to which table cells are aligned; cells that would begin beyond it follow two spaces after the one before.
+ALIGNED = 2000
 #: Most rows that a cell spans; as many as HTML allows, and what a span of 0, up to the end of the row group, means.
 MOST_ROWS, MOST_COLUMNS = 65534, 1000
 
@@ -391,8 +451,6 @@ def aligned(rows: list[list[tuple[str, int, int]]], starts: set[int] = frozenset
     edge = [0]
     for c in range(end):
         edge.append(edge[-1] + width.get(c, 0) + 2)
-    if sum(edge[cells[-1][0]] * max(len(lines) for _, lines, _ in cells) for cells in placed) > PADDING:
-        edge = [0] * (end + 1)
     out = []
     for cells in placed:
         for k in range(max(len(lines) for _, lines, _ in cells)):
@@ -400,7 +458,7 @@ def aligned(rows: list[list[tuple[str, int, int]]], starts: set[int] = frozenset
             for at, lines, _ in cells:
                 part = lines[k] if k < len(lines) else ""
                 if at:
-                    line = line.ljust(edge[at] - 2) + "  "
+                    line = line.ljust(min(edge[at] - 2, ALIGNED)) + "  "
                 line += part
             out.append(line.rstrip())
     return out

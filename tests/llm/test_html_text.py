@@ -54,6 +54,10 @@ def test_deep_and_long_pages():
         "<b>" * 20_000 + "<div>" * 20_000 + "</b>" * 20_000 + "x",
         "<style>.a{display:none}</style>" + "<b class=b>" * 20_000 + "<div>" + "</b>" * 20_000 + "x",
         "<ul><li>" * 20_000 + "x" + "</dd>" * 20_000,
+        '<b style="color:red"><div>' * 8_000 + "</b>" * 8_000 + "x",
+        '<b style="color:red"><span></span><div>' * 8_000 + "y" + "</b>" * 8_000 + "x",
+        '<i style="color:red">' * 8_000 + "<span></span>" * 8_000 + "<p>" + "</i>" * 8_000 + "x",
+        '<b style="color:red"><div><i style="x:y">' * 5_000 + "</b></i>" * 5_000 + "</i>" * 5_000 + "x",
         "< " * 100_000 + "x",
         "<style>" + "a{" * 50_000 + "}" * 50_000 + "</style>x",
     ],
@@ -90,8 +94,8 @@ class Plain(HTMLParser):
 
 
 def test_every_visible_word_comes_out_in_order(spark):
-    for folder in ("sf0.001", "sf0.01", "check_s"):
-        for r in spark.read.parquet(f"/root/testdata/{folder}/pages.parquet").select("html").limit(3000).collect():
+    for folder in ("sf0.001", "sf0.01", "sf0.1"):
+        for r in spark.read.parquet(f"/root/testdata/{folder}/pages.parquet").select("html").collect():
             plain = Plain()
             plain.feed(r.html or "")
             plain.close()
@@ -99,6 +103,28 @@ def test_every_visible_word_comes_out_in_order(spark):
             assert "".join("".join(lines).split()) == "".join("".join(plain.out).split()), r.html[:500]
 
 
+def test_alignment_ends_at_a_column_whatever_the_size_of_the_table():
+    wide = "w" * 3000
+    for rows in (1, 20_000):
+        lines = page_text(f"<table><tr><td>{wide}<td>a" + "<tr><td>b<td>c" * rows + "</table>").split("\n")
+        assert lines[0] == wide + "  a" and set(lines[1:]) == {"b" + " " * 1999 + "  c"} and len(lines) == rows + 1
+
+
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        ("a<b hidden>b<div>c</b>d", "a\nd"),
+        ("a<b hidden><div>b<div>c</b>d</div>e</div>f", "a\nd\ne\nf"),
+        ("a<b hidden>" + "<div>b" * 8 + "</b>d", "a\nd"),
+        ("a<b hidden>" + "<div>b" * 12 + "</b>d</b>e" + "</div>" * 12 + "f", "a\ne\nf"),
+        ("a<b hidden><i hidden>x<div>c</b>d</i>e", "a\ne"),
+        ("a<b hidden><i style='x:y'>x<div>c</b>d</i>e", "a\nde"),
+    ],
+)
+def test_what_follows_a_formatting_end_tag_inside_open_blocks(html, text):
+    assert page_text(html).replace("\n\n", "\n") == text
+
+
 def test_extract(spark):
     rows = [(1, "u", "<p>x</p>"), (None, None, None), (2, "u", ""), (2, "u", "")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'clash' AS text")
