@@ -6,7 +6,8 @@ clamp. Every document is then repeated target / size times: the whole part for a
 first in a seeded hash order until their words make up the rest.
 
 The level is found by a few aggregates over the sources; the fractional part is cut off in a bucket of the hash range
-found from bucket sums, so only about BUCKET documents of a source are ever ordered together.
+found from bucket sums, so only about BUCKET documents of a source are ever ordered together; there an exact subset sum
+over the POOL documents around the edge brings the words nearest to the target.
 
 Defined results: null and empty texts have no words, count for nothing and are taken by the whole part alone; a null
 source is the last one; repeated rows of an id and size are decided together; with no words all targets are
@@ -24,6 +25,8 @@ from pyspark.sql import functions as F
 from .common import cut, dense_index, word_count
 
 SHARE, MOST, BUCKET, SEED = 1.0, 3.0, 4000, "mix-1"
+#: Documents of the edge bucket among which an exact subset sum picks, so that a source's words come as near as they can.
+POOL = 96
 
 
 def cycle_weights(position: Column) -> Column:
@@ -89,20 +92,36 @@ def _small(df: DataFrame, rows: int = 10_000) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
+def nearest_subset(sizes: list[int], goal: float) -> list[int]:
+    """Places of a subset of sizes whose sum is as near to goal as any subset's, the smaller of two as near."""
+    reached = [1]  # bit s: some of the first k sizes add up to s
+    for size in sizes:
+        reached.append(reached[-1] | reached[-1] << size)
+    low = max(0, int(goal))
+    below = (reached[-1] & ((1 << low + 1) - 1)).bit_length() - 1  # 0 is always reached
+    above = reached[-1] >> low + 1
+    over = low + 1 + (above & -above).bit_length() - 1
+    left = over if above and abs(over - goal) < abs(goal - below) else below
+    out = []
+    for k in range(len(sizes) - 1, -1, -1):
+        if not reached[k] >> left & 1:
+            out.append(k)
+            left -= sizes[k]
+    return out[::-1]
+
+
 def _fill(rows: pd.DataFrame) -> pd.DataFrame:
-    """The edge bucket in hash order: what still fits, then the one row that brings the sum nearest."""
+    """The edge bucket in hash order as far as it fits; around the end, that subset of POOL rows which brings the sum nearest."""
     rows = rows.sort_values(["hash", "doc_id", "size"])
-    room, take, spare = float(rows["room"].iloc[0]), [], []
-    for at, need in enumerate((rows["size"] * rows["n"]).tolist()):
-        if need <= room:
-            room -= need
-            take.append(at)
-        else:
-            spare.append((abs(room - need), at, need))
-    later = [(abs(room - need), at) for _, at, need in spare]
-    if later and min(later)[0] < room:
-        take.append(min(later)[1])
-    got = rows.iloc[take]
+    room, need = float(rows["room"].iloc[0]), (rows["size"] * rows["n"]).to_numpy()
+    some = need > 0
+    fit = int((need.cumsum() <= room).sum())
+    pool = [k for k in range(max(0, fit - POOL // 2), len(need)) if some[k]][:POOL]
+    if len(pool) < POOL:
+        pool = ([k for k in range(len(need)) if some[k]])[-POOL:]
+    first = pool[0] if pool else 0
+    chosen = nearest_subset([int(need[k]) for k in pool], room - float(need[:first].sum()))
+    got = rows.iloc[[*range(first), *(pool[k] for k in chosen)]]
     return pd.DataFrame({"__p_source": got["__source"], "__p_id": got["doc_id"], "__p_size": got["size"]})
 
 
