@@ -1,7 +1,7 @@
-"""Walk-forward forecasts: naive, tree ensembles of Spark ML, and ARMA models by group.
+"""Walk-forward forecasts: naive, tree ensembles, and ARMA models by group.
 
 An adapter takes (table, columns, window, params, seed) and returns forecasts of the window's test rows, having seen
-only valid rows before train_end. Tree models are distributed fits; ARMA runs one task for each symbol, window and order.
+only valid rows before train_end. Tree models come from histograms that Spark adds up; ARMA runs one task for each symbol, window and order.
 """
 
 from __future__ import annotations
@@ -14,22 +14,17 @@ from itertools import product
 from typing import Protocol
 
 from pyspark import inheritable_thread_target
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as Frame
 from pyspark.sql import functions as F
 
 from ..sources import files
 from . import arma as exact
+from . import trees
 from .features import expanding_mean
 from .splits import Window
 
 
-#: Training rows of a tree model that a task gets at least.
-ROWS_A_TASK = 50_000
-
-
 class Adapter(Protocol):
     name: str
 
@@ -57,43 +52,27 @@ def naive(table: DataFrame, ret: str = "ret_lag1", symbol: str = "symbol", time:
     return rows.filter("valid").select(symbol, time, "y_true", F.explode("m").alias("model", "y_pred"))
 
 
-def forest(table: DataFrame, columns: list[str], window: Window, params: dict, seed: int) -> DataFrame:
-    """Random forest by symbol: trees on .632 of the rows without replacement, columns drawn at each node."""
-    k = max(1, int(math.sqrt(len(columns))) if params.get("columns", "sqrt") == "sqrt" else int(len(columns) * float(params["columns"])))
-    model = RandomForestRegressor(
-        labelCol="target", featuresCol="features", numTrees=params.get("trees", 300), maxDepth=min(30, params.get("depth", 10)), minInstancesPerNode=params.get("leaf", 50),
-        subsamplingRate=0.632, bootstrap=False, featureSubsetStrategy=str(k), seed=seed,
-    )
-    return _fit(model, table, columns, window, "forest")
-
+def _by_symbol(many: Callable) -> Callable:
+    """An adapter of one window and seed, with `many`, which fits all windows and seeds together."""
 
-def boosting(table: DataFrame, columns: list[str], window: Window, params: dict, seed: int) -> DataFrame:
-    """Gradient boosting with early stopping on the last tenth of the training rows.
+    def adapter(table: DataFrame, columns: list[str], window: Window, params: dict, seed: int) -> DataFrame:
+        return many(table, columns, [window], params, (seed,)).drop("fold", "seed")
 
-    Spark has neither column sampling by tree nor a penalty on leaf weights; both are left out.
-    """
-    model = GBTRegressor(
-        labelCol="target", featuresCol="features", maxIter=params.get("rounds", 100), maxDepth=params.get("depth", 3), stepSize=params.get("rate", 0.05), subsamplingRate=0.8,
-        minInstancesPerNode=params.get("leaf", 20), validationIndicatorCol="held", validationTol=1e-6, seed=seed,
-    )
-    return _fit(model, table, columns, window, "boosting")
+    adapter.many = many
+    return adapter
 
 
-def _fit(model, table: DataFrame, columns: list[str], window: Window, name: str) -> DataFrame:
-    assemble = VectorAssembler(inputCols=columns, outputCol="features")
-    rows = train_rows(table, window)
-    if not (n := rows.count()):  # nothing to learn from: no forecasts
-        return test_rows(table, window).filter("false").select("symbol", "open_time", F.col("target").alias("y_true"), F.lit(name).alias("model"), F.lit(0.0).alias("y_pred"))
-    train = assemble.transform(rows.coalesce(-(-n // ROWS_A_TASK)))  # a fit of few rows is many tiny jobs otherwise
-    if name == "boosting":
-        edge = train.agg(F.percentile(F.unix_timestamp("open_time"), F.lit(0.9))).first()[0]
-        train = train.withColumn("held", F.unix_timestamp("open_time") > F.lit(edge))
-    got = model.fit(train).transform(assemble.transform(test_rows(table, window)))
-    return got.select("symbol", "open_time", F.col("target").alias("y_true"), F.lit(name).alias("model"), F.col("prediction").alias("y_pred"))
+#: Forests and boosting are fitted by symbol: no other symbol's rows change a forecast.
+forest, boosting = _by_symbol(trees.forest), _by_symbol(trees.boosting)
 
 
 def run(table: DataFrame, columns: list[str], windows: list[Window], adapter: Callable, params: dict, seeds: tuple[int, ...] = (0,), parallel: int = 8) -> DataFrame:
-    """Forecasts of every fold and seed, with fold and seed columns; up to `parallel` fits share the cluster."""
+    """Forecasts of every fold and seed, with fold and seed columns; up to `parallel` fits share the cluster.
+
+    An adapter that can fit many windows and seeds together does so.
+    """
+    if many := getattr(adapter, "many", None):
+        return many(table, columns, windows, params, seeds)
 
     def one(window: Window, seed: int) -> DataFrame:
         return adapter(table, columns, window, params, seed).withColumn("fold", F.lit(window.name)).withColumn("seed", F.lit(seed))
