@@ -28,6 +28,8 @@ from .splits import Window, as_table
 
 #: Bins of a feature; hours of a block; trees of each model that are grown together; rounds between writing margins.
 BINS, HOURS, TOGETHER, FRESH = 64, 4096, 100, 16
+#: Histograms that a task holds before it sends them.
+HELD = 4000
 UNIT = ["symbol", "fold"]
 
 
@@ -36,6 +38,7 @@ class Tree:
 
     def __init__(self, value: float = 0.0):
         self.feature, self.bin, self.left, self.right, self.value, self.gain = [-1], [0], [0], [0], [value], [0.0]
+        self.arrays = None
 
     def split(self, node: int, feature: int, edge: int, gain: float, left: float, right: float) -> tuple[int, int]:
         for value in (left, right):
@@ -43,11 +46,14 @@ class Tree:
                 own.append(v)
         a, b = len(self.value) - 2, len(self.value) - 1
         self.feature[node], self.bin[node], self.left[node], self.right[node], self.gain[node] = feature, edge, a, b, gain
+        self.arrays = None
         return a, b
 
     def nodes(self, bins: np.ndarray) -> np.ndarray:
         """The leaf of each row of bins (n, features)."""
-        feature, edge, left, right = (np.array(v, np.int64) for v in (self.feature, self.bin, self.left, self.right))
+        if self.arrays is None:
+            self.arrays = [np.array(v, np.int64) for v in (self.feature, self.bin, self.left, self.right)]
+        feature, edge, left, right = self.arrays
         at, row = np.zeros(len(bins), np.int64), np.arange(len(bins))
         while len(row):
             row = row[feature[at[row]] >= 0]
@@ -67,7 +73,7 @@ class Tree:
             for child in (self.left[node], self.right[node]):
                 if self.feature[child] >= 0:
                     heapq.heappush(open_, (-self.gain[child], child))
-        self.feature = [f if k in kept else -1 for k, f in enumerate(self.feature)]
+        self.feature, self.arrays = [f if k in kept else -1 for k, f in enumerate(self.feature)], None
 
 
 @dataclass(frozen=True)
@@ -156,14 +162,19 @@ class Grower:
         self.packs, self.features, self.seeds, self.growth = packs, features, seeds, growth
         self.spark = packs.sparkSession
 
-    def sums(self, open_: dict[Key, dict[int, tuple[Tree, list[int]]]], ensembles: dict[Key, Ensemble] | None) -> DataFrame:
-        """(symbol, fold, seed, tree, node, feature, bin, g, n) of open nodes; for boosting also squared errors of held-out rows, as tree -1."""
+    def splits(self, open_: dict[Key, dict[int, tuple[Tree, list[int]]]], ensembles: dict[Key, Ensemble] | None) -> DataFrame:
+        """(symbol, fold, seed, tree, node, g, n, gain, feature, bin, gl, nl): sums and the best split of open nodes.
+
+        gain is null where no split is allowed. For boosting g and n of tree -1 are the squared errors and the number of held-out rows.
+        """
         growth, features, seeds = self.growth, self.features, self.seeds
         shared = self.spark.sparkContext.broadcast((open_, ensembles))
-        names = [*UNIT, "seed", "tree", "node", "feature", "bin", "g", "n"]
+        node, drawn = [*UNIT, "seed", "tree", "node"], growth.count(features)
+        shape, kinds = (2, drawn, BINS), "symbol string, fold string, seed int, tree int, node int"
 
-        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def send(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             trees, grown = shared.value
+            held: dict[tuple, np.ndarray] = {}
             for frame in frames:
                 for row in frame.itertuples():
                     t, role, y, bins = _read(row)
@@ -171,55 +182,77 @@ class Grower:
                         asked = trees.get((row.symbol, row.fold, seed))
                         if asked is None:
                             continue
-                        gradient, parts = -y, []
+                        gradient = -y
                         if grown is not None:
                             gradient = margins(row, bins, number, grown[row.symbol, row.fold, seed].fresh) - y
                             out = gradient[role == 1]
-                            parts.append((np.array([[-1, 0, 0, 0]]), np.array([out @ out]), np.array([len(out)])))
+                            held.setdefault((row.symbol, row.fold, seed, -1, 0), np.zeros(shape))[:, 0, 0] += out @ out, len(out)
                         for number_of, (tree, nodes) in asked.items():
                             on = np.flatnonzero((role == 0) & (uniform(t, seed, number_of) < growth.rows))
                             place = np.full(len(tree.value), -1)
                             place[nodes] = np.arange(len(nodes))
                             at = place[tree.nodes(bins[on])]
                             on, at = on[at >= 0], at[at >= 0]
-                            cell = (at[:, None] * features + np.arange(features)) * BINS + bins[on]
-                            size = len(nodes) * features * BINS
-                            n = np.bincount(cell.ravel(), minlength=size)
-                            g = np.bincount(cell.ravel(), np.repeat(gradient[on], features), size)
-                            drawn = np.zeros((len(nodes), features), bool)
-                            for k, node in enumerate(nodes):
-                                drawn[k, growth.drawn(features, seed, number_of, node)] = True
-                            some = np.flatnonzero((n > 0) & np.repeat(drawn.ravel(), BINS))
-                            where = np.stack((np.full(len(some), number_of), np.array(nodes)[some // (features * BINS)], some // BINS % features, some % BINS), axis=1)
-                            parts.append((where, g[some], n[some]))
-                        where, g, n = (np.concatenate(v) for v in zip(*parts))
-                        if len(where):
-                            yield pd.DataFrame({"symbol": row.symbol, "fold": row.fold, "seed": seed, **{k: where[:, i] for i, k in enumerate(names[3:7])}, "g": g, "n": n})[names]
-
-        return self.packs.mapInPandas(run, "symbol string, fold string, seed int, tree int, node int, feature int, bin int, g double, n long")
-
-    def best(self, sums: DataFrame) -> DataFrame:
-        """(symbol, fold, seed, tree, node, g, n, split) of each node; split(gain, feature, bin, gl, nl) is null where none is allowed."""
-        node = [*UNIT, "seed", "tree", "node"]
-        leaf, penalty = self.growth.leaf, self.growth.penalty
-        cells = sums.repartition(*node).groupBy(*node, "feature", "bin").agg(F.sum("g").alias("g"), F.sum("n").alias("n"))
-        own = Frame.partitionBy(*node, "feature")
-        upto = own.orderBy("bin").rowsBetween(Frame.unboundedPreceding, 0)
-        cells = cells.select(*node, "feature", "bin", *[F.sum(c).over(w).alias(name) for c, w, name in (("g", upto, "gl"), ("n", upto, "nl"), ("g", own, "g"), ("n", own, "n"))])
-        score = lambda g, n: g * g / (n + F.lit(float(penalty)))
-        gain = score(F.col("gl"), F.col("nl")) + score(F.col("g") - F.col("gl"), F.col("n") - F.col("nl")) - score(F.col("g"), F.col("n"))
-        allowed = (F.col("nl") >= leaf) & (F.col("n") - F.col("nl") >= leaf)
-        found = F.when(allowed, F.struct(gain.alias("gain"), (-F.col("feature")).alias("feature"), (-F.col("bin")).alias("bin"), "gl", "nl"))
-        return cells.groupBy(*node).agg(F.first("g").alias("g"), F.first("n").alias("n"), F.max(found).alias("split"))
+                            columns = np.stack([growth.drawn(features, seed, number_of, k) for k in nodes])[at]
+                            cell = ((at[:, None] * drawn + np.arange(drawn)) * BINS + bins[on[:, None], columns]).ravel()
+                            n = np.bincount(cell, minlength=len(nodes) * drawn * BINS).reshape(len(nodes), drawn, BINS)
+                            g = np.bincount(cell, np.repeat(gradient[on], drawn), n.size).reshape(n.shape)
+                            for k in np.flatnonzero(n[:, 0].any(axis=1)).tolist():
+                                own = held.setdefault((row.symbol, row.fold, seed, number_of, nodes[k]), np.zeros(shape))
+                                own[0] += g[k]
+                                own[1] += n[k]
+                    if len(held) >= HELD:
+                        yield table(held)
+                        held = {}
+            if held:
+                yield table(held)
+
+        def table(held: dict[tuple, np.ndarray]) -> pd.DataFrame:
+            out = pd.DataFrame(list(held), columns=node)
+            return out.assign(sums=[v.tobytes() for v in held.values()])
+
+        def added(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            last = None
+            for frame in frames:
+                now = np.frombuffer(b"".join(frame["sums"])).reshape(-1, *shape)
+                names = list(frame[node].itertuples(index=False, name=None))
+                if last is not None:
+                    names, now = [last[0], *names], np.concatenate((last[1][None], now))
+                first = [k for k, name in enumerate(names) if not k or name != names[k - 1]]
+                total = np.add.reduceat(now, first, axis=0)
+                names = [names[k] for k in first]
+                last = names[-1], total[-1]
+                if len(names) > 1:
+                    yield best(names[:-1], total[:-1])
+            if last is not None:
+                yield best([last[0]], last[1][None])
+
+        def best(names: list[tuple], sums: np.ndarray) -> pd.DataFrame:
+            g, n = sums[:, 0], sums[:, 1]
+            gl, nl, all_g, all_n = g.cumsum(axis=2), n.cumsum(axis=2), g[:, 0].sum(axis=1), n[:, 0].sum(axis=1)
+            gr, nr = all_g[:, None, None] - gl, all_n[:, None, None] - nl
+            with np.errstate(divide="ignore", invalid="ignore"):
+                gain = gl**2 / (nl + growth.penalty) + gr**2 / (nr + growth.penalty) - (all_g**2 / (all_n + growth.penalty))[:, None, None]
+            gain[~((nl >= growth.leaf) & (nr >= growth.leaf))] = -np.inf
+            at = gain.reshape(len(names), -1).argmax(axis=1)
+            pick = lambda v: v.reshape(len(names), -1)[np.arange(len(names)), at]
+            out = pd.DataFrame(names, columns=node)
+            feature = [int(growth.drawn(features, *name[2:])[k]) if name[3] >= 0 else 0 for name, k in zip(names, at // BINS)]
+            return out.assign(g=all_g, n=all_n, gain=pd.Series(pick(gain)).replace(-np.inf, np.nan), feature=feature, bin=at % BINS, gl=pick(gl), nl=pick(nl))
+
+        sent = self.packs.mapInPandas(send, f"{kinds}, sums binary").repartition(*node).sortWithinPartitions(*node)
+        return sent.mapInPandas(added, f"{kinds}, g double, n double, gain double, feature int, bin int, gl double, nl double")
 
     def grow(self, models: list[Key], trees: range, rate: float, ensembles: dict[Key, Ensemble] | None = None) -> tuple[dict[Key, dict[int, Tree]], dict[Key, tuple[float, int]]]:
         """({model: {number: tree}}, {model: (squared error, rows) of the held-out rows before these trees})."""
         growth = self.growth
         grown = {m: {k: Tree() for k in trees} for m in models}
+        if growth.depth == 0:
+            raise ValueError("a tree needs a depth of one at least")
         open_, errors, level, value = {m: {k: (t, [0]) for k, t in own.items()} for m, own in grown.items()}, {}, 0, lambda g, n: -rate * g / (n + growth.penalty)
         while open_:
             after: dict = defaultdict(dict)
-            for r in self.best(self.sums(open_, ensembles)).toPandas().sort_values([*UNIT, "seed", "tree", "node"]).itertuples(index=False):
+            for r in self.splits(open_, ensembles).toPandas().sort_values([*UNIT, "seed", "tree", "node"]).itertuples(index=False):
                 model = (r.symbol, r.fold, r.seed)
                 if r.tree < 0:
                     errors.setdefault(model, (r.g, r.n))
@@ -227,13 +260,10 @@ class Grower:
                 tree = grown[model][r.tree]
                 if level == 0:
                     tree.value[0] = value(r.g, r.n)
-                if r.split is None or (growth.depth is not None and level >= growth.depth):
-                    continue
-                s = r.split if isinstance(r.split, dict) else r.split.asDict()
-                if not s["gain"] > 1e-12 * max(1e-300, r.g * r.g / (r.n + growth.penalty)):
+                if not r.gain > 1e-12 * max(1e-300, r.g * r.g / (r.n + growth.penalty)):  # none allowed is nan
                     continue
-                children = tree.split(int(r.node), -int(s["feature"]), -int(s["bin"]), float(s["gain"]), value(s["gl"], s["nl"]), value(r.g - s["gl"], r.n - s["nl"]))
-                big = [c for c, n in zip(children, (s["nl"], r.n - s["nl"])) if n >= 2 * growth.leaf]
+                children = tree.split(int(r.node), int(r.feature), int(r.bin), float(r.gain), value(r.gl, r.nl), value(r.g - r.gl, r.n - r.nl))
+                big = [c for c, n in zip(children, (r.nl, r.n - r.nl)) if n >= 2 * growth.leaf]
                 if big and (growth.depth is None or level + 1 < growth.depth):
                     after[model].setdefault(r.tree, (tree, []))[1].extend(big)
             open_, level = dict(after), level + 1
