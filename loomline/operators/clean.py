@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import normalize_title
 from ..functions.times import clock, month_label
+from ..session import cut
 
 STAGES = ("records", "with a valid time", "with title and address", "with a precise time", "without repeated addresses", "without repeated titles")
 
@@ -58,17 +59,23 @@ def imprecise(news: DataFrame, time: str = "published", share: float = 0.3, leas
     return marked.withColumn("imprecise", (own == "00:00:00") | F.coalesce(own == F.col("__stub"), F.lit(False))).drop("__stub")
 
 
-def anchored_repeats(news: DataFrame, key: str, time: str, tie: str, hours: int = 24) -> DataFrame:
+def told_apart(news: DataFrame) -> DataFrame:
+    """news, cut off, with __u, a number of its own for each row, so that one of equal rows can be kept."""
+    return cut(news.withColumn("__u", F.monotonically_increasing_id()))
+
+
+def anchored_repeats(news: DataFrame, key: str, time: str, tie: str, hours: int = 24, own: str | None = None) -> DataFrame:
     """news with `repeat`: at most `hours` after the last kept row of its key; of equal times the least tie comes first.
 
     Which times are kept follows from a key's distinct times alone. These are aggregated before they are shuffled, and a
     task streams those of a key in order, with one anchor in memory: their number is bounded by the clock, not by the
-    rows. The rows, wherever they lie, then look their own time up. Rows without a time are never repeats; rows equal
-    in key, time and tie are kept together.
+    rows. The rows, wherever they lie, then look their own time up. Rows without a time are never repeats; of rows equal
+    in key, time and tie one is kept. own is a column that tells all rows apart; without it they get one, at the price of
+    a cut.
     """
     span = hours * 3_600_000_000
-    rows = news.withColumn("__k", F.sha2(F.coalesce(F.col(key).cast("string"), F.lit("\0")), 256)).withColumn("__s", F.unix_micros(F.col(time)))
-    times = rows.filter("__s is not null").groupBy("__k", "__s").agg(F.min(tie).alias("__first"))
+    rows = (told_apart(news) if own is None else news.withColumn("__u", F.col(own))).withColumn("__k", F.sha2(F.coalesce(F.col(key).cast("string"), F.lit("\0")), 256)).withColumn("__s", F.unix_micros(F.col(time)))
+    times = rows.filter("__s is not null").groupBy("__k", "__s").agg(F.min(F.struct(F.col(tie).alias("tie"), "__u")).alias("__first"))
     ordered = times.repartition("__k").sortWithinPartitions("__k", "__s")
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,9 +89,9 @@ def anchored_repeats(news: DataFrame, key: str, time: str, tie: str, hours: int
             yield batch.filter(pa.array(keep))
 
     kept = ordered.mapInArrow(walk, ordered.schema)
-    kept = kept.select(F.col("__k").alias("__kk"), F.col("__s").alias("__ks"), "__first")
+    kept = kept.select(F.col("__k").alias("__kk"), F.col("__s").alias("__ks"), F.col("__first.__u").alias("__first"))
     marked = rows.join(kept, (F.col("__k") == F.col("__kk")) & (F.col("__s") == F.col("__ks")), "left")
-    repeat = F.col("__s").isNotNull() & ~F.col(tie).eqNullSafe(F.col("__first")) | F.col("__s").isNotNull() & F.col("__kk").isNull()
+    repeat = F.col("__s").isNotNull() & ~F.coalesce(F.col("__u") == F.col("__first"), F.lit(False))
     return marked.withColumn("repeat", repeat).select(*news.columns, "repeat")
 
 
@@ -153,11 +160,12 @@ def flag_coverage(news: DataFrame, a: str = "tag_a", b: str = "tag_b") -> DataFr
 def cleaning_marks(news: DataFrame, time: str = "published", clock_column: str | None = None, hours: int = 24, least: int = 50, tie: str = "doc_id", key: Column | None = None) -> DataFrame:
     """news with `removed_at`: the number of the stage in STAGES that drops the row, or null.
 
-    Each stage looks only at rows that the earlier ones left. Rows are told apart by time and tie.
+    Each stage looks only at rows that the earlier ones left. Of equal rows one is left: rows get a number of their own in
+    one cut, which all stages read.
     """
     t = clock_column or time
     stage = F.when(F.col(time).isNull(), 1).when(~has_text("title", "url"), 2)
-    rows = news.withColumn("__stage", stage)
+    rows = told_apart(news.withColumn("__norm", normalize_title(F.col("title")) if key is None else key)).withColumn("__stage", stage)
     rows = rows.withColumn("__clock", clock(F.col(t)))
     alive = F.col("__stage").isNull()
     counts = rows.filter(alive).groupBy("source", "__clock").agg(F.count(F.lit(1)).alias("n"))
@@ -166,14 +174,13 @@ def cleaning_marks(news: DataFrame, time: str = "published", clock_column: str |
     rows = rows.join(stub.select("source", F.col("top.__clock").alias("__stub")), "source", "left")
     vague = (F.col("__clock") == "00:00:00") | F.coalesce(F.col("__clock") == F.col("__stub"), F.lit(False))
     rows = rows.withColumn("__stage", F.when(alive & vague, 3).otherwise(F.col("__stage")))
-    # the first living row of an address, found by an aggregate, and met by its own time and tie, so that no address is one key
-    first = rows.filter(alive).groupBy(F.col("url").alias("__url")).agg(F.min(F.struct(F.col(time).alias("t"), F.col(tie).alias("k"))).alias("__f"))
-    met = (F.col("url") == F.col("__url")) & (F.col(time) == F.col("__f.t")) & (F.col(tie) == F.col("__f.k"))
+    # the first living row of an address, found by an aggregate, and met by its own number, so that no address is one key
+    first = rows.filter(alive).groupBy(F.col("url").alias("__url")).agg(F.min(F.struct(F.col(time).alias("t"), F.col(tie).alias("k"), "__u")).alias("__f"))
+    met = (F.col("url") == F.col("__url")) & (F.col("__u") == F.col("__f.__u"))
     rows = rows.join(first, met, "left").withColumn("__stage", F.when(alive & F.col("__url").isNull(), 4).otherwise(F.col("__stage"))).drop("__clock", "__stub", "__url", "__f")
-    rows = rows.withColumn("__norm", normalize_title(F.col("title")) if key is None else key)
-    kept = anchored_repeats(rows.filter(alive), "__norm", time, tie, hours)
+    kept = anchored_repeats(rows.filter(alive), "__norm", time, tie, hours, own="__u")
     kept = kept.withColumn("__stage", F.when(F.col("repeat"), 5)).drop("repeat")
-    return kept.unionByName(rows.filter(~alive)).drop("__norm").withColumnRenamed("__stage", "removed_at")
+    return kept.unionByName(rows.filter(~alive)).drop("__norm", "__u").withColumnRenamed("__stage", "removed_at")
 
 
 def stage_table(marked: DataFrame) -> DataFrame:

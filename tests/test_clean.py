@@ -2,6 +2,7 @@
 
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -142,3 +143,30 @@ def test_one_to_one(spark):
     assert {r.check: r.violations for r in validate.one_to_one(a, b, "k").collect()} == {"repeated_left": 1, "repeated_right": 0, "unmatched": 1}
     assert [r.k for r in validate.unknown_labels(a, "k", ["x", "y"]).collect()] == ["z"]
     assert validate.share_complete(99, 100, 0.99) and not validate.share_complete(0, 0, 0.99)
+
+
+def test_of_equal_rows_one_is_left(spark):
+    """Rows equal in everything, and rows without a tie, against a walk through them in order."""
+    rng = np.random.default_rng(12)
+    start = datetime(2024, 1, 1, 5, 0, 1)
+    rows = [(int(rng.integers(0, 3)) or None, f"Title {rng.integers(0, 4)}", f"u{rng.integers(0, 25)}", start + timedelta(hours=int(rng.integers(0, 80)))) for _ in range(60)]
+    rows += rows[:25] + rows[:10]
+    news = spark.createDataFrame(rows, "doc_id long, title string, url string, published timestamp").withColumn("source", F.lit("s")).repartition(5)
+    first, left = {}, []
+    order = sorted(rows, key=lambda r: (r[3], r[0] is not None, r[0] or 0))
+    for r in order:
+        if r[2] not in first:
+            first[r[2]] = r
+            left.append(r)
+    kept, anchor = [], {}
+    for r in left:
+        if r[1] not in anchor or r[3] - anchor[r[1]] > timedelta(hours=24):
+            anchor[r[1]] = r[3]
+            kept.append(r)
+    got = clean.cleaning_marks(news, least=10_000)
+    assert got.count() == len(rows) and set(news.columns) | {"removed_at"} == set(got.columns)
+    living = got.filter("removed_at is null").collect()
+    assert sorted((r.url, r.published) for r in living) == sorted((r[2], r[3]) for r in kept)
+    twice = spark.createDataFrame([(1, "t", start)] * 3 + [(1, "t", None)] * 2, "doc_id long, title string, published timestamp")
+    marks = [r.repeat for r in clean.anchored_repeats(twice, "title", "published", "doc_id").orderBy(F.col("published").asc_nulls_first(), "repeat").collect()]
+    assert marks == [False, False, False, True, True]
