@@ -31,6 +31,7 @@ BINS, HOURS, TOGETHER, FRESH = 64, 4096, 100, 16
 #: Histograms that a task holds before it sends them.
 HELD = 4000
 UNIT = ["symbol", "fold"]
+NODE = [*UNIT, "seed", "tree", "node"]
 
 
 class Tree:
@@ -153,6 +154,52 @@ class Ensemble:
 
 
 Key = tuple[str, str, int]
+#: The trees in growth of each model, and their nodes that may be split.
+Open = dict[Key, dict[int, tuple[Tree, list[int]]]]
+
+
+def histograms(row, trees: Open, grown: dict[Key, Ensemble] | None, growth: Growth, features: int, seeds: tuple[int, ...], held: dict[tuple, np.ndarray]) -> None:
+    """Adds the sums of gradients and the counts of a block, by drawn feature and bin of each open node, to held."""
+    t, role, y, bins = _read(row)
+    drawn = growth.count(features)
+    for number, seed in enumerate(seeds):
+        asked = trees.get((row.symbol, row.fold, seed))
+        if asked is None:
+            continue
+        gradient = -y
+        if grown is not None:
+            gradient = margins(row, bins, number, grown[row.symbol, row.fold, seed].fresh) - y
+            out = gradient[role == 1]
+            held.setdefault((row.symbol, row.fold, seed, -1, 0), np.zeros((2, drawn, BINS)))[:, 0, 0] += out @ out, len(out)
+        for number_of, (tree, nodes) in asked.items():
+            on = np.flatnonzero((role == 0) & (uniform(t, seed, number_of) < growth.rows))
+            place = np.full(len(tree.value), -1)
+            place[nodes] = np.arange(len(nodes))
+            at = place[tree.nodes(bins[on])]
+            on, at = on[at >= 0], at[at >= 0]
+            columns = np.stack([growth.drawn(features, seed, number_of, k) for k in nodes])[at]
+            cell = ((at[:, None] * drawn + np.arange(drawn)) * BINS + bins[on[:, None], columns]).ravel()
+            n = np.bincount(cell, minlength=len(nodes) * drawn * BINS).reshape(len(nodes), drawn, BINS)
+            g = np.bincount(cell, np.repeat(gradient[on], drawn), n.size).reshape(n.shape)
+            for k in np.flatnonzero(n[:, 0].any(axis=1)).tolist():
+                own = held.setdefault((row.symbol, row.fold, seed, number_of, nodes[k]), np.zeros((2, drawn, BINS)))
+                own[0] += g[k]
+                own[1] += n[k]
+
+
+def best_splits(names: list[tuple], sums: np.ndarray, growth: Growth, features: int) -> pd.DataFrame:
+    """The best split of each node by its whole histogram; of splits as good that with the smallest feature and bin."""
+    g, n = sums[:, 0], sums[:, 1]
+    gl, nl, all_g, all_n = g.cumsum(axis=2), n.cumsum(axis=2), g[:, 0].sum(axis=1), n[:, 0].sum(axis=1)
+    gr, nr = all_g[:, None, None] - gl, all_n[:, None, None] - nl
+    with np.errstate(divide="ignore", invalid="ignore"):
+        gain = gl**2 / (nl + growth.penalty) + gr**2 / (nr + growth.penalty) - (all_g**2 / (all_n + growth.penalty))[:, None, None]
+    gain[~((nl >= growth.leaf) & (nr >= growth.leaf))] = -np.inf
+    at = gain.reshape(len(names), -1).argmax(axis=1)
+    pick = lambda v: v.reshape(len(names), -1)[np.arange(len(names)), at]
+    feature = [int(growth.drawn(features, *name[2:])[k]) if name[3] >= 0 else 0 for name, k in zip(names, at // BINS)]
+    out = pd.DataFrame(names, columns=NODE)
+    return out.assign(g=all_g, n=all_n, gain=np.where(np.isfinite(pick(gain)), pick(gain), np.nan), feature=feature, bin=at % BINS, gl=pick(gl), nl=pick(nl))
 
 
 class Grower:
@@ -160,47 +207,21 @@ class Grower:
 
     def __init__(self, packs: DataFrame, features: int, seeds: tuple[int, ...], growth: Growth):
         self.packs, self.features, self.seeds, self.growth = packs, features, seeds, growth
-        self.spark = packs.sparkSession
 
-    def splits(self, open_: dict[Key, dict[int, tuple[Tree, list[int]]]], ensembles: dict[Key, Ensemble] | None) -> DataFrame:
+    def splits(self, open_: Open, ensembles: dict[Key, Ensemble] | None) -> pd.DataFrame:
         """(symbol, fold, seed, tree, node, g, n, gain, feature, bin, gl, nl): sums and the best split of open nodes.
 
-        gain is null where no split is allowed. For boosting g and n of tree -1 are the squared errors and the number of held-out rows.
+        gain is nan where no split is allowed. For boosting g and n of tree -1 are the squared errors and the number of held-out rows.
         """
         growth, features, seeds = self.growth, self.features, self.seeds
-        shared = self.spark.sparkContext.broadcast((open_, ensembles))
-        node, drawn = [*UNIT, "seed", "tree", "node"], growth.count(features)
-        shape, kinds = (2, drawn, BINS), "symbol string, fold string, seed int, tree int, node int"
+        shared = self.packs.sparkSession.sparkContext.broadcast((open_, ensembles))
+        shape, kinds = (2, growth.count(features), BINS), "symbol string, fold string, seed int, tree int, node int"
 
         def send(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            trees, grown = shared.value
             held: dict[tuple, np.ndarray] = {}
             for frame in frames:
                 for row in frame.itertuples():
-                    t, role, y, bins = _read(row)
-                    for number, seed in enumerate(seeds):
-                        asked = trees.get((row.symbol, row.fold, seed))
-                        if asked is None:
-                            continue
-                        gradient = -y
-                        if grown is not None:
-                            gradient = margins(row, bins, number, grown[row.symbol, row.fold, seed].fresh) - y
-                            out = gradient[role == 1]
-                            held.setdefault((row.symbol, row.fold, seed, -1, 0), np.zeros(shape))[:, 0, 0] += out @ out, len(out)
-                        for number_of, (tree, nodes) in asked.items():
-                            on = np.flatnonzero((role == 0) & (uniform(t, seed, number_of) < growth.rows))
-                            place = np.full(len(tree.value), -1)
-                            place[nodes] = np.arange(len(nodes))
-                            at = place[tree.nodes(bins[on])]
-                            on, at = on[at >= 0], at[at >= 0]
-                            columns = np.stack([growth.drawn(features, seed, number_of, k) for k in nodes])[at]
-                            cell = ((at[:, None] * drawn + np.arange(drawn)) * BINS + bins[on[:, None], columns]).ravel()
-                            n = np.bincount(cell, minlength=len(nodes) * drawn * BINS).reshape(len(nodes), drawn, BINS)
-                            g = np.bincount(cell, np.repeat(gradient[on], drawn), n.size).reshape(n.shape)
-                            for k in np.flatnonzero(n[:, 0].any(axis=1)).tolist():
-                                own = held.setdefault((row.symbol, row.fold, seed, number_of, nodes[k]), np.zeros(shape))
-                                own[0] += g[k]
-                                own[1] += n[k]
+                    histograms(row, *shared.value, growth, features, seeds, held)
                     if len(held) >= HELD:
                         yield table(held)
                         held = {}
@@ -208,14 +229,13 @@ class Grower:
                 yield table(held)
 
         def table(held: dict[tuple, np.ndarray]) -> pd.DataFrame:
-            out = pd.DataFrame(list(held), columns=node)
-            return out.assign(sums=[v.tobytes() for v in held.values()])
+            return pd.DataFrame(list(held), columns=NODE).assign(sums=[v.tobytes() for v in held.values()])
 
         def added(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             last = None
             for frame in frames:
                 now = np.frombuffer(b"".join(frame["sums"])).reshape(-1, *shape)
-                names = list(frame[node].itertuples(index=False, name=None))
+                names = list(frame[NODE].itertuples(index=False, name=None))
                 if last is not None:
                     names, now = [last[0], *names], np.concatenate((last[1][None], now))
                 first = [k for k, name in enumerate(names) if not k or name != names[k - 1]]
@@ -223,25 +243,12 @@ class Grower:
                 names = [names[k] for k in first]
                 last = names[-1], total[-1]
                 if len(names) > 1:
-                    yield best(names[:-1], total[:-1])
+                    yield best_splits(names[:-1], total[:-1], growth, features)
             if last is not None:
-                yield best([last[0]], last[1][None])
-
-        def best(names: list[tuple], sums: np.ndarray) -> pd.DataFrame:
-            g, n = sums[:, 0], sums[:, 1]
-            gl, nl, all_g, all_n = g.cumsum(axis=2), n.cumsum(axis=2), g[:, 0].sum(axis=1), n[:, 0].sum(axis=1)
-            gr, nr = all_g[:, None, None] - gl, all_n[:, None, None] - nl
-            with np.errstate(divide="ignore", invalid="ignore"):
-                gain = gl**2 / (nl + growth.penalty) + gr**2 / (nr + growth.penalty) - (all_g**2 / (all_n + growth.penalty))[:, None, None]
-            gain[~((nl >= growth.leaf) & (nr >= growth.leaf))] = -np.inf
-            at = gain.reshape(len(names), -1).argmax(axis=1)
-            pick = lambda v: v.reshape(len(names), -1)[np.arange(len(names)), at]
-            out = pd.DataFrame(names, columns=node)
-            feature = [int(growth.drawn(features, *name[2:])[k]) if name[3] >= 0 else 0 for name, k in zip(names, at // BINS)]
-            return out.assign(g=all_g, n=all_n, gain=pd.Series(pick(gain)).replace(-np.inf, np.nan), feature=feature, bin=at % BINS, gl=pick(gl), nl=pick(nl))
-
-        sent = self.packs.mapInPandas(send, f"{kinds}, sums binary").repartition(*node).sortWithinPartitions(*node)
-        return sent.mapInPandas(added, f"{kinds}, g double, n double, gain double, feature int, bin int, gl double, nl double")
+                yield best_splits([last[0]], last[1][None], growth, features)
+
+        sent = self.packs.mapInPandas(send, f"{kinds}, sums binary").repartition(*NODE).sortWithinPartitions(*NODE)
+        return sent.mapInPandas(added, f"{kinds}, g double, n double, gain double, feature int, bin int, gl double, nl double").toPandas()
 
     def grow(self, models: list[Key], trees: range, rate: float, ensembles: dict[Key, Ensemble] | None = None) -> tuple[dict[Key, dict[int, Tree]], dict[Key, tuple[float, int]]]:
         """({model: {number: tree}}, {model: (squared error, rows) of the held-out rows before these trees})."""
@@ -252,7 +259,7 @@ class Grower:
         open_, errors, level, value = {m: {k: (t, [0]) for k, t in own.items()} for m, own in grown.items()}, {}, 0, lambda g, n: -rate * g / (n + growth.penalty)
         while open_:
             after: dict = defaultdict(dict)
-            for r in self.splits(open_, ensembles).toPandas().sort_values([*UNIT, "seed", "tree", "node"]).itertuples(index=False):
+            for r in self.splits(open_, ensembles).sort_values(NODE).itertuples(index=False):
                 model = (r.symbol, r.fold, r.seed)
                 if r.tree < 0:
                     errors.setdefault(model, (r.g, r.n))
@@ -274,6 +281,41 @@ class Grower:
         return grown, errors
 
 
+class OneBlock(Grower):
+    """Grows the trees of a unit that lies in one block, whose histograms are whole as they are, inside its task."""
+
+    def __init__(self, row, features: int, seeds: tuple[int, ...], growth: Growth):
+        super().__init__(row, features, seeds, growth)
+
+    def splits(self, open_: Open, ensembles: dict[Key, Ensemble] | None) -> pd.DataFrame:
+        held: dict[tuple, np.ndarray] = {}
+        histograms(self.packs, open_, ensembles, self.growth, self.features, self.seeds, held)
+        return best_splits(list(held), np.stack(list(held.values())), self.growth, self.features) if held else pd.DataFrame(columns=[*NODE, "gain"])
+
+
+def in_one_block(packs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(units that lie in one block, the others): the first need no sums over tasks."""
+    size = packs.groupBy(*UNIT).agg(F.count(F.lit(1)).alias("__n"))
+    marked = packs.join(F.broadcast(size), UNIT)  # a row a unit
+    return marked.filter("__n = 1").drop("__n"), marked.filter("__n > 1").drop("__n")
+
+
+def in_tasks(packs: DataFrame, seeds: tuple[int, ...], growth: Growth, features: int, name: str, say: Callable) -> DataFrame:
+    """Forecasts of units of one block each, by say(grower, row, models)."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for row in frame.itertuples():
+                t, role, y, bins = _read(row)
+                ahead, models = role == 2, [(row.symbol, row.fold, s) for s in seeds]
+                if ahead.any() and (role == 0).any():
+                    for (_, _, seed), said in say(OneBlock(row, features, seeds, growth), row, models).items():
+                        yield pd.DataFrame({"symbol": row.symbol, "fold": row.fold, "seed": seed, "open_time": pd.to_datetime(t[ahead] * 3600, unit="s"), "y_true": y[ahead], "model": name, "y_pred": said[ahead]})
+
+    spread = packs.repartition(max(1, packs.sparkSession.sparkContext.defaultParallelism), *UNIT)
+    return spread.mapInPandas(run, "symbol string, fold string, seed int, open_time timestamp, y_true double, model string, y_pred double")
+
+
 def margins(row, bins: np.ndarray, number: int, fresh: list[Tree]) -> np.ndarray:
     """What the trees so far say of a block's rows: its stored margins and trees that came after."""
     out = np.full(len(bins), row.mean) if not row.margin else np.frombuffer(row.margin).reshape(-1, len(bins))[number].copy()
@@ -308,14 +350,27 @@ def forest(table: DataFrame, columns: list[str], windows: list[Window], params:
     params: trees (300), depth (10; None for no bound), leaf (50), leaves (4096), columns ("sqrt" or a share).
     """
     growth = Growth(params.get("leaf", 50), params.get("depth", 10), params.get("leaves", 4096), 0.0, 0.632, params.get("columns", "sqrt"), True)
-    packs, many = packed(table, columns, windows, 0.0).cache(), params.get("trees", 300)
-    models, grower, out = _models(packs, seeds), Grower(packs, len(columns), seeds, growth), None
-    for first in range(0, many, TOGETHER):
-        grown, _ = grower.grow(models, range(first, min(many, first + TOGETHER)), 1.0)
+    many = params.get("trees", 300)
+    parts = [range(first, min(many, first + TOGETHER)) for first in range(0, many, TOGETHER)]
+
+    def alone(grower: OneBlock, row, models: list[Key]) -> dict[Key, np.ndarray]:
+        bins, out = _read(row)[3], dict.fromkeys(models, 0.0)
+        for part in parts:
+            for m, own in grower.grow(models, part, 1.0)[0].items():
+                out[m] = out[m] + np.sum([t.predict(bins) for t in own.values()], axis=0) / many
+        return out
+
+    single, several = in_one_block(packed(table, columns, windows, 0.0).cache())
+    done = in_tasks(single, seeds, growth, len(columns), "forest", alone)
+    models, grower, out = _models(several, seeds), Grower(several, len(columns), seeds, growth), None
+    for part in parts if models else ():
+        grown, _ = grower.grow(models, part, 1.0)
         shared = table.sparkSession.sparkContext.broadcast({m: list(own.values()) for m, own in grown.items()})
-        part = _predicted(packs, seeds, lambda own, row, bins, number: np.sum([t.predict(bins) for t in own], axis=0), shared, "forest")
+        part = _predicted(several, seeds, lambda own, row, bins, number: np.sum([t.predict(bins) for t in own], axis=0), shared, "forest")
         out = part if out is None else out.unionByName(part)
-    return out.groupBy("symbol", "fold", "seed", "open_time", "model").agg(F.first("y_true").alias("y_true"), (F.sum("y_pred") / F.lit(many)).alias("y_pred"))
+    if out is None:
+        return done
+    return done.unionByName(out.groupBy("symbol", "fold", "seed", "open_time", "model").agg(F.first("y_true").alias("y_true"), (F.sum("y_pred") / F.lit(many)).alias("y_pred")))
 
 
 def boosting(table: DataFrame, columns: list[str], windows: list[Window], params: dict, seeds: tuple[int, ...]) -> DataFrame:
@@ -326,26 +381,50 @@ def boosting(table: DataFrame, columns: list[str], windows: list[Window], params
     """
     growth = Growth(params.get("leaf", 20), params.get("depth", 3), 1 << 30, params.get("penalty", 1.0), params.get("rows", 0.8), params.get("columns", 0.8), False)
     rate, rounds, patience = params.get("rate", 0.05), params.get("rounds", 100), params.get("patience", 50)
-    packs = packed(table, columns, windows, 0.1).cache()
-    models, spark = _models(packs, seeds), table.sparkSession
-    ensembles, best = {m: Ensemble() for m in models}, {m: (math.inf, 0) for m in models}
-    first, now, active = packs, packs, list(models)
-    for k in range(rounds + 1):
-        grower = Grower(now, len(columns), seeds, growth)
-        grown, errors = grower.grow(active, range(k, k + 1), rate, ensembles)
-        for m in active:
-            error = errors[m][0] / max(1, errors[m][1]) if m in errors else math.inf
-            best[m] = min(best[m], (error, k))
-        active = [m for m in active if k - best[m][1] < patience] if k < rounds else []
-        if not active:
-            break
-        for m in active:
-            ensembles[m].fresh.append(grown[m][k])
+
+    def rounds_of(grower_of: Callable[[], Grower], models: list[Key], each: Callable[[int, dict[Key, Ensemble]], None]) -> dict[Key, list[Tree]]:
+        """The trees of each model up to its least held-out error."""
+        ensembles, best, active = {m: Ensemble() for m in models}, {m: (math.inf, 0) for m in models}, list(models)
+        for k in range(rounds + 1):
+            grown, errors = grower_of().grow(active, range(k, k + 1), rate, ensembles)
+            for m in active:
+                best[m] = min(best[m], (errors[m][0] / max(1, errors[m][1]) if m in errors else math.inf, k))
+            active = [m for m in active if k - best[m][1] < patience] if k < rounds else []
+            if not active:
+                break
+            for m in active:
+                ensembles[m].fresh.append(grown[m][k])
+            each(k, ensembles)
+        return {m: (e.done + e.fresh)[: best[m][1]] for m, e in ensembles.items()}
+
+    def alone(grower: OneBlock, row, models: list[Key]) -> dict[Key, np.ndarray]:
+        bins, now = _read(row)[3], [grower]
+
+        def stored(k: int, ensembles: dict[Key, Ensemble]) -> None:
+            if (k + 1) % FRESH == 0:
+                block = now[0].packs
+                kept = np.stack([margins(block, bins, i, ensembles[m].fresh) for i, m in enumerate(models)])
+                now[0] = OneBlock(block._replace(margin=kept.tobytes()), len(columns), seeds, growth)
+                for e in ensembles.values():
+                    e.done, e.fresh = e.done + e.fresh, []
+
+        made = rounds_of(lambda: now[0], models, stored)
+        return {m: np.full(len(bins), row.mean) + sum(t.predict(bins) for t in own) for m, own in made.items()}
+
+    single, several = in_one_block(packed(table, columns, windows, 0.1).cache())
+    done = in_tasks(single, seeds, growth, len(columns), "boosting", alone)
+    models, now = _models(several, seeds), [several]
+    if not models:
+        return done
+
+    def each(k: int, ensembles: dict[Key, Ensemble]) -> None:
         if (k + 1) % FRESH == 0:
-            now = _refreshed(now, seeds, ensembles, now is not first)
-    shared = spark.sparkContext.broadcast({m: (e.done + e.fresh)[: best[m][1]] for m, e in ensembles.items()})
+            now[0] = _refreshed(now[0], seeds, ensembles, now[0] is not several)
+
+    made = rounds_of(lambda: Grower(now[0], len(columns), seeds, growth), models, each)
+    shared = table.sparkSession.sparkContext.broadcast(made)
     say = lambda own, row, bins, number: np.full(len(bins), row.mean) + (np.sum([t.predict(bins) for t in own], axis=0) if own else 0.0)
-    return _predicted(first, seeds, say, shared, "boosting")
+    return done.unionByName(_predicted(several, seeds, say, shared, "boosting"))
 
 
 def _refreshed(packs: DataFrame, seeds: tuple[int, ...], ensembles: dict[Key, Ensemble], drop: bool) -> DataFrame:

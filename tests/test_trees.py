@@ -101,8 +101,10 @@ def test_forest_equals_plain_growth(spark, monkeypatch, hours):
             assert mine == pytest.approx(want[role == 2].tolist())
 
 
-@pytest.mark.parametrize("fresh", [16, 2])
-def test_boosting_equals_plain_rounds(spark, monkeypatch, fresh):
+@pytest.mark.parametrize("hours, fresh", [(4096, 16), (4096, 2), (90, 16), (90, 2)])
+def test_boosting_equals_plain_rounds(spark, monkeypatch, hours, fresh):
+    """A unit in one block, and in several blocks with and without stored margins."""
+    monkeypatch.setattr(trees, "HOURS", hours)
     monkeypatch.setattr(trees, "FRESH", fresh)
     params = {"rounds": 6, "depth": 2, "leaf": 10, "rate": 0.3, "penalty": 2.0, "patience": 2}
     got = {(r.symbol, r.fold, r.open_time): r.y_pred for r in trees.boosting(table(spark), COLUMNS, WINDOWS, params, (4,)).collect()}
