@@ -33,7 +33,7 @@ def cut(df: DataFrame) -> DataFrame:
     if not sc.getCheckpointDir():
         shared = spark.conf.get("spark.checkpoint.dir", None)
         if not shared:
-            if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            if not re.match(r"local(\[.*\])?\Z", sc.master):
                 raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             shared = tempfile.mkdtemp(prefix="loomline-checkpoint-")
         sc.setCheckpointDir(shared)
