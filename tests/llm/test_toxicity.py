@@ -5,7 +5,7 @@ import zlib
 import numpy as np
 from pyspark.sql import functions as F
 
-from loomline.llm import toxicity
+from loomline.llm import toxicity, unlabelled
 
 MILD = ["plain" + "abcdefghijklmnopqrst"[i // 20] + "abcdefghijklmnopqrst"[i % 20] for i in range(400)]
 RUDE = ["grobian", "grobianisch", "schuft", "schuftig", "lumpenkerl"]
@@ -49,8 +49,9 @@ def test_held_out_texts_are_not_used(spark):
 def test_documents_without_a_label_are_used(spark):
     docs, labels = corpus(spark, 400)
     more = spark.range(10_000, 10_400).selectExpr("id AS doc_id", "concat('plainaa plainab grobian ', id) AS text")
-    a, b = toxicity.train(docs, labels, prior=0.2), toxicity.train(docs.unionByName(more), labels, prior=0.2)
+    a, b = toxicity.train(docs, labels), toxicity.train(docs.unionByName(more), labels)
     slot = toxicity.word_features("grobian")
+    assert set(a.weights) == set(b.weights)
     assert sum(b.weights.get(f, 0) for f in slot) < sum(a.weights.get(f, 0) for f in slot)
 
 
@@ -100,8 +101,11 @@ def test_the_step_back_raises_a_negative_part_below_zero():
 
 
 def test_shift():
-    z = np.random.default_rng(5).normal(1, 2, 500)
-    assert abs(toxicity.sigmoid(z + toxicity.shift(z, 0.1)).mean() - 0.1) < 1e-9
+    rng = np.random.default_rng(5)
+    toxic, clean = rng.normal(3, 1, 50), rng.normal(1, 1, 500)
+    by = toxicity.shift(toxic, clean, 0.1)
+    mean = 0.1 * toxicity.sigmoid(toxic + by).mean() + 0.9 * toxicity.sigmoid(clean + by).mean()
+    assert abs(mean - 0.1) < 1e-9
 
 
 def test_estimated_prior():
@@ -109,19 +113,22 @@ def test_estimated_prior():
     rng = np.random.default_rng(6)
     for n, share in ((60, 0.1), (600, 0.1), (600, 0.4)):
         y = rng.random(4000) < share
-        got = toxicity.estimated_prior(rng.normal(3, 1, n), np.where(y, rng.normal(3, 1, 4000), rng.normal(0, 1, 4000)))
+        got = unlabelled.estimated_prior(rng.normal(3, 1, n), np.where(y, rng.normal(3, 1, 4000), rng.normal(0, 1, 4000)))
         assert abs(got - share) < 0.05
-    assert toxicity.estimated_prior(np.zeros(0), np.zeros(3)) == toxicity.FIRST_PRIOR
+    assert unlabelled.estimated_prior(np.zeros(0), np.zeros(3)) == unlabelled.FIRST_PRIOR
 
 
-def test_clean_labels_are_never_read(spark):
+def test_without_clean_labels(spark):
+    """Toxic labels alone: still learned, and near the truth on held-out documents."""
     docs, labels = corpus(spark)
     toxic = labels.filter("toxic = 1")
-    a, b = toxicity.train(docs, labels), toxicity.train(docs, toxic)
+    a, b = toxicity.train(docs, toxic), unlabelled.train(docs, labels)
     assert a.weights == b.weights and a.bias == b.bias and a.weights
-    got = toxicity.score(docs, b).join(labels, "doc_id").filter(toxicity.held_out()).collect()
+    got = toxicity.score(docs, a).join(labels, "doc_id").filter(toxicity.held_out()).collect()
     assert np.mean([(r.score >= 0.3) == (r.toxic == 1) for r in got]) > 0.97
-    assert toxicity.train(docs, toxic, prior=0.5).bias > b.bias
+    assert unlabelled.train(docs, toxic, prior=0.5).bias > b.bias
+    z = np.random.default_rng(5).normal(1, 2, 500)
+    assert abs(toxicity.sigmoid(z + unlabelled.shift(z, 0.1)).mean() - 0.1) < 1e-9
 
 
 def test_scores_by_plain_arithmetic(spark):
