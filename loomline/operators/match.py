@@ -18,22 +18,40 @@ def cents(price: Column) -> Column:
 def match_candles(records: DataFrame, candles: DataFrame, hours: int = 18, key: str = "record_id") -> DataFrame:
     """records with open_time and minutes (record less candle) of the one candle whose prices agree to the cent.
 
-    The time bound is part of the join condition; records with several candles are left out.
+    Candles stand in their own bin of time and both neighbours, a bin being as wide as the bound, and the bin is a join
+    key beside the prices: a price that returns for years meets only the candles near a record. Records with several
+    candles, with a null price or without a time are left out.
     """
+    width = hours * 3600
     a = records.select("*", *[cents(F.col(p)).alias(f"__{p}") for p in PRICES]).filter(" and ".join(f"__{p} is not null" for p in PRICES))
-    b = candles.select("open_time", *[cents(F.col(p)).alias(f"__{p}") for p in PRICES])
+    a = a.withColumn("__bin", F.floor(F.unix_timestamp("published") / F.lit(width)))
+    own = F.floor(F.unix_timestamp("open_time") / F.lit(width))
+    b = candles.select("open_time", *[cents(F.col(p)).alias(f"__{p}") for p in PRICES], F.explode(F.array(own - 1, own, own + 1)).alias("__bin"))
     apart = (F.unix_timestamp("published") - F.unix_timestamp("open_time")) / F.lit(60.0)
-    both = a.join(b, [f"__{p}" for p in PRICES]).filter(F.abs(apart) <= hours * 60)
+    both = a.join(b, [*[f"__{p}" for p in PRICES], "__bin"]).filter(F.abs(apart) <= hours * 60)
     both = both.withColumn("minutes", apart).withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(key)))
-    return both.filter("__n = 1").drop("__n", *[f"__{p}" for p in PRICES])
+    return both.filter("__n = 1").drop("__n", "__bin", *[f"__{p}" for p in PRICES])
 
 
 def offset_scores(matches: DataFrame, keys: list[str] | None = None, offsets: tuple[int, ...] = OFFSETS) -> DataFrame:
-    """(keys, offset, matches, share): how many records lie within a quarter of an hour of their candle once shifted."""
-    tried = F.explode(F.array(*map(F.lit, offsets)))
-    rows = matches.select(*(keys or []), "minutes", tried.alias("offset"))
-    fits = (F.abs(F.col("minutes") - F.col("offset")) < FIT_MINUTES).cast("double")
-    return rows.groupBy(*(keys or []), "offset").agg(F.count(F.lit(1)).alias("matches"), F.avg(fits).alias("share"))
+    """(keys, offset, matches, share): how many records lie within a quarter of an hour of their candle once shifted.
+
+    Records are counted once, by whole minute and by the open minute between two; a running sum over these counts, of
+    which a key has at most two a minute, is then looked up at both edges of every offset.
+    """
+    names = keys or []
+    minute = F.floor("minutes")
+    at = (2 * minute + F.when(F.col("minutes") > minute, 1).otherwise(0)).cast("long")  # even: the minute itself, odd: beyond it
+    counts = matches.select(*names, at.alias("__at")).groupBy(*names, "__at").agg(F.count(F.lit(1)).alias("__n"))
+    edges = [(o, 2 * (o - FIT_MINUTES), -1) for o in offsets] + [(o, 2 * (o + FIT_MINUTES) - 1, 1) for o in offsets]
+    asked = F.explode(F.array(*[F.struct(F.lit(o).alias("offset"), F.lit(p).cast("long").alias("__at"), F.lit(s).alias("__sign")) for o, p, s in edges]))
+    present = counts.select(*names, F.lit(1).alias("__one")).distinct().select(*names, asked.alias("__e")).select(*names, "__e.*")
+    rows = counts.unionByName(present, allowMissingColumns=True)
+    part = Window.partitionBy(*names) if names else Window.partitionBy(F.lit(0))
+    upto = F.sum("__n").over(part.orderBy("__at"))  # up to and with equal places; null places come first and fall out
+    rows = rows.select(*names, "offset", (F.coalesce(upto, F.lit(0)) * F.col("__sign")).alias("__part"), F.sum("__n").over(part).alias("matches"), F.sum(F.when(F.col("__at").isNotNull(), F.col("__n"))).over(part).alias("__known"))
+    got = rows.filter("offset is not null").groupBy(*names, "offset").agg(F.first("matches").alias("matches"), F.sum("__part").alias("__fit"), F.first("__known").alias("__known"))
+    return got.select(*names, "offset", "matches", (F.col("__fit") / F.nullif(F.col("__known"), F.lit(0))).alias("share"))
 
 
 def best_offset(scores: DataFrame, keys: list[str] | None = None) -> DataFrame:

@@ -1,8 +1,10 @@
 """Bootstrap intervals and the model confidence set.
 
-Replicates are dealt over tasks in chunks; each task holds one symbol's series, which is as long as its test span. Up to
-MOST_CELLS numbers the series are broadcast to the tasks, which then shuffle nothing; beyond that they are shuffled to them.
-A replicate's random numbers come from (seed, replicate), so results depend neither on chunks nor on partitions.
+A draw of the stationary bootstrap is a list of blocks, and a series is kept as circular prefix sums of its values and
+squares: the sums over a draw are two look-ups a block, so a draw costs its number of blocks, not the series' length. A
+task has one series of one name, as long as its hours, and gives its draws in chunks; names meet chunk by chunk, so that
+none has all names' draws. A replicate's random numbers come from (seed, replicate) and the length alone: names of one
+length are drawn alike, and results depend neither on chunks nor on partitions.
 """
 
 from __future__ import annotations
@@ -11,65 +13,104 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
 
-#: Numbers up to which all series together are broadcast.
-MOST_CELLS = 4_000_000
+
+def stationary_blocks(n: int, mean_block: float, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, lengths) of blocks on a ring of n: geometric lengths with the given mean, the last cut so that they sum to n."""
+    drawn, total = [], 0
+    while total < n:
+        drawn.append(rng.geometric(1 / mean_block, int((n - total) / mean_block * 1.2) + 8))
+        total += int(drawn[-1].sum())
+    lengths = np.concatenate(drawn)
+    upto = np.cumsum(lengths)
+    last = int(np.searchsorted(upto, n))
+    lengths = lengths[: last + 1]
+    lengths[last] -= upto[last] - n
+    return rng.integers(0, n, last + 1), lengths
 
 
 def stationary_index(n: int, mean_block: float, rng: np.random.Generator) -> np.ndarray:
-    """n positions on a ring: blocks of geometric length with the given mean, each from a random start."""
-    fresh = rng.random(n) < 1 / mean_block
-    fresh[0] = True
-    at = np.flatnonzero(fresh)
-    starts = rng.integers(0, n, len(at))
-    block = np.cumsum(fresh) - 1
-    return (starts[block] + np.arange(n) - at[block]) % n
-
-
-def sharpe(x: np.ndarray, per_year: float) -> np.ndarray:
-    """Annual Sharpe ratios along the last axis; nan without variation."""
-    sd = x.std(axis=-1, ddof=1)
+    """The n positions of stationary_blocks, one by one."""
+    starts, lengths = stationary_blocks(n, mean_block, rng)
+    return (np.repeat(starts - np.cumsum(lengths) + lengths, lengths) + np.arange(n)) % n
+
+
+def ring_sums(x: np.ndarray) -> np.ndarray:
+    """Prefix sums of twice x, along the last axis, from 0: the block (start, length) sums to [start + length] less [start]."""
+    return np.concatenate([np.zeros((*x.shape[:-1], 1)), np.cumsum(np.concatenate([x, x], axis=-1), axis=-1)], axis=-1)
+
+
+def drawn_sums(x: np.ndarray, reps: range, mean_block: float, seed: int) -> np.ndarray:
+    """(rows of x, replicates): each row's sum over each replicate's draw."""
+    ring, n = ring_sums(x), x.shape[-1]
+    out = np.empty((len(x), len(reps)))
+    for i, rep in enumerate(reps):
+        starts, lengths = stationary_blocks(n, mean_block, np.random.default_rng([seed, rep]))
+        out[:, i] = (ring[:, starts + lengths] - ring[:, starts]).sum(axis=-1)
+    return out
+
+
+def sharpe(n: int, mean: np.ndarray, squares: np.ndarray, per_year: float, least: float = 0.0) -> np.ndarray:
+    """Annual Sharpe ratios from means and sums of squares about them; nan where these aren't above least."""
     with np.errstate(divide="ignore", invalid="ignore"):
-        return np.where(sd > 0, x.mean(axis=-1) / sd * np.sqrt(per_year), np.nan)
+        return np.where(squares > least, mean / np.sqrt(np.maximum(squares, 0) / (n - 1)) * np.sqrt(per_year), np.nan)
+
+
+def drawn_sharpes(x: np.ndarray, reps: range, mean_block: float, seed: int, per_year: float) -> tuple[float, np.ndarray]:
+    """The Sharpe ratio of x and those of its draws; nan without variation.
+
+    x is centred before it is summed. A draw whose squares are below 1e-12 of the series' own has no variation: that is
+    what rounding leaves of equal values.
+    """
+    n, mean = len(x), x.mean()
+    if n < 2 or x.min() == x.max():
+        return np.nan, np.full(len(reps), np.nan)
+    c = x - mean
+    one, two = drawn_sums(np.stack([c, c * c]), reps, mean_block, seed)
+    all_squares = (c * c).sum()
+    return float(sharpe(n, mean, all_squares, per_year)), sharpe(n, mean + one / n, two - one * one / n, per_year, 1e-12 * all_squares)
+
+
+def _series(rows: DataFrame, keys: list[str], value: str, order: str) -> DataFrame:
+    """(keys, v): each name's values in order; in partitions that aren't joined together, as the draws are the work."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = rows.select(*keys, order, value).repartition(parts, *keys)
+    one = spread.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(order, value))).alias("s"))
+    return one.select(*keys, F.col(f"s.{value}").alias("v"))
 
 
-def _series(rows: DataFrame, group: str, name: str, value: str, order: str) -> DataFrame:
-    """(group, names, values): each name's values in order; names sorted."""
-    one = rows.groupBy(group, name).agg(F.sort_array(F.collect_list(F.struct(order, value))).alias("s"))
-    one = one.select(group, name, F.col(f"s.{value}").alias("v"))
-    return one.groupBy(group).agg(F.sort_array(F.collect_list(F.struct(F.col(name).alias("name"), "v"))).alias("series"))
+def _chunks(reps: int, chunk: int) -> Iterator[tuple[int, range]]:
+    for at in range(0, reps, chunk):
+        yield at // chunk, range(at, min(reps, at + chunk))
 
 
 def sharpe_interval(net: DataFrame, benchmark: str, reps: int = 2000, mean_block: float = 24.0, seed: int = 1, per_year: float = 8760.0, level: float = 0.95, chunk: int = 100) -> DataFrame:
     """(symbol, name, diff, ci_low, ci_high, share_below, reps) of net(symbol, name, open_time, net).
 
     diff is the Sharpe ratio less the benchmark's; the interval is by percentiles of a paired stationary bootstrap in
-    which all names of a symbol are drawn with the same indices. A name without variation has no rows.
+    which all names of a symbol are drawn with the same indices. A name without variation, with a null value, or with
+    other than the benchmark's number of hours has no rows.
     """
-    series = _series(net, "symbol", "name", "net", "open_time")
-    chunks = net.sparkSession.range(-(-reps // chunk)).select(F.col("id").alias("chunk"))
-    if net.count() <= MOST_CELLS:
-        tasks = chunks.repartitionByRange(-(-reps // chunk), "chunk").crossJoin(F.broadcast(series))
-    else:
-        tasks = series.crossJoin(chunks).repartition("symbol", "chunk")
+    series = _series(net, ["symbol", "name"], "net", "open_time")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for row in frame.itertuples():
-                names = [s["name"] for s in row.series]
-                x = np.array([s["v"] for s in row.series], float)
-                if benchmark not in names:
-                    continue
-                b, point = names.index(benchmark), sharpe(x, per_year)
-                for rep in range(row.chunk * chunk, min(reps, (row.chunk + 1) * chunk)):
-                    got = sharpe(x[:, stationary_index(x.shape[1], mean_block, np.random.default_rng([seed, rep]))], per_year)
-                    yield pd.DataFrame({"symbol": row.symbol, "name": names, "point": point - point[b], "diff": got - got[b]})
-
-    draws = tasks.mapInPandas(run, "symbol string, name string, point double, diff double")
-    draws = draws.filter(F.col("name") != benchmark).filter("diff is not null and point is not null and not isnan(diff) and not isnan(point)")
+                x = np.array(row.v, float)
+                for number, part in _chunks(reps, chunk):
+                    point, got = drawn_sharpes(x, part, mean_block, seed, per_year)
+                    yield pd.DataFrame({"symbol": [row.symbol], "name": [row.name], "n": [len(x)], "chunk": [number], "point": [point], "got": [got]})
+
+    # a symbol's name has one row a chunk; the benchmark's are met by symbol, length and chunk
+    drawn = cut(series.mapInPandas(run, "symbol string, name string, n long, chunk long, point double, got array<double>"))
+    base = drawn.filter(F.col("name") == benchmark).select("symbol", "n", "chunk", F.col("point").alias("point_b"), F.col("got").alias("got_b"))
+    both = drawn.filter(F.col("name") != benchmark).join(base, ["symbol", "n", "chunk"])
+    apart: Column = F.zip_with("got", "got_b", lambda a, b: a - b)
+    draws = both.select("symbol", "name", (F.col("point") - F.col("point_b")).alias("point"), F.explode(apart).alias("diff")).filter("diff is not null and point is not null and not isnan(diff) and not isnan(point)")
     tail = (1 - level) / 2
     return draws.groupBy("symbol", "name").agg(
         F.first("point").alias("diff"), F.percentile("diff", F.lit(tail)).alias("ci_low"), F.percentile("diff", F.lit(1 - tail)).alias("ci_high"),
@@ -77,39 +118,94 @@ def sharpe_interval(net: DataFrame, benchmark: str, reps: int = 2000, mean_block
     )
 
 
-def confidence_set(losses: np.ndarray, alpha: float, reps: int, mean_block: float, seed: int) -> list[tuple[int, float, bool]]:
-    """(column, p-value, kept) of the model confidence set with the range statistic (Hansen, Lunde and Nason, 2011)."""
-    n, m = losses.shape
-    means = np.empty((reps, m))
-    for r in range(reps):
-        means[r] = losses[stationary_index(n, mean_block, np.random.default_rng([seed, r]))].mean(axis=0)
-    mean, alive, out, p = losses.mean(axis=0), list(range(m)), [], 0.0
-    centred = means - mean
+def elimination(d: np.ndarray, sd: np.ndarray) -> tuple[list[int], list[float]]:
+    """The order in which models leave, and the range statistic before each leaves: both follow from the pairs alone.
+
+    d: differences of mean losses; sd: their bootstrap deviations, of which a zero is taken as 1e-300 and the diagonal as 1.
+    """
+    sd = np.where(sd == 0, 1e-300, sd)
+    np.fill_diagonal(sd, 1)
+    t, alive, order, limits = d / sd, list(range(len(d))), [], []
     while len(alive) > 1:
-        d = mean[alive][:, None] - mean[alive][None, :]
-        db = centred[:, alive][:, :, None] - centred[:, alive][:, None, :]
-        sd = np.sqrt((db**2).mean(axis=0))
-        np.fill_diagonal(sd, 1)
-        sd[sd == 0] = 1e-300
-        p = max(p, float((np.abs(db / sd).max(axis=(1, 2)) >= np.abs(d / sd).max()).mean()))
-        worst = int((d / sd).max(axis=1).argmax())
-        out.append((alive.pop(worst), p, p >= alpha))
-    return [*out, (alive[0], 1.0, True)]
-
-
-def model_confidence_set(predictions: DataFrame, alpha: float = 0.1, reps: int = 1000, mean_block: float = 24.0, seed: int = 1) -> DataFrame:
-    """(symbol, model, p_value, kept) on common rows of the long table; one task a symbol."""
+        live = t[np.ix_(alive, alive)]
+        limits.append(float(np.abs(live).max()))
+        order.append(alive.pop(int(live.max(axis=1).argmax())))
+    return [*order, alive[0]], limits
+
+
+def range_statistics(v: np.ndarray, order: list[int], sd: np.ndarray) -> np.ndarray:
+    """(steps, draws): the range statistic of each draw among the models left at each step, built from the last two up."""
+    sd = np.where(sd == 0, 1e-300, sd)
+    out = np.zeros((len(order) - 1, v.shape[1]))
+    best = np.zeros(v.shape[1])
+    for step in range(len(order) - 2, -1, -1):
+        i, rest = order[step], order[step + 1 :]
+        best = np.maximum(best, (np.abs(v[i] - v[rest]) / sd[i, rest][:, None]).max(axis=0))
+        out[step] = best
+    return out
+
+
+def model_confidence_set(predictions: DataFrame, alpha: float = 0.1, reps: int = 1000, mean_block: float = 24.0, seed: int = 1, chunk: int = 100) -> DataFrame:
+    """(symbol, model, p_value, kept) with the range statistic (Hansen, Lunde and Nason, 2011).
+
+    Models of a symbol need the same hours without nulls, as metrics.common_rows leaves them; other lengths are an error.
+    A chunk of draws holds all models of a symbol, and sends each pair's squared differences. The sums give the order in
+    which models leave, so that every chunk then counts, for each step, its draws at or above the statistic.
+    """
     loss = predictions.withColumn("loss", F.pow(F.col("y_true") - F.col("y_pred"), 2))
-    series = _series(loss, "symbol", "model", "loss", "open_time").repartition("symbol")
+    series = _series(loss, ["symbol", "model"], "loss", "open_time")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def draw(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for row in frame.itertuples():
-                names = [s["name"] for s in row.series]
-                got = confidence_set(np.array([s["v"] for s in row.series], float).T, alpha, reps, mean_block, seed)
-                yield pd.DataFrame([(row.symbol, names[i], p, kept) for i, p, kept in got], columns=["symbol", "model", "p_value", "kept"])
+                x = np.array(row.v, float)
+                centred = (x - x.mean())[None, :]
+                for number, part in _chunks(reps, chunk):
+                    v = drawn_sums(centred, part, mean_block, seed)[0] / len(x)
+                    yield pd.DataFrame({"symbol": [row.symbol], "model": [row.model], "n": [len(x)], "chunk": [number], "mean": [x.mean()], "v": [v]})
 
-    return series.mapInPandas(run, "symbol string, model string, p_value double, kept boolean")
+    drawn = series.mapInPandas(draw, "symbol string, model string, n long, chunk long, mean double, v array<double>")
+    panels = cut(drawn.groupBy("symbol", "chunk").agg(F.sort_array(F.collect_list(F.struct("model", "n", "mean", "v"))).alias("s")))
+
+    def pairs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for row in frame.itertuples():
+                if len({x["n"] for x in row.s}) > 1:
+                    raise ValueError(f"models of {row.symbol} have different numbers of hours")
+                v, mean, names = np.array([x["v"] for x in row.s]), np.array([x["mean"] for x in row.s]), [x["model"] for x in row.s]
+                for i, name in enumerate(names):
+                    j = np.arange(len(names))
+                    yield pd.DataFrame({"symbol": row.symbol, "chunk": row.chunk, "model": name, "i": i, "j": j, "d": mean[i] - mean, "s": ((v[i] - v) ** 2).sum(axis=1)})
+
+    sums = panels.mapInPandas(pairs, "symbol string, chunk long, model string, i int, j int, d double, s double")
+    in_order = F.aggregate(F.sort_array(F.collect_list(F.struct("chunk", "s"))), F.lit(0.0), lambda a, x: a + x["s"])  # equal sums in every run
+    sums = sums.groupBy("symbol", "i", "j").agg(F.first("model").alias("model"), F.first("d").alias("d"), F.sqrt(in_order / reps).alias("sd"))
+    square = sums.groupBy("symbol").agg(F.sort_array(F.collect_list(F.struct("i", "j", "model", "d", "sd"))).alias("s"))
+
+    def leave(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for row in frame.itertuples():
+                m = int(np.sqrt(len(row.s)))
+                d, sd = (np.array([x[c] for x in row.s]).reshape(m, m) for c in ("d", "sd"))
+                order, limits = elimination(d, sd)
+                names = [row.s[i * m]["model"] for i in order]
+                yield pd.DataFrame({"symbol": [row.symbol], "leavers": [names], "turns": [order], "limits": [limits], "sd": [sd.ravel()]})
+
+    turns = cut(square.mapInPandas(leave, "symbol string, leavers array<string>, turns array<int>, limits array<double>, sd array<double>"))
+
+    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for row in frame.itertuples():
+                order = list(row.turns)
+                sd = np.array(row.sd).reshape(len(order), len(order))
+                got = range_statistics(np.array([x["v"] for x in row.s]), order, sd) >= np.array(row.limits)[:, None]
+                yield pd.DataFrame({"symbol": row.symbol, "step": np.arange(len(order) - 1), "n": got.sum(axis=1)})
+
+    counts = panels.join(turns.select("symbol", "turns", "limits", "sd"), "symbol").mapInPandas(count, "symbol string, step int, n long")
+    counts = counts.groupBy("symbol", "step").agg((F.sum("n") / reps).alias("p"))
+    steps = turns.select("symbol", F.posexplode("leavers").alias("step", "model")).join(counts, ["symbol", "step"], "left")
+    upto = F.max(F.coalesce("p", F.lit(1.0))).over(Window.partitionBy("symbol").orderBy("step"))  # a row a model; the last one has 1
+    return steps.withColumn("p_value", upto).select("symbol", "model", "p_value", (F.col("p_value") >= alpha).alias("kept"))
 
 
 def cell_patterns(pairs: DataFrame, truth: str, predicted: str, model: str) -> DataFrame:

@@ -91,6 +91,36 @@ def test_match_finds_the_offset(spark):
     assert {r.rule: r.share for r in match.rule_shares(found, 360).collect()} == {"containing": 1.0, "next": 0.0, "nearest": 1.0}
 
 
+def test_match_of_a_price_that_returns_for_years(spark):
+    """One price over all candles: the rows of the plain join, and candidates in proportion to the records."""
+    flat = [(at(hours=h), 7.0, 7.0, 7.0, 7.0) for h in range(2000)]
+    lone = [(at(days=200 + 30 * k), 7.0, 7.0, 7.0, 7.0) for k in range(5)]
+    frame = spark.createDataFrame(flat + lone, "open_time timestamp, open double, high double, low double, close double")
+    times = [*(at(hours=7 * k, minutes=11) for k in range(250)), *(at(days=200 + 30 * k, hours=h) for k in range(5) for h in (-19, -18, 0, 18, 19)), at(days=900), None]
+    news = [(k, t, 7.0, 7.0, 7.0, 7.0) for k, t in enumerate(times)]
+    records = spark.createDataFrame(news, "record_id long, published timestamp, open double, high double, low double, close double")
+    near = lambda t: [c[0] for c in flat + lone if t is not None and abs((t - c[0]).total_seconds()) <= 18 * 3600]
+    want = {(k, near(t)[0], (t - near(t)[0]).total_seconds() / 60) for k, t in enumerate(times) if len(near(t)) == 1}
+    got = match.match_candles(records, frame)
+    assert {(r.record_id, r.open_time, r.minutes) for r in got.collect()} == want and len(want) >= 15
+    assert "__bin" in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_offset_scores_count_edges_as_the_definition(spark):
+    """Whole and broken minutes at and beside every edge, null minutes and keys, no rows."""
+    values = [s / 60 for o in match.OFFSETS[::7] for e in (-15, 15, 0) for s in ((o + e) * 60 - 1, (o + e) * 60, (o + e) * 60 + 1)] + [None]
+    rows = [(k, v) for k in ("a", None) for v in values] + [("b", 15.0)] * 3
+    table = spark.createDataFrame(rows, "source string, minutes double")
+    for keys in (["source"], None):
+        got = {(r.source if keys else 0, r.offset): (r.matches, r.share) for r in match.offset_scores(table, keys).collect()}
+        for k in ("a", "b", None) if keys else (0,):
+            mine = [v for s, v in rows if not keys or s == k]
+            known = [v for v in mine if v is not None]
+            for o in match.OFFSETS:
+                assert got[k, o] == (len(mine), pytest.approx(sum(abs(v - o) < 15 for v in known) / len(known)))
+    assert match.offset_scores(table.limit(0), ["source"]).count() == 0 and match.offset_scores(table.limit(0)).count() == 0
+
+
 def test_text_functions(spark):
     one = lambda c: spark.range(1).select(c.alias("x")).first().x
     assert one(text.unescape_title(F.lit("S&amp;P  500 &#8217;x "))) == "S&P 500 ’x"

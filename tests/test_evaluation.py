@@ -156,11 +156,59 @@ def test_bootstrap(spark):
     assert again["better"].ci_low == pytest.approx(got["better"].ci_low)
 
 
-def test_confidence_set():
+def test_draws_from_prefix_sums():
+    """A draw's sums over blocks are those over its positions, for blocks longer than the ring too."""
+    rng = np.random.default_rng(3)
+    for n, mean_block in ((1, 24.0), (2, 5.0), (37, 1.0), (300, 24.0), (50, 500.0)):
+        x = rng.normal(size=(2, n)) + 0.1
+        got = resampling.drawn_sums(x, range(7, 30), mean_block, 5)
+        for i, rep in enumerate(range(7, 30)):
+            index = resampling.stationary_index(n, mean_block, np.random.default_rng([5, rep]))
+            assert len(index) == n and index.min() >= 0 and index.max() < n
+            assert got[:, i] == pytest.approx(x[:, index].sum(axis=1), abs=1e-10)
+    x = rng.normal(0.001, 0.01, 400)
+    point, got = resampling.drawn_sharpes(x, range(40), 24.0, 1, 8760.0)
+    assert point == pytest.approx(x.mean() / x.std(ddof=1) * np.sqrt(8760))
+    for rep in range(40):
+        drawn = x[resampling.stationary_index(400, 24.0, np.random.default_rng([1, rep]))]
+        assert got[rep] == pytest.approx(drawn.mean() / drawn.std(ddof=1) * np.sqrt(8760), rel=1e-9)
+    assert np.isnan(resampling.drawn_sharpes(np.full(50, 0.1), range(3), 24.0, 1, 8760.0)[1]).all()
+
+
+def confidence_set(losses: np.ndarray, alpha: float, reps: int, mean_block: float, seed: int) -> dict[int, tuple[float, bool]]:
+    """The definition: all draws by their positions, all pairs of the models left at every step."""
+    n, m = losses.shape
+    means = np.array([losses[resampling.stationary_index(n, mean_block, np.random.default_rng([seed, r]))].mean(axis=0) for r in range(reps)])
+    mean, alive, out, p = losses.mean(axis=0), list(range(m)), {}, 0.0
+    while len(alive) > 1:
+        d = mean[alive][:, None] - mean[alive][None, :]
+        v = (means - mean)[:, alive]
+        db = v[:, :, None] - v[:, None, :]
+        sd = np.sqrt((db**2).mean(axis=0))
+        np.fill_diagonal(sd, 1)
+        p = max(p, float((np.abs(db / sd).max(axis=(1, 2)) >= np.abs(d / sd).max()).mean()))
+        out[alive.pop(int((d / sd).max(axis=1).argmax()))] = (p, p >= alpha)
+    return out | {alive[0]: (1.0, True)}
+
+
+def test_confidence_set(spark):
+    """Spread over chunks it equals the definition; one model alone stays; equal models don't part."""
     rng = np.random.default_rng(0)
-    noise = rng.normal(size=(800, 4)) ** 2
-    got = {i: kept for i, _, kept in resampling.confidence_set(noise + np.array([0, 0, 0, 1.0]), 0.1, 200, 10.0, 1)}
-    assert not got[3] and sum(got.values()) >= 2
+    errors = {"many": np.abs(rng.normal(size=(300, 6))) + np.array([0, 0.02, 0.05, 0.1, 0.3, 0]), "twin": np.repeat(np.abs(rng.normal(size=(60, 1))), 2, axis=1), "one": rng.normal(size=(40, 1))}
+    rows = [(s, f"m{j}", T0 + timedelta(hours=i), 0.0, float(x[i, j])) for s, x in errors.items() for i in range(len(x)) for j in range(x.shape[1])]
+    table = spark.createDataFrame(rows, "symbol string, model string, open_time timestamp, y_true double, y_pred double")
+    found = {chunk: {(r.symbol, r.model): (r.p_value, r.kept) for r in resampling.model_confidence_set(table.repartition(3), 0.1, 200, 10.0, 1, chunk=chunk).collect()} for chunk in (30, 200)}
+    assert found[30] == found[200] and len(found[30]) == 9
+    want = confidence_set(errors["many"] ** 2, 0.1, 200, 10.0, 1)
+    assert {int(m[1:]): v for (s, m), v in found[30].items() if s == "many"} == want and not want[4][1]
+    assert found[30]["one", "m0"] == (1.0, True) and all(found[30]["twin", m] == (1.0, True) for m in ("m0", "m1"))
+
+
+def test_confidence_set_wants_equal_hours(spark):
+    rows = [("a", m, T0 + timedelta(hours=i), 0.0, float(i)) for m, n in (("x", 5), ("y", 6)) for i in range(n)]
+    table = spark.createDataFrame(rows, "symbol string, model string, open_time timestamp, y_true double, y_pred double")
+    with pytest.raises(Exception, match="different numbers of hours"):
+        resampling.model_confidence_set(table, reps=20).collect()
 
 
 def test_f1_interval_over_patterns(spark):
