@@ -36,22 +36,18 @@ def match_candles(records: DataFrame, candles: DataFrame, hours: int = 18, key:
 def offset_scores(matches: DataFrame, keys: list[str] | None = None, offsets: tuple[int, ...] = OFFSETS) -> DataFrame:
     """(keys, offset, matches, share): how many records lie within a quarter of an hour of their candle once shifted.
 
-    Records are counted once, by whole minute and by the open minute between two; a running sum over these counts, of
-    which a key has at most two a minute, is then looked up at both edges of every offset.
+    Records are counted once, by whole minute and by the open minute between two. An offset's records are the sum of the
+    counts between its edges; a key has at most two counts a minute, however many records it has.
     """
     names = keys or []
     minute = F.floor("minutes")
     at = (2 * minute + F.when(F.col("minutes") > minute, 1).otherwise(0)).cast("long")  # even: the minute itself, odd: beyond it
     counts = matches.select(*names, at.alias("__at")).groupBy(*names, "__at").agg(F.count(F.lit(1)).alias("__n"))
-    edges = [(o, 2 * (o - FIT_MINUTES), -1) for o in offsets] + [(o, 2 * (o + FIT_MINUTES) - 1, 1) for o in offsets]
-    asked = F.explode(F.array(*[F.struct(F.lit(o).alias("offset"), F.lit(p).cast("long").alias("__at"), F.lit(s).alias("__sign")) for o, p, s in edges]))
-    present = counts.select(*names, F.lit(1).alias("__one")).distinct().select(*names, asked.alias("__e")).select(*names, "__e.*")
-    rows = counts.unionByName(present, allowMissingColumns=True)
-    part = Window.partitionBy(*names) if names else Window.partitionBy(F.lit(0))
-    upto = F.sum("__n").over(part.orderBy("__at"))  # up to and with equal places; null places come first and fall out
-    rows = rows.select(*names, "offset", (F.coalesce(upto, F.lit(0)) * F.col("__sign")).alias("__part"), F.sum("__n").over(part).alias("matches"), F.sum(F.when(F.col("__at").isNotNull(), F.col("__n"))).over(part).alias("__known"))
-    got = rows.filter("offset is not null").groupBy(*names, "offset").agg(F.first("matches").alias("matches"), F.sum("__part").alias("__fit"), F.first("__known").alias("__known"))
-    return got.select(*names, "offset", "matches", (F.col("__fit") / F.nullif(F.col("__known"), F.lit(0))).alias("share"))
+    near = lambda o: F.col("__at").between(2 * (o - FIT_MINUTES) + 1, 2 * (o + FIT_MINUTES) - 1)
+    fits = F.array(*[F.struct(F.lit(o).alias("offset"), F.sum(F.when(near(o), F.col("__n")).otherwise(0)).alias("fit")) for o in offsets])
+    known = F.sum(F.when(F.col("__at").isNotNull(), F.col("__n")))
+    got = counts.groupBy(*names).agg(F.sum("__n").alias("matches"), known.alias("__known"), fits.alias("__fits")).filter("matches > 0")
+    return got.select(*names, "matches", "__known", F.explode("__fits").alias("__f")).select(*names, "__f.offset", "matches", (F.col("__f.fit") / F.col("__known")).alias("share"))
 
 
 def best_offset(scores: DataFrame, keys: list[str] | None = None) -> DataFrame:
