@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_title
 from ..functions.times import clock, month_label
 from ..session import cut
+from .anchors import kept_times
 
 STAGES = ("records", "with a valid time", "with title and address", "with a precise time", "without repeated addresses", "without repeated titles")
 
@@ -67,28 +64,15 @@ def told_apart(news: DataFrame) -> DataFrame:
 def anchored_repeats(news: DataFrame, key: str, time: str, tie: str, hours: int = 24, own: str | None = None) -> DataFrame:
     """news with `repeat`: at most `hours` after the last kept row of its key; of equal times the least tie comes first.
 
-    Which times are kept follows from a key's distinct times alone. These are aggregated before they are shuffled, and a
-    task streams those of a key in order, with one anchor in memory: their number is bounded by the clock, not by the
-    rows. The rows, wherever they lie, then look their own time up. Rows without a time are never repeats; of rows equal
-    in key, time and tie one is kept. own is a column that tells all rows apart; without it they get one, at the price of
-    a cut.
+    Which times are kept follows from a key's distinct times alone. These are aggregated before they are shuffled, and
+    walked in segments of time (anchors.kept_times), so that no title is one task, however many times it has. The rows,
+    wherever they lie, then look their own time up. Rows without a time are never repeats; of rows equal in key, time and
+    tie one is kept. own is a column that tells all rows apart; without it they get one, at the price of a cut.
     """
     span = hours * 3_600_000_000
     rows = (told_apart(news) if own is None else news.withColumn("__u", F.col(own))).withColumn("__k", F.sha2(F.coalesce(F.col(key).cast("string"), F.lit("\0")), 256)).withColumn("__s", F.unix_micros(F.col(time)))
     times = rows.filter("__s is not null").groupBy("__k", "__s").agg(F.min(F.struct(F.col(tie).alias("tie"), "__u")).alias("__first"))
-    ordered = times.repartition("__k").sortWithinPartitions("__k", "__s")
-
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, anchor = None, 0
-        for batch in batches:
-            keep = np.zeros(batch.num_rows, bool)
-            for i, (name, now) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
-                if name != last or now - anchor > span:
-                    keep[i] = True
-                    last, anchor = name, now
-            yield batch.filter(pa.array(keep))
-
-    kept = ordered.mapInArrow(walk, ordered.schema)
+    kept = kept_times(times, "__k", "__s", span)
     kept = kept.select(F.col("__k").alias("__kk"), F.col("__s").alias("__ks"), F.col("__first.__u").alias("__first"))
     marked = rows.join(kept, (F.col("__k") == F.col("__kk")) & (F.col("__s") == F.col("__ks")), "left")
     repeat = F.col("__s").isNotNull() & ~F.coalesce(F.col("__u") == F.col("__first"), F.lit(False))
