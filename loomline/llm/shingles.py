@@ -1,10 +1,12 @@
 """Near-duplicates by the Jaccard similarity of word shingles.
 
 Texts whose sets of five-word shingles have a similarity of at least 0.8 are linked, and of each connected component
-one row stays. Rows of equal sets are one class. Candidates come from 16 bands of four MinHash values: two sets of
-similarity 0.8 share a band with probability 0.9998, and more similar ones are missed less often. Classes that share a
-band, directly or by others, form a candidate group; inside a group every pair is compared exactly, by counts of common
-shingles, so what is linked is never an estimate. Groups beyond TILE classes are split into tiles in which each pair
+one row stays. Rows of equal sets are one class. Candidates come from two sources. The SimHash fingerprints of the sets
+are linked within three bits by `simhash.links`, which misses no such pair. Sets of similarity 0.8 differ in some ten
+bits, too many for blocks of bits, so 16 bands of four MinHash values stand beside: two sets of similarity 0.8 share a
+band with probability 0.9998, and more similar ones are missed less often. Classes that share a fingerprint or a band or
+have near fingerprints, directly or by others, form a candidate group; inside a group every pair is compared exactly, by
+counts of common shingles, so what is linked is never an estimate. Groups beyond TILE classes are split into tiles in which each pair
 still meets; their comparisons grow with the square of the group, unless its members are near-duplicates themselves.
 
 Defined results: null and empty texts have no shingles and are one class; texts of fewer words than a shingle have their
@@ -25,6 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import WORD, cut, map_rows, tiles
 from .graph import components
 
@@ -69,7 +72,7 @@ def _signed(h: int) -> int:
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(id, text_hash, class, bands) of every row."""
+    """(id, text_hash, class, fp, bands) of every row; fp, the set's SimHash fingerprint, is null for an empty set."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("text_hash"), F.col(text_col).alias("text"))
 
     def make():
@@ -77,12 +80,13 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> Dat
             out = []
             for i, h, text in batch:
                 own = shingle_set(text, shingle)
-                out.append((i, h, _signed(xxhash.xxh64_intdigest(own.tobytes(), SEED)), band_keys(own)))
+                fp = _signed(simhash.majority(own)) if len(own) else None
+                out.append((i, h, _signed(xxhash.xxh64_intdigest(own.tobytes(), SEED)), fp, band_keys(own)))
             return out
 
         return work
 
-    return map_rows(rows, make, "id long, text_hash long, class long, bands array<long>")
+    return map_rows(rows, make, "id long, text_hash long, class long, fp long, bands array<long>")
 
 
 def spanning(names: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
@@ -107,14 +111,25 @@ def spanning(names: np.ndarray, sets: list[np.ndarray], similarity: float) -> li
     return links
 
 
+def candidates(classes: DataFrame) -> DataFrame:
+    """(a, b): classes(class, fp, bands) that share a band or a fingerprint or have fingerprints within three bits."""
+    keyed = classes.select("class", F.explode("bands").alias("key"))
+    least = keyed.groupBy("key").agg(F.min("class").alias("b"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "b")
+    banded = keyed.join(least, "key").select(F.col("class").alias("a"), "b")
+    heads = cut(classes.filter("fp is not null").groupBy("fp").agg(F.min("class").alias("head")))
+    alike = classes.join(heads, "fp").select(F.col("class").alias("a"), F.col("head").alias("b")).filter("a <> b")
+    near = simhash.links(heads.select("fp"))
+    for side in ("a", "b"):
+        near = near.join(heads.select(F.col("fp").alias(side), F.col("head").alias(f"__{side}")), side)
+    return banded.unionByName(alike).unionByName(near.select(F.col("__a").alias("a"), F.col("__b").alias("b")))
+
+
 def links(classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, similarity: float, shingle: int) -> DataFrame:
-    """(a, b): links that connect all similar classes(class, id, text_hash, bands); id and text_hash name one row of each.
+    """(a, b): links that connect all similar classes(class, id, text_hash, fp, bands); id and text_hash name one row of each.
 
     Only that row meets its class and is shingled, so that copies of a text cost nothing more and are no hot key.
     """
-    keyed = classes.select("class", F.explode("bands").alias("key"))
-    least = keyed.groupBy("key").agg(F.min("class").alias("b"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "b")
-    groups = cut(components(keyed.join(least, "key").select(F.col("class").alias("a"), "b")))
+    groups = cut(components(candidates(classes)))
     wanted = cut(classes.join(groups, F.col("class") == F.col("node")).select("class", "label", F.col("id").alias("__id"), F.col("text_hash").alias("__hash")))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("text_hash"), F.col(text_col).alias("text"))
     named = F.col("id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash"))
@@ -141,8 +156,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(id, text_hash, kept): kept marks one (id, text_hash) of each component."""
     rows = cut(signatures(docs, id_col, text_col, shingle))
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_hash")).alias("first")
-    classes = cut(rows.groupBy("class").agg(first, F.first("bands").alias("bands")))
-    labels = components(links(classes.select("class", "first.id", "first.text_hash", "bands"), docs, id_col, text_col, similarity, shingle))
+    classes = cut(rows.groupBy("class").agg(first, F.first("fp").alias("fp"), F.first("bands").alias("bands")))
+    labels = components(links(classes.select("class", "first.id", "first.text_hash", "fp", "bands"), docs, id_col, text_col, similarity, shingle))
     classes = classes.join(labels, F.col("class") == F.col("node"), "left").select("class", "first", F.coalesce("label", "class").alias("root"))
     classes = cut(classes)  # a component of very many classes is then an ordinary skewed key of the next join
     roots = cut(classes.groupBy("root").agg(F.min("first").alias("least")))

@@ -27,7 +27,6 @@ from pyspark.sql import functions as F
 
 import re
 
-from . import shingles
 from .common import cut, map_rows, tiles
 from .graph import components
 
@@ -52,11 +51,16 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     last = ends[shingle - 1 :] if len(words) >= shingle else ends[-1:]
     parts = [joined[a:b] for a, b in zip(starts[:n].tolist(), last.tolist())]
     hashes = np.fromiter(map(xxhash.xxh64_intdigest, parts, repeat(SEED)), np.uint64, n)
+    return majority(hashes)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half the 64-bit hashes."""
     ones = np.zeros(64, np.int64)
-    for i in range(0, n, 1 << 15):
+    for i in range(0, len(hashes), 1 << 15):
         part = hashes[i : i + (1 << 15)].astype("<u8").view(np.uint8).reshape(-1, 8)
         ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
@@ -216,6 +220,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
 
     Texts are shuffled once, to meet the decisions; only rows that repeat an id and a text are moved again.
     """
+    from . import shingles  # it takes its candidates from this module
+
     kept = shingles.near_duplicates(docs, id_col, text_col, similarity, shingle).filter("kept")
     kept = cut(kept.groupBy(F.col("id").alias("__kid"), F.col("text_hash").alias("__kh")).agg(F.count(F.lit(1)).alias("__n")))
     hashed = docs.withColumn("__h", F.xxhash64(F.coalesce(text_col, F.lit("")))).withColumn("__i", F.col(id_col).cast("long"))

@@ -54,6 +54,28 @@ def test_given_documents(spark):
     assert {r.doc_id for r in simhash.keep_one(docs).collect()} == plain_kept(texts)
 
 
+def test_near_fingerprints_are_candidates_without_bands(spark):
+    """Every pair within three bits that is similar enough is linked by its SimHash fingerprints alone."""
+    from pyspark.sql import functions as F
+
+    from loomline.llm.graph import components
+
+    rng, texts = random.Random(5), {}
+    for _ in range(12):
+        base = [f"w{rng.randrange(3000)}" for _ in range(300)]
+        for changes in (0, 1, 1, 2, 40):
+            texts[len(texts)] = " ".join(edited(rng, base, changes))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    rows = shingles.signatures(docs, "doc_id", "text", 5).localCheckpoint()
+    fp = {r.id: r.fp & (1 << 64) - 1 for r in rows.collect()}
+    sets = {i: plain_set(t) for i, t in texts.items()}
+    want = [(a, b) for a in texts for b in texts if b < a and bin(fp[a] ^ fp[b]).count("1") <= 3 and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    bare = rows.withColumn("bands", F.array().cast("array<long>"))
+    label = {r.node: r.label for r in components(shingles.links(bare, docs, "doc_id", "text", 0.8, 5)).collect()}
+    own = {r.id: r["class"] for r in rows.collect()}
+    assert len(want) > 10 and all(label[own[a]] == label[own[b]] for a, b in want)
+
+
 def test_bands_find_the_least_similar_pairs():
     """Sets of similarity 0.8 share a band nearly always."""
     import numpy as np
