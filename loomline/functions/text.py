@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import html
 import unicodedata
+from collections.abc import Callable
+from functools import partial
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -35,14 +37,34 @@ NO_ARTICLE = (
 SLUG = r"/[^/]*-[^/]*-[^/]*/?$"
 
 
-@F.pandas_udf(StringType())
-def _unescape(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: None if t is None else html.unescape(t))
+# Characters that NFKC never changes, nor composes with what stands before them: texts of these alone are their own NFKC form.
+STABLE = (
+    r"\x00-\x9F\xA1-\xA7\xA9\xAB-\xAE\xB0\xB1\xB6\xB7\xBB\xBF-\u0131\u0134-\u013E\u0141-\u0148\u014A-\u017E\u0180-\u01C3\u0388-\u03CF\u0400-\u0482"
+    r"\u05D0-\u05EA\u0621-\u064A\u2012-\u2016\u2018-\u2023\u20AC\u3001-\u3020\u3041-\u3096\u30A0-\u30FE\u4E00-\u9FFF\uAC00-\uD7A3"
+)
+#: Texts that a task turns into Python objects at once.
+SLICE = 64
+
+
+def _by_slices(work: Callable[[str], str], texts: pa.Array) -> pa.Array:
+    """work of each text; only SLICE texts are Python objects at a time."""
+    parts = [pa.array([None if t is None else work(t) for t in texts.slice(i, SLICE).to_pylist()], texts.type) for i in range(0, len(texts), SLICE)]
+    return pa.concat_arrays(parts) if parts else texts
+
+
+@F.arrow_udf(StringType())
+def _unescape(text: pa.Array) -> pa.Array:
+    return _by_slices(html.unescape, text)
+
+
+@F.arrow_udf(StringType())
+def _nfkc(text: pa.Array) -> pa.Array:
+    return _by_slices(partial(unicodedata.normalize, "NFKC"), text)
 
 
-@F.pandas_udf(StringType())
-def _nfkc(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+def _where(needed: Column, change: Callable[[Column], Column], text: Column) -> Column:
+    """change(text) where needed, else text. Spark evaluates a Python function for all rows, so that the others are null to it."""
+    return F.coalesce(change(F.when(needed, text)), text)
 
 
 def collapse(text: Column) -> Column:
@@ -51,7 +73,7 @@ def collapse(text: Column) -> Column:
 
 def unescape_title(text: Column) -> Column:
     """Entities decoded, white space collapsed and trimmed; null stays null."""
-    return collapse(F.when(F.instr(text, "&") > 0, _unescape(text)).otherwise(text))
+    return collapse(_where(F.instr(text, "&") > 0, _unescape, text))
 
 
 def fold_title(text: Column) -> Column:
@@ -60,8 +82,8 @@ def fold_title(text: Column) -> Column:
 
 
 def normalize_title(text: Column) -> Column:
-    """fold_title of the NFKC form; texts of ASCII alone skip the Python step."""
-    return fold_title(F.when(text.rlike(r"^\p{ASCII}*$"), text).otherwise(_nfkc(text)))
+    """fold_title of the NFKC form; texts of STABLE characters alone skip the Python step."""
+    return fold_title(_where(text.rlike(rf"[^\x00-\x7F](?<![{STABLE}])"), _nfkc, text))
 
 
 def source_of(url: Column) -> Column:

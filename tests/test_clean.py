@@ -200,3 +200,39 @@ def test_of_equal_rows_one_is_left(spark):
     twice = spark.createDataFrame([(1, "t", start)] * 3 + [(1, "t", None)] * 2, "doc_id long, title string, published timestamp")
     marks = [r.repeat for r in clean.anchored_repeats(twice, "title", "published", "doc_id").orderBy(F.col("published").asc_nulls_first(), "repeat").collect()]
     assert marks == [False, False, False, True, True]
+
+
+def test_stable_characters_are_their_own_nfkc_form():
+    """None changes, is reordered, or composes with a character before it."""
+    import re
+    import unicodedata
+
+    pairs = [d.split() for c in range(0x110000) if (d := unicodedata.decomposition(chr(c))) and d[0] != "<"]
+    second = {chr(int(p[1], 16)) for p in pairs if len(p) == 2} | {chr(c) for c in (*range(0x1161, 0x1176), *range(0x11A8, 0x11C3))}
+    stable = [chr(c) for c in range(0x110000) if re.match(f"[{text.STABLE}]", chr(c))]
+    assert len(stable) > 30_000 and all(unicodedata.is_normalized("NFKC", c) and not unicodedata.combining(c) and c not in second for c in stable)
+
+
+def test_python_steps_see_only_texts_that_need_them(spark, monkeypatch):
+    """Spark runs a Python function on all rows, whatever `when` stands around it; the others must reach it as nulls."""
+    from pyspark.sql.types import StringType
+
+    reached = spark.sparkContext.accumulator(0)
+
+    def counted(t):
+        reached.add(len(t) - t.null_count)
+        return t
+
+    count = F.arrow_udf(counted, StringType(), F.ArrowUDFType.SCALAR)
+    rows = spark.createDataFrame([("plain",), ("Ñandú über Ж",), ("ﬁne",), ("a\u0301",), ("x 😀",), (None,), ("a &amp; b",)], "t string")
+    for name, change, n in (("_nfkc", text.normalize_title, 3), ("_unescape", text.unescape_title, 1)):
+        before = reached.value
+        monkeypatch.setattr(text, name, count)
+        rows.select(change(F.col("t"))).collect()
+        assert reached.value - before == n
+
+
+def test_python_steps_over_many_slices(spark):
+    values = [None, "ﬁ", "plain", "e\u0301 &lt;", "Ｂ &amp; b"] * 60
+    got = [tuple(r) for r in spark.createDataFrame([(v,) for v in values], "t string").coalesce(1).select(text.normalize_title(F.col("t")), text.unescape_title(F.col("t"))).collect()]
+    assert got == [(None, None), ("fi", "ﬁ"), ("plain", "plain"), ("é lt", "e\u0301 <"), ("b amp b", "Ｂ & b")] * 60
