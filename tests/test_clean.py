@@ -236,3 +236,18 @@ def test_python_steps_over_many_slices(spark):
     values = [None, "ﬁ", "plain", "e\u0301 &lt;", "Ｂ &amp; b"] * 60
     got = [tuple(r) for r in spark.createDataFrame([(v,) for v in values], "t string").coalesce(1).select(text.normalize_title(F.col("t")), text.unescape_title(F.col("t"))).collect()]
     assert got == [(None, None), ("fi", "ﬁ"), ("plain", "plain"), ("é lt", "e\u0301 <"), ("b amp b", "Ｂ & b")] * 60
+
+
+def test_cleaning_sends_only_odd_titles_to_python(spark, monkeypatch):
+    from pyspark.sql.types import StringType
+
+    reached = spark.sparkContext.accumulator(0)
+
+    def counted(t):
+        reached.add(len(t) - t.null_count)
+        return t
+
+    monkeypatch.setattr(text, "_nfkc", F.arrow_udf(counted, StringType(), F.ArrowUDFType.SCALAR))
+    rows = [(i, f"title {i} über" if i % 10 else f"ﬁne {i}", "s", T0 + timedelta(hours=i, seconds=1), f"u{i}") for i in range(1, 41)]
+    news = spark.createDataFrame(rows, "doc_id long, title string, source string, published timestamp, url string")
+    assert clean.cleaning_marks(news).filter("removed_at is null").count() == 40 and 0 < reached.value <= 4
