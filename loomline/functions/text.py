@@ -42,6 +42,8 @@ STABLE = (
     r"\x00-\x9F\xA1-\xA7\xA9\xAB-\xAE\xB0\xB1\xB6\xB7\xBB\xBF-\u0131\u0134-\u013E\u0141-\u0148\u014A-\u017E\u0180-\u01C3\u0388-\u03CF\u0400-\u0482"
     r"\u05D0-\u05EA\u0621-\u064A\u2012-\u2016\u2018-\u2023\u20AC\u3001-\u3020\u3041-\u3096\u30A0-\u30FE\u4E00-\u9FFF\uAC00-\uD7A3"
 )
+#: Stretches that NFKC leaves alone, less the character before an odd one, with which that may compose; a NUL always belongs to them.
+STILL = rf"[\x00-\x7F[{STABLE}]]+(?:(?![\s\S])|(?<=\x00)|(?=[\x00-\x7F[{STABLE}]]))"
 #: Texts that a task turns into Python objects at once.
 SLICE = 64
 
@@ -81,9 +83,18 @@ def fold_title(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}_]+", " "))
 
 
+def nfkc(text: Column) -> Column:
+    """The NFKC form. Only what stands between STILL stretches reaches Python, joined by NULs, which neither change nor compose."""
+    odd = F.when(text.rlike(rf"[^\x00-\x7F](?<![{STABLE}])"), F.array_join(F.split(text, STILL, -1), "\0"))
+    changed = F.split(_nfkc(odd), "\0", -1)
+    still = F.regexp_extract_all(text, F.lit(STILL), 0)
+    joined = F.array_join(F.zip_with(changed, still, lambda new, rest: F.concat(new, F.coalesce(rest, F.lit("")))), "")
+    return F.when(changed.isNotNull(), joined).otherwise(text)
+
+
 def normalize_title(text: Column) -> Column:
-    """fold_title of the NFKC form; texts of STABLE characters alone skip the Python step."""
-    return fold_title(_where(text.rlike(rf"[^\x00-\x7F](?<![{STABLE}])"), _nfkc, text))
+    """fold_title of the NFKC form."""
+    return fold_title(nfkc(text))
 
 
 def source_of(url: Column) -> Column:

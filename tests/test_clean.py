@@ -251,3 +251,37 @@ def test_cleaning_sends_only_odd_titles_to_python(spark, monkeypatch):
     rows = [(i, f"title {i} über" if i % 10 else f"ﬁne {i}", "s", T0 + timedelta(hours=i, seconds=1), f"u{i}") for i in range(1, 41)]
     news = spark.createDataFrame(rows, "doc_id long, title string, source string, published timestamp, url string")
     assert clean.cleaning_marks(news).filter("removed_at is null").count() == 40 and 0 < reached.value <= 4
+
+
+def test_only_odd_stretches_of_titles_reach_python(spark, monkeypatch):
+    """A no-break space in a long title must not carry the title to Python."""
+    from pyspark.sql.types import StringType
+
+    reached = spark.sparkContext.accumulator(0)
+
+    def counted(t):
+        reached.add(sum(len(x) for x in t.to_pylist() if x is not None))
+        return t
+
+    monkeypatch.setattr(text, "_nfkc", F.arrow_udf(counted, StringType(), F.ArrowUDFType.SCALAR))
+    rows = [(i, f"title {i} " + "word " * 400 + "10\u00a0000", "s", T0 + timedelta(hours=i, seconds=1), f"u{i}") for i in range(1, 41)]
+    news = spark.createDataFrame(rows, "doc_id long, title string, source string, published timestamp, url string")
+    assert clean.cleaning_marks(news).filter("removed_at is null").count() == 40 and 0 < reached.value <= 40 * 4
+
+
+def test_nfkc_by_stretches_is_that_of_the_whole_text(spark):
+    """Characters of all kinds in any order, NULs, marks at the start, and long runs of changing width."""
+    import re
+    import unicodedata
+
+    rng = np.random.default_rng(5)
+    assigned = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and unicodedata.category(chr(c)) != "Cn"]
+    changed = [c for c in assigned if not unicodedata.is_normalized("NFKC", c)]
+    marks = [c for c in assigned if unicodedata.combining(c)]
+    jamo = [chr(c) for c in range(0x1100, 0x1200)]
+    stable = [c for c in assigned if re.match(f"[{text.STABLE}]", c)]
+    pools = [changed, marks, jamo, stable, [chr(c) for c in range(32, 127)], ["\0", " ", "\n", "가", "か", "e", "ö", "\u00a0"]]
+    values = ["".join(pools[k][rng.integers(len(pools[k]))] for k in rng.integers(0, len(pools), rng.integers(0, 30))) for _ in range(2000)]
+    values += ["".join(f"{c}{x}" for x in ("", "\u0301", "\0")) for c in changed[::7]] + ["😀\ufe0f" * 100_000, "a\u0301" * 100_000, "\u0301" * 50_000, "ﬁ" * 100_000, "", None]
+    got = spark.createDataFrame(list(enumerate(values)), "i int, t string").select("i", text.nfkc(F.col("t")).alias("n")).collect()
+    assert {r.i: r.n for r in got} == {i: None if v is None else unicodedata.normalize("NFKC", v) for i, v in enumerate(values)}
