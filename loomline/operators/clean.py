@@ -61,19 +61,21 @@ def told_apart(news: DataFrame) -> DataFrame:
     return cut(news.withColumn("__u", F.monotonically_increasing_id()))
 
 
-def anchored_repeats(news: DataFrame, key: str, time: str, tie: str, hours: int = 24, own: str | None = None) -> DataFrame:
+def anchored_repeats(news: DataFrame, key: str, time: str, tie: str, hours: int = 24, own: str | None = None, keyless_once: bool = False) -> DataFrame:
     """news with `repeat`: at most `hours` after the last kept row of its key; of equal times the least tie comes first.
 
     Which times are kept follows from a key's distinct times alone. These are aggregated before they are shuffled, and
     walked in segments of time (anchors.kept_times), so that no title is one task, however many times it has. The rows,
     wherever they lie, then look their own time up. Rows without a time are never repeats; of rows equal in key, time and
-    tie one is kept. own is a column that tells all rows apart; without it they get one, at the price of a cut.
+    tie one is kept. own is a column that tells all rows apart; without it they get one, at the price of a cut. Rows
+    without a key are one key, of which with keyless_once only the first row is kept, whatever the time between them.
     """
     span = hours * 3_600_000_000
     rows = (told_apart(news) if own is None else news.withColumn("__u", F.col(own))).withColumn("__k", F.sha2(F.coalesce(F.col(key).cast("string"), F.lit("\0")), 256)).withColumn("__s", F.unix_micros(F.col(time)))
-    times = rows.filter("__s is not null").groupBy("__k", "__s").agg(F.min(F.struct(F.col(tie).alias("tie"), "__u")).alias("__first"))
-    kept = kept_times(times, "__k", "__s", span)
-    kept = kept.select(F.col("__k").alias("__kk"), F.col("__s").alias("__ks"), F.col("__first.__u").alias("__first"))
+    walked = F.when(F.col(key).isNull() & F.lit(keyless_once), F.lit(0).cast("long")).otherwise(F.col("__s"))
+    times = rows.filter("__s is not null").groupBy("__k", walked.alias("__at")).agg(F.min(F.struct("__s", F.col(tie).alias("tie"), "__u")).alias("__first"))
+    kept = kept_times(times, "__k", "__at", span)
+    kept = kept.select(F.col("__k").alias("__kk"), F.col("__first.__s").alias("__ks"), F.col("__first.__u").alias("__first"))
     marked = rows.join(kept, (F.col("__k") == F.col("__kk")) & (F.col("__s") == F.col("__ks")), "left")
     repeat = F.col("__s").isNotNull() & ~F.coalesce(F.col("__u") == F.col("__first"), F.lit(False))
     return marked.withColumn("repeat", repeat).select(*news.columns, "repeat")
@@ -141,14 +143,15 @@ def flag_coverage(news: DataFrame, a: str = "tag_a", b: str = "tag_b") -> DataFr
     return rows.select("kind", "n", F.bround(F.col("n") / F.greatest("total", F.lit(1)), 4).alias("share"))
 
 
-def cleaning_marks(news: DataFrame, time: str = "published", clock_column: str | None = None, hours: int = 24, least: int = 50, tie: str = "doc_id", key: Column | None = None) -> DataFrame:
+def cleaning_marks(news: DataFrame, time: str = "published", clock_column: str | None = None, hours: int = 24, least: int = 50, tie: str = "doc_id", key: Column | None = None, required: bool = True) -> DataFrame:
     """news with `removed_at`: the number of the stage in STAGES that drops the row, or null.
 
     Each stage looks only at rows that the earlier ones left. Of equal rows one is left: rows get a number of their own in
-    one cut, which all stages read.
+    one cut, which all stages read. Unless time, title and address are required, stages 1 and 2 drop nothing: a row without
+    a time has no precise one, rows without an address have the same one, and of those without a title's key one is left.
     """
     t = clock_column or time
-    stage = F.when(F.col(time).isNull(), 1).when(~has_text("title", "url"), 2)
+    stage = F.when(F.col(time).isNull(), 1).when(~has_text("title", "url"), 2) if required else F.lit(None).cast("int")
     rows = told_apart(news.withColumn("__norm", normalize_title(F.col("title")) if key is None else key)).withColumn("__stage", stage)
     rows = rows.withColumn("__clock", clock(F.col(t)))
     alive = F.col("__stage").isNull()
@@ -157,12 +160,11 @@ def cleaning_marks(news: DataFrame, time: str = "published", clock_column: str |
     stub = counts.groupBy("source").agg(F.sum("n").alias("records"), top).filter(F.col("records") >= least).filter(F.col("top.n") / F.col("records") >= 0.3)
     rows = rows.join(stub.select("source", F.col("top.__clock").alias("__stub")), "source", "left")
     vague = (F.col("__clock") == "00:00:00") | F.coalesce(F.col("__clock") == F.col("__stub"), F.lit(False))
-    rows = rows.withColumn("__stage", F.when(alive & vague, 3).otherwise(F.col("__stage")))
+    rows = rows.withColumn("__stage", F.when(alive & (vague | F.col(time).isNull()), 3).otherwise(F.col("__stage")))
     # the first living row of an address, found by an aggregate, and met by its own number, so that no address is one key
-    first = rows.filter(alive).groupBy(F.col("url").alias("__url")).agg(F.min(F.struct(F.col(time).alias("t"), F.col(tie).alias("k"), "__u")).alias("__f"))
-    met = (F.col("url") == F.col("__url")) & (F.col("__u") == F.col("__f.__u"))
-    rows = rows.join(first, met, "left").withColumn("__stage", F.when(alive & F.col("__url").isNull(), 4).otherwise(F.col("__stage"))).drop("__clock", "__stub", "__url", "__f")
-    kept = anchored_repeats(rows.filter(alive), "__norm", time, tie, hours, own="__u")
+    first = rows.filter(alive).groupBy("url").agg(F.min(F.struct(F.col(time).alias("t"), F.col(tie).alias("k"), "__u")).alias("__f")).select(F.col("__f.__u").alias("__first"))
+    rows = rows.join(first, F.col("__u") == F.col("__first"), "left").withColumn("__stage", F.when(alive & F.col("__first").isNull(), 4).otherwise(F.col("__stage"))).drop("__clock", "__stub", "__first")
+    kept = anchored_repeats(rows.filter(alive), "__norm", time, tie, hours, own="__u", keyless_once=not required)
     kept = kept.withColumn("__stage", F.when(F.col("repeat"), 5)).drop("repeat")
     return kept.unionByName(rows.filter(~alive)).drop("__norm", "__u").withColumnRenamed("__stage", "removed_at")
 

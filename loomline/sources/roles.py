@@ -34,8 +34,8 @@ def candles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def headlines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as headlines: published and source clock derive from doc_id, the address from source and doc_id."""
-    raw = F.pmod(F.col("doc_id") * 433, F.lit(2_592_000))
-    day = raw - F.pmod(raw, F.lit(86_400))
+    raw = F.col("doc_id") * 433 % 2_592_000
+    day = raw - raw % 86_400
     second = F.when(F.pmod("doc_id", F.lit(17)) == 0, day).when(F.col("source").isin("src5", "src9") & (F.pmod("doc_id", F.lit(2)) == 0), day + 18_000).otherwise(raw)
     score = (F.pmod("n_chars", F.lit(201)) - 100) / F.lit(100.0)
     return table(spark, sf_dir, "documents").select(
@@ -44,7 +44,7 @@ def headlines(spark: SparkSession, sf_dir: str) -> DataFrame:
         "lang",
         "source",
         F.timestamp_seconds(F.unix_timestamp(F.lit(EPOCH)) + second).alias("published"),
-        F.concat(F.lit("https://www."), "source", F.lit(".example.com/"), F.pmod("doc_id", F.lit(700)).cast("string")).alias("url"),
+        F.concat(F.lit("https://www."), "source", F.lit(".example.com/"), (F.col("doc_id") % 700).cast("string")).alias("url"),
         score.alias("score"),
         F.when(score < -0.33, "negative").when(score > 0.33, "positive").otherwise("neutral").alias("label"),
     )
